@@ -22,14 +22,13 @@ alone.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.llm import text as T
+from rowmill.llm.stored import drop, stored
 
 WORDS, PERCENT, BANDS, WIDTH = 5, 80, 32, 6
 #: So many ids (8 bytes each) are sent to every executor at most; more are joined by shuffle.
@@ -95,8 +94,8 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int, bands: int, width
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose full sets, from ``texts`` (id, text), have
-    100 * intersection >= percent * union."""
+    """(x, y) for the rows (a, b, x, y) of ``pairs`` for which the full sets of a and b,
+    from ``texts`` (id, text), have 100 * intersection >= percent * union."""
     left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
 
@@ -122,68 +121,68 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
             ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
         return pa.array(ok)
 
-    return both.select("a", "b", near.asNondeterministic()("ta", "tb").alias("ok")).where("ok").select("a", "b")
+    return both.select("x", "y", near.asNondeterministic()("ta", "tb").alias("ok")).where("ok").select("x", "y")
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id reachable, for every id with a link.
+def components(links: DataFrame) -> DataFrame:
+    """(id, component), stored: the smallest id reachable over links (x, y), for every id with one.
 
     Each round, every id takes the least label among its own and its neighbours',
-    then its label's label; the labels are written to the checkpoint folder each
-    round, so that no plan grows and a lost executor costs one round."""
-    edges = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    edges = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct().checkpoint()
-    labels = edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("component")).checkpoint()
+    then its label's label.  Labels are stored each round, so no plan grows and a
+    lost executor costs one round at most."""
+    edges = stored(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    labels = stored(edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("id"), F.least("x", "m").alias("component")))
     while True:
         seen = edges.join(labels.select(F.col("id").alias("y"), "component"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("m"))
         step = labels.join(seen, "id").select("id", F.least("component", "m").alias("l"), F.col("component").alias("was"))
         jump = labels.select(F.col("id").alias("l"), F.col("component").alias("far"))
-        new = step.join(jump, "l").select("id", F.least("l", "far").alias("component"), "was").checkpoint()
-        if new.where("component <> was").isEmpty():
-            return new.select("id", "component")
+        new = stored(step.join(jump, "l").select("id", F.least("l", "far").alias("component"), "was"))
+        done = new.where("component <> was").isEmpty()
+        drop(labels)
         labels = new.select("id", "component")
+        labels._stored_at = new._stored_at
+        if done:
+            drop(edges)
+            return labels
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
     """key (as long), n_shingles, component_id and kept for every row of ``docs``."""
-    prints = fingerprints(docs, key, text, words, bands, width).checkpoint()
-    classes = prints.where("s1 is not null and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-
+    prints = stored(fingerprints(docs, key, text, words, bands, width))
+    sets = prints.where("s1 is not null and id is not null").groupBy("s1", "s2")
+    classes = sets.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
     full = keys.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "hash")
-    members = keys.join(full, ["band", "hash"]).checkpoint()
-    ids = members.select(F.col("rep").alias("id")).distinct().checkpoint()
+    members = stored(keys.join(full, ["band", "hash"]).withColumn("label", F.col("rep")))
+    ids = members.select(F.col("rep").alias("id")).distinct()
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(small, "id", "left_semi").checkpoint()
+    texts = stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(small, "id", "left_semi").distinct())
 
-    label, links, tested, centres = None, [], None, 1
-    while True:
-        own = members.withColumn("label", F.col("rep")) if label is None else members.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        split = own.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", "hash")
-        own = own.join(split, ["band", "hash"])
+    relabelled: list[DataFrame] = []
+    had, centres = 0, 1
+    while not members.isEmpty():
         rank = F.row_number().over(Window.partitionBy("band", "hash").orderBy(F.xxhash64("rep", "band"), "rep"))
-        centre = own.withColumn("rank", rank).where(F.col("rank") <= centres).select("band", "hash", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-        pairs = own.join(centre, ["band", "hash"]).where((F.col("label") != F.col("cl")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
-        pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        n_pairs = pairs.count()
-        if not n_pairs and (tested is None or own.groupBy("band", "hash").count().where(F.col("count") > centres).isEmpty()):
-            break
-        centres *= 4
-        if not n_pairs:
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        got = confirm(pairs, texts, words, percent).distinct().checkpoint()
-        if not got.isEmpty():
-            links.append(got)
-            label = components(reduce(DataFrame.unionByName, links))
-
-    joined = classes.select("s1", "s2", "rep")
-    if label is not None:
-        joined = joined.join(label, joined.rep == label.id, "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    else:
-        joined = joined.withColumnRenamed("rep", "component")
+        centre = members.withColumn("rank", rank).where(F.col("rank") <= centres).where(F.col("rank") > had).select("band", "hash", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
+        pairs = members.join(centre, ["band", "hash"]).where((F.col("label") != F.col("cl")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
+        first = F.col("rep") < F.col("c")
+        pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"), F.when(first, F.col("label")).otherwise(F.col("cl")).alias("x"), F.when(first, F.col("cl")).otherwise(F.col("label")).alias("y")).distinct()
+        links = stored(confirm(pairs, texts, words, percent))
+        now = members
+        if not links.isEmpty():
+            label = components(links.select("x", "y").distinct())
+            relabelled.append(label)
+            now = members.join(label, members.label == label.id, "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
+        drop(links)
+        # buckets of one component, and those whose members have all been centres, are done
+        left = now.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where((F.col("lo") != F.col("hi")) & (F.col("c") > centres)).select("band", "hash")
+        after = stored(now.join(left, ["band", "hash"]))
+        drop(members)
+        members, had, centres = after, centres, centres * 16
+    drop(members)
+    drop(texts)
+
+    joined = sets.agg(F.min("id").alias("component"))
+    for label in relabelled:
+        joined = joined.join(label, joined.component == label.id, "left").select("s1", "s2", F.coalesce(label.component, joined.component).alias("component"))
     out = prints.select("id", "n", "s1", "s2").join(joined, ["s1", "s2"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
