@@ -8,12 +8,13 @@ densification).  Bands of bins are bucket keys.
 
 Texts with equal sets are one class from the start.  In each bucket the classes
 form a star around one centre instead of all pairs, so a bucket of n classes
-costs n - 1 candidates.  Candidates are confirmed on the full sets.  Where a
-bucket still holds more than one component, it is dealt again around another
-centre, chosen by hash, and only members outside the centre's component are
-candidates; rounds end when one finds no new link, and each class has been the
-centre with equal chance.  Every confirmed link counts: components are found by
-label propagation over all of them.
+costs n - 1 candidates.  The centre is the class that meets most others over all
+its buckets, which in a group of copies is the text they were made from.
+Candidates are confirmed on the full sets, and components are found by label
+propagation over all confirmed links.  Where a bucket still holds more than one
+component, it is dealt again around its next ``STEP`` centres, and only members
+outside a centre's component are candidates; rounds go on for as long as they
+find links.  Pairs grow with the members of buckets, never with their square.
 
 Null texts and texts without words have an empty set and are linked with
 nothing; repeated rows of one id share its component; rows with a null id stay
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from rowmill.llm import text as T
 from rowmill.llm.stored import drop, stored
 
-WORDS, PERCENT, BANDS, WIDTH = 5, 80, 32, 6
+WORDS, PERCENT, BANDS, WIDTH, STEP = 5, 80, 44, 10, 8
 #: So many ids (8 bytes each) are sent to every executor at most; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -67,7 +68,11 @@ def band_keys(s: np.ndarray, bands: int, width: int, order: np.ndarray) -> np.nd
     full[which[first]] = True
     empty = np.flatnonzero(~full)
     if len(empty):
-        lend = order[empty, full[order[empty]].argmax(1)]
+        near = full[order[empty, :64]]
+        lend = order[empty, near.argmax(1)]
+        far = np.flatnonzero(~near.any(1))
+        if len(far):
+            lend[far] = order[empty[far], full[order[empty[far]]].argmax(1)]
         value[empty] = T.mix(value[lend] + empty.astype(np.uint64))  # a borrowed value is told from one's own
     # bins are dealt to bands in turn, so that a band's bins lie far apart
     acc = np.arange(bands, dtype=np.uint64)
@@ -146,14 +151,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, width: int = WIDTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, width: int = WIDTH, step: int = STEP) -> DataFrame:
     """key (as long), n_shingles, component_id and kept for every row of ``docs``."""
     prints = stored(fingerprints(docs, key, text, words, bands, width))
     sets = prints.where("s1 is not null and id is not null").groupBy("s1", "s2")
     classes = sets.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     keys = classes.select("rep", "n", F.posexplode("bands").alias("band", "hash"))
-    full = keys.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "hash")
-    members = stored(keys.join(full, ["band", "hash"]).withColumn("label", F.col("rep")))
+    full = keys.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    found = stored(keys.join(full, ["band", "hash"]))
+    meets = found.groupBy("rep").agg(F.sum("c").alias("meets"))
+    members = stored(found.drop("c").join(meets, "rep").withColumn("label", F.col("rep")))
+    drop(found)
     ids = members.select(F.col("rep").alias("id")).distinct()
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(small, "id", "left_semi").distinct())
@@ -161,23 +169,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     relabelled: list[DataFrame] = []
     had, centres = 0, 1
     while not members.isEmpty():
-        rank = F.row_number().over(Window.partitionBy("band", "hash").orderBy(F.xxhash64("rep", "band"), "rep"))
+        rank = F.row_number().over(Window.partitionBy("band", "hash").orderBy(F.desc("meets"), F.xxhash64("rep"), "rep"))
         centre = members.withColumn("rank", rank).where(F.col("rank") <= centres).where(F.col("rank") > had).select("band", "hash", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
         pairs = members.join(centre, ["band", "hash"]).where((F.col("label") != F.col("cl")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
         first = F.col("rep") < F.col("c")
         pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"), F.when(first, F.col("label")).otherwise(F.col("cl")).alias("x"), F.when(first, F.col("cl")).otherwise(F.col("label")).alias("y")).distinct()
         links = stored(confirm(pairs, texts, words, percent))
-        now = members
-        if not links.isEmpty():
-            label = components(links.select("x", "y").distinct())
-            relabelled.append(label)
-            now = members.join(label, members.label == label.id, "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
+        if links.isEmpty():
+            drop(links)
+            break
+        label = components(links.select("x", "y").distinct())
+        relabelled.append(label)
+        now = members.join(label, members.label == label.id, "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
         drop(links)
         # buckets of one component, and those whose members have all been centres, are done
         left = now.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where((F.col("lo") != F.col("hi")) & (F.col("c") > centres)).select("band", "hash")
         after = stored(now.join(left, ["band", "hash"]))
         drop(members)
-        members, had, centres = after, centres, centres * 16
+        members, had, centres = after, centres, centres + step
     drop(members)
     drop(texts)
 
