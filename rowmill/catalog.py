@@ -1,13 +1,13 @@
-"""Registered queries over the driver's tables, each with its SQL where SQL can express it."""
+"""The registry of queries over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def query(sql: str | None = None):
     """Register a function (spark, sf_dir) under its name, with its DuckDB SQL."""
 
-    def add(f):
+    def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
@@ -27,16 +27,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""
-SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2
-""")
-def means_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+def queries() -> dict[str, Query]:
+    from rowmill.plans import dimensional, ordered, summaries, texts  # noqa: F401  they register themselves
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
