@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 BLOCK, SHARD, WEIGHTS, LIMIT, RUN = 128, 4096, (5, 2, 1), 3, 65_536
 #: Primes, one for each pass and one for the line of slots.
 PRIMES = (1_000_000_000_039, 1_000_000_000_061, 1_000_000_000_063, 1_000_000_000_091)
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def words_in(text: Column) -> Column:
@@ -116,7 +116,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     begin = F.greatest(F.col("at"), F.col("block") * block) - F.col("block") * block
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block
     u = uses.select(F.col("source").alias("us"), F.col("block").alias("ub"), "full", "head")
-    hit = cover.join(u, cover.source.eqNullSafe(F.col("us")) & (F.col("block") == F.col("ub")))
+    # the planner takes slots for as few as the sources they come from: without the hint it would broadcast them
+    hit = cover.join(u.hint("merge"), cover.source.eqNullSafe(F.col("us")) & (F.col("block") == F.col("ub")))
     taken = hit.select("no", (F.col("full") * (end - begin) + F.greatest(F.least(end, F.col("head")) - begin, F.lit(0))).alias("t")).groupBy("no").agg(F.sum("t").alias("taken"))
     return rows.join(taken, "no", "left").select(key, "size", "tie", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
