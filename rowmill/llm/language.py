@@ -62,11 +62,11 @@ def triples(view: np.ndarray, offs: np.ndarray):
     at = np.concatenate(([0], np.cumsum(head)))[offs]
     code = np.frombuffer(view.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     kind = letter_classes()[np.minimum(code, TOP)].astype(np.int64)
-    # one gap before every text; runs of gaps become one
-    grown = np.zeros(len(kind) + n, np.int64)
-    where = np.arange(len(kind)) + np.repeat(np.arange(1, n + 1), np.diff(at))
+    # one gap before and after every text; runs of gaps become one
+    grown = np.zeros(len(kind) + 2 * n, np.int64)
+    where = np.arange(len(kind)) + np.repeat(2 * np.arange(n) + 1, np.diff(at))
     grown[where] = kind
-    row = np.repeat(np.arange(n), np.diff(at) + 1)
+    row = np.repeat(np.arange(n), np.diff(at) + 2)
     keep = np.ones(len(grown), bool)
     keep[1:] = (grown[1:] > 0) | (grown[:-1] > 0) | (row[1:] != row[:-1])
     grown, row = grown[keep], row[keep]

@@ -89,7 +89,9 @@ def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: int
     t = t.withColumn("part", F.least(F.ceil(F.col("rest") / block), F.col("n_blocks"))).withColumn("n_slots", F.col("passes") * F.col("n_blocks") + F.col("part"))
     line = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     t = t.withColumn("first", F.coalesce(F.sum("n_slots").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n_slots").over(Window.partitionBy()))
-    runs = t.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN)))).repartition(F.col("source"), F.col("run"))
+    runs = t.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN))))
+    # a stated number of tasks: by size alone these few short rows would be put into one
+    runs = runs.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("source"), F.col("run"))
     s = runs.withColumn("ordinal", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("n_slots")) - 1)))
     s = s.withColumn("pass", F.floor(F.col("ordinal") / F.col("n_blocks"))).withColumn("i", F.col("ordinal") - F.col("pass") * F.col("n_blocks"))
     shift = F.shiftrightunsigned(F.xxhash64("source", F.lit(4)), 24)
