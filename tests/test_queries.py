@@ -1,12 +1,14 @@
 """Every registered query against DuckDB on the same Parquet files."""
 
+import os
+
 import duckdb
 import pandas as pd
 import pytest
 
 from rowmill import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
