@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowmill.llm import mixing, near_dup, packing, quality_rules, toxicity
 from rowmill.llm.queries import tokenizer_path
+from rowmill.llm.stored import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir).checkpoint()
+        docs = stored(stage(spark, docs, sf_dir))
     return docs
