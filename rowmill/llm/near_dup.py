@@ -14,7 +14,11 @@ Candidates are confirmed on the full sets, and components are found by label
 propagation over all confirmed links.  Where a bucket still holds more than one
 component, it is dealt again around its next ``STEP`` centres, and only members
 outside a centre's component are candidates; rounds go on for as long as they
-find links.  Pairs grow with the members of buckets, never with their square.
+find links.  What then still shares a bucket with another component is finished
+exactly: of two sets as near as asked, the rarest shingles of one (its prefix)
+hold one of the other's, so only members with a common prefix shingle are
+confirmed.  No two texts of one bucket are left untested, and the pairs grow with
+the members of buckets and with what their rarest shingles share.
 
 Null texts and texts without words have an empty set and are linked with
 nothing; repeated rows of one id share its component; rows with a null id stay
@@ -129,6 +133,38 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return both.select("x", "y", near.asNondeterministic()("ta", "tb").alias("ok")).where("ok").select("x", "y")
 
 
+def prefix_pairs(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, x, y): all pairs a < b of ``members`` (rep, label) with other labels x and y
+    that can be as near as ``percent``, by the exact prefix filter.
+
+    Shingles are ordered by how many members have them.  Those of one member only come
+    first in its order and meet nobody, so they are counted and not carried on."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 100):
+                part = b.slice(lo, 100)
+                found = list(shingle_sets(part.column(3), k))
+                if not found:
+                    continue
+                at, sizes = np.array([r for r, _ in found]), np.array([len(s) for _, s in found])
+                each = pa.array(np.repeat(at, sizes))
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(each) for i in range(3)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate([s for _, s in found]).view(np.int64))], ["id", "label", "t", "n", "shingle"])
+
+    have = members.select(F.col("rep").alias("id"), "label").distinct().join(texts, "id").select("id", "label", F.xxhash64("text").alias("t"), "text")
+    sets = stored(have.mapInArrow(run, "id long, label long, t long, n long, shingle long"))
+    common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("c > 1")
+    one = Window.partitionBy("id", "t")
+    place = F.row_number().over(one.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(one)
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = sets.join(common, "shingle").withColumn("place", place).where(F.col("place") <= length).where("lo <> hi").select("id", "label", "n", "shingle")
+    other = prefix.select(F.col("id").alias("b"), F.col("label").alias("y"), F.col("n").alias("nb"), "shingle")
+    near = (F.col("id") < F.col("b")) & (F.col("label") != F.col("y")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+    pairs = stored(prefix.join(other, "shingle").where(near).select(F.col("id").alias("a"), "b", F.col("label").alias("x"), "y").distinct())
+    drop(sets)
+    return pairs
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component), stored: the smallest id reachable over links (x, y), for every id with one.
 
@@ -175,11 +211,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         first = F.col("rep") < F.col("c")
         pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"), F.when(first, F.col("label")).otherwise(F.col("cl")).alias("x"), F.when(first, F.col("cl")).otherwise(F.col("label")).alias("y")).distinct()
         links = stored(confirm(pairs, texts, words, percent))
-        if links.isEmpty():
+        last = links.isEmpty()
+        if last:
             drop(links)
-            break
+            pairs = prefix_pairs(members, texts, words, percent)
+            links = stored(confirm(pairs, texts, words, percent))
+            drop(pairs)
+            if links.isEmpty():
+                drop(links)
+                break
         label = components(links.select("x", "y").distinct())
         relabelled.append(label)
+        if last:
+            drop(links)
+            break
         now = members.join(label, members.label == label.id, "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
         drop(links)
         # buckets of one component, and those whose members have all been centres, are done
