@@ -135,7 +135,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 def prefix_pairs(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, x, y): all pairs a < b of ``members`` (rep, label) with other labels x and y
-    that can be as near as ``percent``, by the exact prefix filter.
+    that can be as near as ``percent``, by exact prefix and position filters.
 
     Shingles are ordered by how many members have them.  Those of one member only come
     first in its order and meet nobody, so they are counted and not carried on."""
@@ -157,9 +157,11 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
     one = Window.partitionBy("id", "t")
     place = F.row_number().over(one.orderBy("c", "shingle")) + F.col("n") - F.count(F.lit(1)).over(one)
     length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = sets.join(common, "shingle").withColumn("place", place).where(F.col("place") <= length).where("lo <> hi").select("id", "label", "n", "shingle")
-    other = prefix.select(F.col("id").alias("b"), F.col("label").alias("y"), F.col("n").alias("nb"), "shingle")
-    near = (F.col("id") < F.col("b")) & (F.col("label") != F.col("y")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+    prefix = sets.join(common, "shingle").withColumn("place", place).where(F.col("place") <= length).where("lo <> hi").select("id", "label", "n", "shingle", "place")
+    other = prefix.select(F.col("id").alias("b"), F.col("label").alias("y"), F.col("n").alias("nb"), "shingle", F.col("place").alias("pb"))
+    # the first shingle that two near sets have in common lies so early in both that enough can follow
+    follow = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+    near = (F.col("id") < F.col("b")) & (F.col("label") != F.col("y")) & ((100 + percent) * follow >= percent * (F.col("n") + F.col("nb")))
     pairs = stored(prefix.join(other, "shingle").where(near).select(F.col("id").alias("a"), "b", F.col("label").alias("x"), "y").distinct())
     drop(sets)
     return pairs
