@@ -70,8 +70,7 @@ def test_near_duplicates_against_all_pairs(docs, none):
 
 
 def test_near_duplicates_between_texts_that_are_never_centres(spark):
-    """Texts that share a passage and so a bucket, few of them near each other: with one
-    bucket a band and one centre a round, stars alone would stop before they meet."""
+    """The exact join for what stars leave: every near pair among texts that share a passage."""
     rng = np.random.default_rng(4)
     passage = [f"shared{i}" for i in range(60)]
     texts = []
@@ -81,14 +80,11 @@ def test_near_duplicates_between_texts_that_are_never_centres(spark):
         if i % 4 == 0:
             texts.append(" ".join(passage + own[:-2]))
     sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(words, texts)]
-    root = list(range(len(texts)))
-    for a, b in combinations(range(len(texts)), 2):
-        if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-            root = [root[a] if x == root[b] else x for x in root] if root[a] < root[b] else [root[b] if x == root[a] else x for x in root]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = near_dup.near_duplicates(docs, words=3, percent=85, bands=24, width=1, step=1)
-    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
-    assert len(set(root)) <= 30 + 10
+    want = {(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    members = docs.select(F.col("id").alias("rep"), F.col("id").alias("label"))
+    pairs = near_dup.prefix_pairs(members, docs, 3, 85)
+    assert {(r.x, r.y) for r in near_dup.confirm(pairs, docs, 3, 85).collect()} == want and want
 
 
 def test_mixing(spark, docs, none):
