@@ -2,12 +2,13 @@
 
 A page is read into blocks of text, and every element is hashed with its tag,
 attributes and content.  Spark counts, for each host, on how many different
-pages a subtree occurs; subtrees that recur across many pages of their host are
-its template, and their text is deleted.  A page that is a copy of another does
-not count again, and what stands inside an article or main element is never
-template: there repetition is content.  Elements whose tag, role or class names
-them as menu, header, footer, sidebar, notice, advert, form, script, style or
-reader comments are left out in any case.
+pages an element occurs, and how many different pages the host has; elements
+that recur on a share of them, and on ``min_pages`` at least, are its template,
+inside an article or main element as outside, and their text is deleted.  A page
+that is a copy of another does not count again.  A block goes with the innermost
+element around it: where a larger element recurs, all within it recur too.
+Elements whose tag, role or class names them as menu, header, footer, sidebar,
+notice, advert, form, script, style or reader comments are left out in any case.
 
 Null and empty pages give an empty text; markup that is never closed is closed
 by its parents; repeated pages get equal results; pages without a host share
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import json
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 from rowmill.llm.stored import stored
 from rowmill.llm.url_filter import host_of
 
-MIN_PAGES = 8
+MIN_PAGES, SHARE = 8, 0.05
+#: Up to so many pages with deletions, the deletions are sent to the pages.
+BROADCAST_PAGES = 50_000
 
 #: Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,10 +56,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "skip", "main", "first", "parts", "own")
+    __slots__ = ("tag", "skip", "main", "held", "parts", "own")
 
-    def __init__(self, tag, skip, main, first, own):
-        self.tag, self.skip, self.main, self.first, self.own, self.parts = tag, skip, main, first, own, []
+    def __init__(self, tag, skip, main, own):
+        self.tag, self.skip, self.main, self.own, self.held, self.parts = tag, skip, main, own, [], []
 
 
 def furniture(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
@@ -66,17 +71,15 @@ def furniture(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
     return attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(named.strip() and FURNITURE.search(named))
 
 
-def read(page: str) -> tuple[list[str], list[int], bool, list[tuple[int, int, int]]]:
-    """(blocks, node-depth flags of being inside article or main, whether the page
-    has such an element, subtrees outside of it as (hash, first block, past the last)).
+def read(page: str) -> tuple[list[str], list[int | None]]:
+    """(blocks, for each the hash of the innermost block element around it).
 
-    Text inside an element that is furniture is not in the blocks."""
+    Text inside an element that is furniture is not in the blocks; a block outside
+    of all elements has no hash."""
     blocks: list[str] = []
-    inside: list[int] = []
-    trees: list[tuple[int, int, int]] = []
-    root = Node("", False, False, 0, b"")
+    marks: list[int | None] = []
+    root = Node("", False, False, b"")
     stack, buf = [root], []
-    has_main = False
 
     def end_block():
         if buf:
@@ -84,7 +87,8 @@ def read(page: str) -> tuple[list[str], list[int], bool, list[tuple[int, int, in
             buf.clear()
             if text:
                 blocks.append(text)
-                inside.append(1 if stack[-1].main else 0)
+                marks.append(None)
+                next(n for n in reversed(stack) if n.tag not in INLINE).held.append(len(marks) - 1)
 
     def text(raw: str):
         if raw and not stack[-1].skip:
@@ -99,8 +103,8 @@ def read(page: str) -> tuple[list[str], list[int], bool, list[tuple[int, int, in
         stack.pop()
         made = hashlib.blake2b(b"\0".join([node.own, *node.parts]), digest_size=8).digest()
         stack[-1].parts.append(made)
-        if not node.skip and not node.main and len(blocks) > node.first and node.tag not in INLINE:
-            trees.append((int.from_bytes(made, "little", signed=True), node.first, len(blocks)))
+        for i in node.held:
+            marks[i] = int.from_bytes(made, "little", signed=True)
 
     def close_to(names, bounds) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -144,9 +148,8 @@ def read(page: str) -> tuple[list[str], list[int], bool, list[tuple[int, int, in
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])}
         up = stack[-1]
         main = up.main or tag in MAIN or attrs.get("role", "").lower() == "main"
-        has_main |= main and not up.skip
         skip = up.skip or furniture(tag, attrs, main)
-        stack.append(Node(tag, skip, main, len(blocks), f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}".encode("utf-8", "replace")))
+        stack.append(Node(tag, skip, main, f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}".encode("utf-8", "replace")))
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else size
@@ -155,50 +158,55 @@ def read(page: str) -> tuple[list[str], list[int], bool, list[tuple[int, int, in
     while len(stack) > 1:
         close()
     end_block()
-    return blocks, inside, has_main, trees
+    return blocks, marks
 
 
 def parse(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
-    """key, host, print (a hash of all text), blocks, trees."""
+    """key, host, print (a hash of all text), blocks (compressed) and marks."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            prints, texts, trees = [], [], []
+            prints, texts, marks = [], [], []
             for x in b.column(2):
-                blocks, inside, has_main, found = read(x.as_py() or "")
-                prints.append(int.from_bytes(hashlib.blake2b("\0".join(blocks).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
-                keep = [i for i in range(len(blocks)) if inside[i] or not has_main]
-                new = {i: n for n, i in enumerate(keep)}
-                texts.append([blocks[i] for i in keep])
-                own = []
-                for h, lo, hi in () if has_main else found:  # with a main element only its blocks are left, which are content
-                    got = [new[i] for i in range(lo, hi) if i in new]
-                    if got:
-                        own.append({"hash": h, "lo": got[0], "hi": got[-1] + 1})
-                trees.append(own)
-            tree = pa.list_(pa.struct([("hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(trees, tree)], [key, "host", "print", "blocks", "trees"])
+                blocks, own = read(x.as_py() or "")
+                said = json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace")
+                prints.append(int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True))
+                texts.append(zlib.compress(said, 1))
+                marks.append(own)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64()), pa.array(texts, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], [key, "host", "print", "blocks", "marks"])
 
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, host string, print long, blocks array<string>, trees array<struct<hash: bigint, lo: int, hi: int>>")
+    return rows.mapInArrow(run, f"`{key}` {kind}, host string, print long, blocks binary, marks array<bigint>")
 
 
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def kept():
+    """An Arrow UDF (blocks, marks, cut) -> the text of the blocks whose marks are not in cut."""
+
+    @F.arrow_udf("string")
+    def text(blocks: pa.Array, marks: pa.Array, cut: pa.Array) -> pa.Array:
+        out = []
+        for z, own, gone in zip(blocks, marks.to_pylist(), cut.to_pylist(), strict=True):
+            gone = set(gone or ())
+            out.append("\n\n".join(x for x, m in zip(json.loads(zlib.decompress(z.as_py())), own, strict=True) if m not in gone))
+        return pa.array(out, pa.string())
+
+    return text
+
+
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """key, url, text and n_chars for every row of ``pages``.
 
-    Only pages that still have subtrees in question (those without an article or
-    main element) are shuffled; parsed pages are stored in the shared folder, so
-    markup is read once."""
+    Parsed pages are stored in the shared folder, compressed, so markup is read
+    once; what is counted are hashes alone."""
     rows = pages.select(F.col(key).alias("_k"), F.col(url).alias("_u"), F.col(page).alias("_p"))
     parsed = parse(rows.withColumn("_k", F.struct("_k", "_u")).select("_k", "_u", "_p"), "_k", "_u", "_p").withColumn("no", F.monotonically_increasing_id())
-    parsed = stored(parsed)
-    trees = parsed.where("size(trees) > 0").select("no", "host", "print", F.explode("trees").alias("t")).select("no", "host", "print", "t.*")
-    often = trees.groupBy("host", "hash", "print").agg(F.lit(1).alias("one")).groupBy("host", "hash").count().where(F.col("count") >= min_pages).select("host", "hash")
-    cut = trees.join(often, ["host", "hash"]).groupBy("no").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
-    plain = parsed.where("size(trees) = 0").select("_k", F.array_join("blocks", "\n\n").alias("text"))
-    out = parsed.where("size(trees) > 0").join(cut, "no", "left")
-    kept = F.filter("blocks", lambda x, i: ~F.exists(F.coalesce("cuts", F.expr("array()").cast("array<struct<lo:int,hi:int>>")), lambda c: (i >= c.lo) & (i < c.hi)))
-    text = F.array_join(F.when(F.col("cuts").isNull(), F.col("blocks")).otherwise(kept), "\n\n")
-    out = out.select("_k", text.alias("text")).unionByName(plain)
+    parsed = stored(parsed.withColumn("host", F.xxhash64("host")))
+    marks = parsed.select("no", "host", "print", F.explode(F.array_distinct("marks")).alias("mark")).where("mark is not null")
+    sizes = parsed.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    on = marks.select("host", "mark", "print").distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    often = on.join(sizes, "host").where(F.col("n") >= share * F.col("n_pages")).select("host", "mark")
+    cut = stored(marks.join(often, ["host", "mark"]).groupBy("no").agg(F.collect_set("mark").alias("cut")))
+    out = parsed.join(F.broadcast(cut) if cut.count() <= BROADCAST_PAGES else cut, "no", "left")
+    out = out.select("_k", kept()("blocks", "marks", "cut").alias("text"))
     return out.select(F.col("_k._k").alias(key), F.col("_k._u").alias(url), "text").withColumn("n_chars", F.char_length("text").cast("long"))

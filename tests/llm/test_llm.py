@@ -203,6 +203,19 @@ def test_main_text(spark):
     assert out[102].text == "T t\n\na\n\nb\n\nc" and out[103].text == "one\n\ntwo"
 
 
+def test_site_templates_on_all_pages_of_a_host(spark):
+    body = "<main><p>Own text {i}</p><div class=box>Site words</div></main><div class=tail>Tail words</div>"
+    rows = [(i, f"http://h.org/{i}", body.format(i=i)) for i in range(20)]
+    rows += [(20 + i, f"http://h.org/{20 + i}", f"<p>Plain {i}</p><div class=box>Site words</div>") for i in range(3)]
+    # copies of one page do not count again; without recurrence, what lies outside of main is kept
+    rows += [(30 + i, "http://c.org/", "<article>Same</article><p>Outside</p>") for i in range(20)]
+    # 10 of 300 pages are no template
+    rows += [(100 + i, f"http://big.org/{i}", f"<p>Page {i}</p>" + "<p>Some pages</p>" * (i < 10)) for i in range(300)]
+    out = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[3] == "Own text 3" and out[21] == "Plain 1" and out[30] == "Same\n\nOutside"
+    assert out[100] == "Page 0\n\nSome pages"
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 16))
