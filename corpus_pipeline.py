@@ -36,8 +36,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus in its new proportions: a document is repeated as often as the mix
-    takes all of its words, and the rest of what is taken follows as its first
-    words."""
+    takes its source whole, and the blocks drawn beyond that follow as pieces of it."""
     return mixing.rebuilt(docs)
 
 

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.llm.stored import stored
+
 BLOCK, SHARD, WEIGHTS, LIMIT, RUN = 128, 4096, (5, 2, 1), 3, 65_536
 #: Primes, one for each pass and one for the line of slots.
 PRIMES = (1_000_000_000_039, 1_000_000_000_061, 1_000_000_000_063, 1_000_000_000_091)
@@ -78,7 +80,8 @@ def placed(sized: DataFrame, targets: DataFrame, key: str) -> DataFrame:
 
 
 def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: int = LIMIT) -> DataFrame:
-    """The mix: source, ordinal, pass, block, words (taken from the block's start), slot and shard.
+    """The mix: source, ordinal, pass, block, words (taken from the block's start), part (whether
+    the pass takes only some of its source's blocks), slot and shard.
 
     Slots are made in runs, so a source with many gives many tasks work."""
     t = targets.where("source_size > 0")
@@ -101,20 +104,31 @@ def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: int
     slot = permuted(F.col("first") + F.col("ordinal"), F.col("all"), PRIMES[-1], F.lit(104_729))
     last = (F.col("pass") == F.col("passes")) & (F.col("i") == F.col("part") - 1)
     words = F.when(last, F.least(F.lit(block).cast("long"), F.col("rest") - (F.col("part") - 1) * block)).otherwise(F.lit(block).cast("long"))
-    return s.select("source", "ordinal", "pass", to.alias("block"), words.alias("words"), slot.alias("slot"), F.floor(slot / shard).alias("shard"))
+    return s.select("source", "ordinal", "pass", to.alias("block"), words.alias("words"), (F.col("pass") == F.col("passes")).alias("part"), slot.alias("slot"), F.floor(slot / shard).alias("shard"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """key, size, source, source_size, target and taken for every row of ``docs``.
+def laid_out(docs: DataFrame, no: Column, key: str, text: str, source: str, weights, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(placed rows under their numbers ``no``, targets).
 
-    ``taken`` counts the words of the row that the mix takes, repeats included.
     Sizes (a few numbers a row) are written to the checkpoint folder once."""
-    sized = docs.select(F.col(key), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), F.xxhash64(text).alias("tie")).checkpoint()
+    sized = docs.select(no.alias("no"), F.col(key), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), F.xxhash64(text).alias("tie")).checkpoint()
     targets = source_targets(sized, weights, limit).checkpoint()
-    rows = placed(sized, targets, key).withColumn("no", F.monotonically_increasing_id()).checkpoint()
+    return placed(sized, targets, key).checkpoint(), targets
+
+
+def covered(rows: DataFrame, block: int) -> DataFrame:
+    """Every row once for each block that it has words in."""
+    return rows.where("size > 0").select("no", "source", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """key, size, source, source_size, target and taken for every row of ``docs``.
+
+    ``taken`` counts the words of the row that the mix takes, repeats included."""
+    rows, targets = laid_out(docs, F.monotonically_increasing_id(), key, text, source, weights, limit)
 
     uses = slots(targets, block, limit=limit).groupBy("source", "block").agg(F.sum(F.when(F.col("words") == block, 1).otherwise(0)).alias("full"), F.max(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("head"))
-    cover = rows.where("size > 0").select("no", "source", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
+    cover = covered(rows, block)
     begin = F.greatest(F.col("at"), F.col("block") * block) - F.col("block") * block
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block
     u = uses.select(F.col("source").alias("us"), F.col("block").alias("ub"), "full", "head")
@@ -124,20 +138,48 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return rows.join(taken, "no", "left").select(key, "size", "tie", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def rebuilt(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
+def drawn(rows: DataFrame, s: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What slots ``s`` take of the rows: no, slot, at, start and n (words of the row).
+
+    A pass through all blocks takes each row whole, in the slot of the block it
+    begins in.  Of a pass through some, blocks of a row that lie next to each other
+    are one piece, in the slot of the first."""
+    taken = s.select(F.col("source").alias("us"), F.col("block").alias("ub"), "part", "words", "slot")
+    same = lambda r, t: r.join(t.hint("merge"), r.source.eqNullSafe(F.col("us")) & (r.block == F.col("ub")))
+    begins = rows.where("size > 0").withColumn("block", F.floor(F.col("at") / block))
+    whole = same(begins, taken.where("not part")).select("no", "slot", "at", F.lit(0).cast("long").alias("start"), F.col("size").alias("n"))
+    start = F.greatest(F.col("at"), F.col("block") * block) - F.col("at")
+    end = F.least(F.col("at") + F.col("size"), F.col("block") * block + F.col("words")) - F.col("at")
+    some = same(covered(rows, block), taken.where("part")).select("no", "slot", "at", start.alias("start"), end.alias("end")).where("end > start")
+    order = Window.partitionBy("no").orderBy("start")
+    some = some.withColumn("new", F.coalesce((F.lag("end").over(order) != F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
+    some = some.groupBy("no", "at", "run").agg(F.min_by("slot", "start").alias("slot"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.unionByName(some.select("no", "slot", "at", "start", (F.col("end") - F.col("start")).alias("n")))
+
+
+def cut_out(text: Column, start: Column, n: Column, words: Column) -> Column:
+    """Words start .. start + n - 1 of a text that is cut into ``words``, white space as it was."""
+    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    first = F.when(start == 0, 1).otherwise(start + 1 + lead)
+    return F.array_join(F.slice(words, first.cast("int"), (n + F.when(start == 0, lead).otherwise(0)).cast("int")), "")
+
+
+def rebuilt(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", n_chars: str = "n_chars", block: int = BLOCK) -> DataFrame:
     """The mixed corpus in the columns of ``docs``.
 
-    A row appears once for each time that all of its words are taken; what is
-    taken beyond that follows as its first so many words, joined by blanks.
-    Rows alike in key, source and text share what they are given evenly, rounded
-    down."""
-    plan = mixed(docs, key, text, source).where("taken > 0").groupBy(key, "source", "tie").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("taken"), F.first("size").alias("size"))
-    plan = plan.select(F.col(key).alias("__k"), F.col("source").alias("__c"), F.col("tie").alias("__t"), F.floor(F.col("taken") / F.col("size")).alias("__full"), F.pmod("taken", "size").alias("__rest"))
-    rows = docs.join(plan, docs[key].eqNullSafe(F.col("__k")) & docs[source].eqNullSafe(F.col("__c")) & (F.xxhash64(docs[text]) == F.col("__t")))
-    times = F.col("__full") + F.when(F.col("__rest") > 0, 1).otherwise(0)
-    rows = rows.where(times > 0).withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), times)))
-    head = F.array_join(F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda x: x != ""), F.lit(1), F.col("__rest").cast("int")), " ")
-    rows = rows.withColumn(text, F.when(F.col("__i") <= F.col("__full"), F.col(text)).otherwise(head))
+    A row appears whole for each pass that takes its source whole; of a pass that
+    takes some blocks, each piece of the row follows as a text of its own, cut at
+    the words drawn, its white space as it was.  Rows are stored once, so that
+    their numbers hold."""
+    docs = stored(docs.withColumn("__no", F.monotonically_increasing_id()))
+    rows, targets = laid_out(docs, F.col("__no"), key, text, source, WEIGHTS, LIMIT)
+    taken = drawn(rows, slots(targets, block), block).groupBy(F.col("no").alias("__n")).agg(F.collect_list(F.struct("slot", "at", "start", "n")).alias("__p"))
+    out = docs.join(taken, F.col("__no") == F.col("__n")).withColumn("__size", words_in(F.col(text)))
+    # a text is cut into words once for all its pieces: one-element array as a name for the words
+    words = F.when(F.exists("__p", lambda p: p.n < F.col("__size")), F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"))
+    one = lambda p, w: F.struct(p.slot.alias("slot"), p["at"].alias("at"), p.start.alias("start"), F.when(p.n < F.col("__size"), cut_out(F.col(text), p.start, p.n, w)).otherwise(F.col(text)).alias("text"))
+    pieces = F.flatten(F.transform(F.array(words), lambda w: F.transform("__p", lambda p: one(p, w))))
+    out = out.select(*(f"`{c}`" for c in docs.columns if c not in (text, "__no")), F.explode(pieces).alias("__x")).withColumn(text, F.col("__x.text"))
     if n_chars in docs.columns:
-        rows = rows.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
-    return rows.select(*(f"`{c}`" for c in docs.columns))
+        out = out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
+    return out.select(*(f"`{c}`" for c in docs.columns if c != "__no"))

@@ -106,6 +106,25 @@ def test_mixing(spark, docs, none):
     assert mixing.rebuilt(docs).columns == docs.columns
 
 
+def test_mixed_texts_are_the_blocks_drawn(spark):
+    text = "  " + "".join(f"w{i}" + (" ", "\n\n", "\t")[i % 3] for i in range(1000))
+    rows = [(1, text, "en", "a", 0), (2, "x y\n z", "en", "a", 0), (None, "p  q", "en", "b", 0), (None, "p  q", "fr", "b", 0), (3, " ".join(f"v{i}" for i in range(600)), "en", "b", 0), (4, None, "en", "b", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {}
+    for r in mixing.mixed(df, block=16).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+    out = mixing.rebuilt(df, block=16).collect()
+    got, said = {}, {None: "p  q", **{r[0]: r[1] for r in rows if r[0]}}
+    for r in out:
+        assert r.text in said[r.doc_id] and r.n_chars == len(r.text)
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(words(r.text))
+    assert got == {k: v for k, v in taken.items() if v}
+    # source b weighs less than its size: the blocks drawn are not its document's first words
+    tails = [r for r in out if r.doc_id == 3 and not r.text.startswith("v0 ")]
+    assert tails and max(int(w[1:]) for r in tails for w in words(r.text)) > 300
+    assert {r.lang for r in out if r.doc_id is None} <= {"en", "fr"}
+
+
 def test_packing_is_an_exact_cover(spark, docs, none):
     from tokenizers import Tokenizer
 
