@@ -3,13 +3,14 @@
 The words of a source, its documents one after another, are cut into blocks of
 ``BLOCK`` words.  A mix as long as the corpus is a row of slots, each of which
 takes one block.  The slots of all sources are laid on one line, by the sources'
-targets, and dealt to output shards by a pseudorandom permutation of that line:
-each shard's source counts are a multinomial draw, tied to the targets as their
-common total.  The slots of a source go through its blocks in passes; in each
-pass the slot numbers are mapped to block numbers by a pseudorandom permutation
-of their own, and blocks are joined by index.  A permutation is i -> (m * i + c)
-mod n with m prime and above n, computed in decimals, so it holds for more rows
-than a 64-bit product would.
+targets, and dealt to output shards in the order of a hash of their places: each
+shard's source counts are a multinomial draw under the condition that the shards
+together have the sources' totals.  The mix is ordered by shard and slot.  The
+slots of a source go through its blocks in passes; in each pass the slot numbers
+are mapped to block numbers by a pseudorandom permutation of their own, and
+blocks are joined by index.  A permutation is i -> (m * i + c) mod n with m prime
+and above n, computed in decimals, so it holds for more rows than a 64-bit
+product would.
 
 Targets: source k, by code point with null last, weighs as ``weights`` repeats;
 a target that would pass ``limit`` times its source stops there and the excess
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from rowmill.llm.stored import stored
 
 BLOCK, SHARD, WEIGHTS, LIMIT, RUN = 128, 4096, (5, 2, 1), 3, 65_536
-#: Primes, one for each pass and one for the line of slots.
-PRIMES = (1_000_000_000_039, 1_000_000_000_061, 1_000_000_000_063, 1_000_000_000_091)
-BUCKET_ROWS = 2_000
+#: Primes, one for each pass.
+PRIMES = (1_000_000_000_039, 1_000_000_000_061, 1_000_000_000_063)
+BUCKET_ROWS, DEAL_ROWS = 2_000, 16_384
 
 
 def words_in(text: Column) -> Column:
@@ -99,12 +100,31 @@ def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: int
     s = s.withColumn("pass", F.floor(F.col("ordinal") / F.col("n_blocks"))).withColumn("i", F.col("ordinal") - F.col("pass") * F.col("n_blocks"))
     shift = F.shiftrightunsigned(F.xxhash64("source", F.lit(4)), 24)
     to = F.when(F.col("pass") == 0, permuted(F.col("i"), F.col("n_blocks"), PRIMES[0], shift))
-    for p in range(1, len(PRIMES) - 1):
+    for p in range(1, len(PRIMES)):
         to = to.when(F.col("pass") == p, permuted(F.col("i"), F.col("n_blocks"), PRIMES[p], shift + 7919 * p))
-    slot = permuted(F.col("first") + F.col("ordinal"), F.col("all"), PRIMES[-1], F.lit(104_729))
     last = (F.col("pass") == F.col("passes")) & (F.col("i") == F.col("part") - 1)
     words = F.when(last, F.least(F.lit(block).cast("long"), F.col("rest") - (F.col("part") - 1) * block)).otherwise(F.lit(block).cast("long"))
-    return s.select("source", "ordinal", "pass", to.alias("block"), words.alias("words"), (F.col("pass") == F.col("passes")).alias("part"), slot.alias("slot"), F.floor(slot / shard).alias("shard"))
+    s = s.select("source", "ordinal", "pass", to.alias("block"), words.alias("words"), (F.col("pass") == F.col("passes")).alias("part"), (F.col("first") + F.col("ordinal")).alias("line"), "all")
+    return dealt(s).withColumn("shard", F.floor(F.col("slot") / shard)).drop("line", "all")
+
+
+def dealt(s: DataFrame) -> DataFrame:
+    """``s`` with the rank (slot) of each place on the line by its hash.
+
+    Ranks are taken in bins of the hash of about DEAL_ROWS rows, offset by the
+    counts of the bins before; only those counts, one row a bin, are in one task."""
+    s = s.withColumn("key", F.shiftrightunsigned(F.xxhash64("line", F.lit(104_729)), 33))
+    s = s.withColumn("bin", F.shiftright(F.col("key") * F.ceil(F.col("all") / DEAL_ROWS), 31))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = s.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select(F.col("bin").alias("b"), before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("bin").orderBy("key", "line"))
+    ranked = s.withColumn("rank", rank)
+    return ranked.join(F.broadcast(bins), ranked.bin == F.col("b")).withColumn("slot", F.col("before") + F.col("rank") - 1).drop("b", "before", "rank", "bin", "key")
+
+
+def shard_counts(s: DataFrame) -> DataFrame:
+    """How many slots, and words, of each source are in each output shard."""
+    return s.groupBy("shard", "source").agg(F.count(F.lit(1)).alias("n_slots"), F.sum("words").alias("n_words"))
 
 
 def laid_out(docs: DataFrame, no: Column, key: str, text: str, source: str, weights, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -121,21 +141,26 @@ def covered(rows: DataFrame, block: int) -> DataFrame:
     return rows.where("size > 0").select("no", "source", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """key, size, source, source_size, target and taken for every row of ``docs``.
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, weights=WEIGHTS, limit: int = LIMIT, shard: int = SHARD) -> DataFrame:
+    """key, size, source, source_size, target, taken, shard and slot for every row of ``docs``.
 
-    ``taken`` counts the words of the row that the mix takes, repeats included."""
+    ``taken`` counts the words of the row that the mix takes, repeats included; its
+    shard and slot are the first that take any, and the rows are in their order,
+    those that are not taken at the end."""
     rows, targets = laid_out(docs, F.monotonically_increasing_id(), key, text, source, weights, limit)
 
-    uses = slots(targets, block, limit=limit).groupBy("source", "block").agg(F.sum(F.when(F.col("words") == block, 1).otherwise(0)).alias("full"), F.max(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("head"))
+    uses = slots(targets, block, limit=limit).groupBy("source", "block").agg(F.sum(F.when(F.col("words") == block, 1).otherwise(0)).alias("full"), F.max(F.when(F.col("words") < block, F.col("words")).otherwise(0)).alias("head"), F.min(F.when(F.col("words") == block, F.col("slot"))).alias("full_slot"), F.min(F.when(F.col("words") < block, F.col("slot"))).alias("head_slot"))
     cover = covered(rows, block)
     begin = F.greatest(F.col("at"), F.col("block") * block) - F.col("block") * block
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block
-    u = uses.select(F.col("source").alias("us"), F.col("block").alias("ub"), "full", "head")
+    u = uses.select(F.col("source").alias("us"), F.col("block").alias("ub"), "full", "head", "full_slot", "head_slot")
     # the planner takes slots for as few as the sources they come from: without the hint it would broadcast them
     hit = cover.join(u.hint("merge"), cover.source.eqNullSafe(F.col("us")) & (F.col("block") == F.col("ub")))
-    taken = hit.select("no", (F.col("full") * (end - begin) + F.greatest(F.least(end, F.col("head")) - begin, F.lit(0))).alias("t")).groupBy("no").agg(F.sum("t").alias("taken"))
-    return rows.join(taken, "no", "left").select(key, "size", "tie", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    in_head = F.greatest(F.least(end, F.col("head")) - begin, F.lit(0))
+    slot = F.least("full_slot", F.when(in_head > 0, F.col("head_slot")))
+    taken = hit.select("no", (F.col("full") * (end - begin) + in_head).alias("t"), slot.alias("slot")).groupBy("no").agg(F.sum("t").alias("taken"), F.min("slot").alias("slot"))
+    out = rows.join(taken, "no", "left").select(key, "size", "tie", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.floor(F.col("slot") / shard).alias("shard"), "slot")
+    return out.orderBy(F.asc_nulls_last("shard"), F.asc_nulls_last("slot"), F.col(key), "size", "tie")
 
 
 def drawn(rows: DataFrame, s: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -169,8 +194,9 @@ def rebuilt(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
 
     A row appears whole for each pass that takes its source whole; of a pass that
     takes some blocks, each piece of the row follows as a text of its own, cut at
-    the words drawn, its white space as it was.  Rows are stored once, so that
-    their numbers hold."""
+    the words drawn, its white space as it was.  Texts are in the order of shards
+    and slots, so repeats of a row lie apart.  Rows are stored once, so that their
+    numbers hold."""
     docs = stored(docs.withColumn("__no", F.monotonically_increasing_id()))
     rows, targets = laid_out(docs, F.col("__no"), key, text, source, WEIGHTS, LIMIT)
     taken = drawn(rows, slots(targets, block), block).groupBy(F.col("no").alias("__n")).agg(F.collect_list(F.struct("slot", "at", "start", "n")).alias("__p"))
@@ -179,7 +205,7 @@ def rebuilt(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     words = F.when(F.exists("__p", lambda p: p.n < F.col("__size")), F.split(F.col(text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"))
     one = lambda p, w: F.struct(p.slot.alias("slot"), p["at"].alias("at"), p.start.alias("start"), F.when(p.n < F.col("__size"), cut_out(F.col(text), p.start, p.n, w)).otherwise(F.col(text)).alias("text"))
     pieces = F.flatten(F.transform(F.array(words), lambda w: F.transform("__p", lambda p: one(p, w))))
-    out = out.select(*(f"`{c}`" for c in docs.columns if c not in (text, "__no")), F.explode(pieces).alias("__x")).withColumn(text, F.col("__x.text"))
+    out = out.select(*(f"`{c}`" for c in docs.columns if c not in (text, "__no")), F.explode(pieces).alias("__x")).orderBy("__x.slot", "__x.at", "__x.start").withColumn(text, F.col("__x.text"))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
     return out.select(*(f"`{c}`" for c in docs.columns if c != "__no"))

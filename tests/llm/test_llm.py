@@ -125,6 +125,24 @@ def test_mixed_texts_are_the_blocks_drawn(spark):
     assert {r.lang for r in out if r.doc_id is None} <= {"en", "fr"}
 
 
+def test_shards_are_multinomial_draws(spark, docs):
+    rows = [("a", 400, 40_000, 20_000.0), ("b", 400, 40_000, 60_000.0)]
+    s = mixing.slots(spark.createDataFrame(rows, "source string, n_rows long, source_size long, target double"), 4, shard=100)
+    n = {(r.shard, r.source): r.n_slots for r in mixing.shard_counts(s).collect()}
+    assert sorted(r.slot for r in s.select("slot").collect()) == list(range(20_000))
+    a = np.array([n.get((k, "a"), 0) for k in range(200)])
+    assert a.sum() == 5_000 and all(a[k] + n.get((k, "b"), 0) == 100 for k in range(200))
+    # variance of 100 draws of share 1/4 without replacement: 18.66
+    assert 12 < a.var() < 27
+    out = mixing.mixed(docs, block=16, shard=8).collect()
+    at = [(r.shard, r.slot) for r in out if r.taken]
+    assert at == sorted(at) and all(k == v // 8 for k, v in at) and all(r.slot is None for r in out if not r.taken)
+    # repeats of a text lie apart
+    many = spark.createDataFrame([(i, f"t{i} " * 30, "en", "a" if i % 5 else "b", 0) for i in range(200)], "doc_id long, text string, lang string, source string, n_chars long")
+    ids = [r.doc_id for r in mixing.rebuilt(many, block=30).collect()]
+    assert sum(x == y for x, y in zip(ids, ids[1:])) < len(ids) / 20
+
+
 def test_packing_is_an_exact_cover(spark, docs, none):
     from tokenizers import Tokenizer
 
