@@ -80,5 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """None of these results is plain SQL: models are trained, draws are made, or
-    neighbours are approximate.  They are held against brute force in tests/llm."""
+    neighbours are approximate.  What can be is held against brute force in tests/llm;
+    run() of the pipeline as a whole is not."""
     return {}

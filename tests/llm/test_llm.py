@@ -282,3 +282,24 @@ def test_pipeline_stages(spark):
         assert docs.count() > 0
         if name != "packing":
             assert docs.columns == cols
+
+
+def test_drop_copies_against_all_pairs(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(1)
+    made = [" ".join(f"u{w}" for w in rng.integers(0, 5000, 80)) for _ in range(12)]
+    near = made[0].replace(made[0].split()[40], "other")
+    # exact copies with one doc_id, one doc_id with two texts, a near copy, a copy with a smaller doc_id later, nulls
+    rows = [(5, made[0]), (5, made[0]), (5, made[1]), (7, near), (9, made[2]), (3, made[2]), (None, made[2]), (None, made[3]), (None, made[3]), (8, None), *((20 + i, t) for i, t in enumerate(made[4:]))]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets = [{tuple(words(t)[i : i + near_dup.WORDS]) for i in range(80 - near_dup.WORDS + 1)} if t else None for _, t in rows]
+    alone = [i for i, (k, t) in enumerate(rows) if k is None or not t]
+    want, seen = [rows[i] for i in alone], []
+    for i in sorted((i for i in range(len(rows)) if i not in alone), key=lambda i: rows[i][0]):
+        if not any(100 * len(sets[i] & sets[j]) >= near_dup.PERCENT * len(sets[i] | sets[j]) for j in seen):
+            want.append(rows[i])
+        seen.append(i)
+    out = corpus_pipeline.drop_copies(spark, df, SF)
+    assert out.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, want))
