@@ -38,6 +38,14 @@ def khop(spark, d):
     return analytics.khop(edges, spark.createDataFrame([(1,)], "node long"), 3)
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+k AS (SELECT DISTINCT l_partkey AS node, 0 AS hops FROM lineitem WHERE l_partkey % 20 = 0 UNION SELECT e.dst, k.hops+1 FROM k JOIN e ON e.src=k.node WHERE k.hops < 3) SELECT node, min(hops)::INT AS hops FROM k GROUP BY 1""")
+def khop_all(spark, d):
+    pairs = read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return analytics.khop(edges, pairs.where("src % 20 = 0").select(F.col("src").alias("node")), 3)
+
+
 @query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE vec_id < 20), s AS (SELECT q.vec_id AS q_id, b.vec_id AS b_id, list_cosine_similarity(q.e, b.embedding::DOUBLE[]) AS score FROM q JOIN embeddings b ON b.vec_id <> q.vec_id)
 SELECT q_id, b_id, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, b_id)::INT AS rank FROM s) WHERE rank <= 5""")
 def knn_cosine(spark, d):

@@ -18,6 +18,13 @@ def graph_components(spark, d):
     return matching.components(top.select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst")))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'P'||l_partkey AS a, 'S'||l_suppkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION (SELECT u.a, min(r.component) FROM r JOIN u ON r.node=u.b JOIN recurring.r AS o ON o.node=u.a GROUP BY u.a HAVING min(r.component) < min(o.component))) SELECT node, component FROM r""")
+def graph_components_all(spark, d):
+    pairs = read(spark, d, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst"))
+    return matching.components(pairs)
+
+
 @query("""WITH p AS (SELECT c_custkey, s_suppkey, c_name, s_name, c_acctbal, s_acctbal FROM customer JOIN supplier ON c_nationkey=s_nationkey AND right(c_name,1)=right(s_name,1)),
 s AS (SELECT c_custkey, s_suppkey, (0.6*list_sum(list_transform(range(1,least(length(c_name),length(s_name))+1), lambda i: CASE WHEN substr(c_name,i,1)=substr(s_name,i,1) THEN 1 ELSE 0 END))/greatest(length(c_name),length(s_name)) + 0.4*CASE WHEN (c_acctbal > 0)=(s_acctbal > 0) THEN 1 ELSE 0 END)/(0.6+0.4) AS score FROM p)
 SELECT c_custkey, s_suppkey, round(score,6) AS score, CASE WHEN score >= 0.6 THEN 'FUZZY' ELSE 'REVIEW' END AS status FROM s WHERE score >= 0.45""")
