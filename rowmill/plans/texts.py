@@ -53,6 +53,13 @@ def knn_cosine(spark, d):
     return rounded(analytics.knn(e.where("vec_id < 20"), e, 5, "vec_id", "embedding"), 6)
 
 
+@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS q_id, b.vec_id AS b_id, list_cosine_similarity(q.e, b.embedding::DOUBLE[]) AS score FROM q JOIN embeddings b ON b.vec_id <> q.vec_id)
+SELECT q_id, b_id, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, b_id)::INT AS rank FROM s) WHERE rank <= 5""")
+def knn_cosine_all(spark, d):
+    e = read(spark, d, "embeddings")
+    return rounded(analytics.knn(e.where("vec_id % 20 = 0"), e, 5, "vec_id", "embedding"), 6)
+
+
 @query("SELECT ts::DATE AS day, count(*)::BIGINT AS n, count(*) FILTER (value > 50)::BIGINT AS ok, round(100.0*count(*) FILTER (value > 50)/count(*),4) AS ok_pct, round(avg(value),6) AS mean_value FROM events GROUP BY 1")
 def daily_stats(spark, d):
     g = read(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("ok"), F.avg("value").alias("mean_value"))
