@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from rowmill.llm import text as T
 from rowmill.llm.stored import drop, stored
 
-WORDS, PERCENT, BANDS, WIDTH, STEP = 5, 80, 44, 10, 8
+WORDS, PERCENT, STEP = 5, 80, 8
+#: Bins of a text, and the share of pairs at the limit that may share no band.
+BINS, MISS = 440, 2e-4
 #: So many ids (8 bytes each) are sent to every executor at most; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -62,6 +64,13 @@ def probes(bins: int) -> np.ndarray:
     return np.argsort(T.mix(T.seeds(bins * bins, 21)).reshape(bins, bins), axis=1)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, width): the widest bands of BINS bins in which at most MISS of the pairs
+    that are ``percent`` alike share none."""
+    width = max(w for w in range(1, BINS) if w == 1 or (1 - (percent / 100) ** w) ** (BINS // w) <= MISS)
+    return BINS // width, width
+
+
 def band_keys(s: np.ndarray, bands: int, width: int, order: np.ndarray) -> np.ndarray:
     """One 64-bit key a band for the sorted shingle hashes ``s``."""
     bins = bands * width
@@ -189,8 +198,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, width: int = WIDTH, step: int = STEP) -> DataFrame:
-    """key (as long), n_shingles, component_id and kept for every row of ``docs``."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int | None = None, width: int | None = None, step: int = STEP) -> DataFrame:
+    """key (as long), n_shingles, component_id and kept for every row of ``docs``.
+
+    Bands and width that are not given follow from ``percent``."""
+    own = banding(percent)
+    bands, width = bands or own[0], width or own[1]
     prints = stored(fingerprints(docs, key, text, words, bands, width))
     sets = prints.where("s1 is not null and id is not null").groupBy("s1", "s2")
     classes = sets.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))

@@ -87,6 +87,13 @@ def test_near_duplicates_between_texts_that_are_never_centres(spark):
     assert {(r.x, r.y) for r in near_dup.confirm(pairs, docs, 3, 85).collect()} == want and want
 
 
+def test_bands_suit_the_limit():
+    assert near_dup.banding(85) == (44, 10)
+    for percent in (70, 80, 85, 90):
+        bands, width = near_dup.banding(percent)
+        assert (1 - (percent / 100) ** width) ** bands <= near_dup.MISS and bands * width <= 440
+
+
 def test_mixing(spark, docs, none):
     out = mixing.mixed(docs, block=16).collect()
     assert len(out) == docs.count()
