@@ -40,6 +40,8 @@ def seeds(n: int, seed: int = 1) -> np.ndarray:
 
 
 _BYTE = seeds(256, 7)
+#: A weight for each of the first byte positions; those beyond are computed as they are met.
+_PLACE = seeds(1 << 14, 13) | np.uint64(1)
 _POW = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
 
 
@@ -66,6 +68,29 @@ def views(col: pa.Array, limit: int = CHUNK):
         lo = hi
 
 
+def strings(col: pa.Array):
+    """The texts of a string column, None for null; bytes that are not UTF-8 become U+FFFD."""
+    for x in col:
+        raw = x.as_buffer()
+        yield None if raw is None else raw.to_pybytes().decode("utf-8", "replace")
+
+
+def clean_utf8(view: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``view`` and ``offs`` with U+FFFD in place of bytes that are not UTF-8."""
+    try:
+        view.tobytes().decode("utf-8")
+        return view, offs
+    except UnicodeDecodeError:
+        made = [view[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offs[:-1], offs[1:], strict=True)]
+        return np.frombuffer(b"".join(made), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in made], dtype=np.int64)))
+
+
+def heads(view: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """Where the first ``k`` code points of each byte run [start, end) end."""
+    at = np.append(np.flatnonzero(HEAD[view]), np.full(k + 1, len(view)))
+    return np.minimum(at[np.minimum(np.searchsorted(at, start) + k, len(at) - 1)], end)
+
+
 def spans(inside: np.ndarray, offs: np.ndarray, cut: np.ndarray | None = None):
     """Starts, ends and rows of the maximal runs of ``inside`` bytes; a run ends
     with its text, and where ``cut`` is set a new one begins."""
@@ -92,7 +117,8 @@ def spans(inside: np.ndarray, offs: np.ndarray, cut: np.ndarray | None = None):
 
 
 def hashes(view: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each byte run [start, end)."""
+    """One 64-bit hash for each byte run [start, end): a sum of its bytes' random values,
+    each times the random odd weight of its place, at any length."""
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
@@ -100,8 +126,11 @@ def hashes(view: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     base = np.concatenate(([0], np.cumsum(size)[:-1]))
     pos = np.arange(total) - np.repeat(base, size)
     at = pos + np.repeat(start, size)
-    value = _BYTE[view[at]] * _POW[pos & 4095]
-    return mix(np.add.reduceat(value, base) + size.astype(np.uint64) * _GOLD)
+    weight = _PLACE[np.minimum(pos, len(_PLACE) - 1)]
+    if size.max() > len(_PLACE):
+        far = pos >= len(_PLACE)
+        weight[far] = mix((pos[far] + 1).astype(np.uint64) * _GOLD + _M1) | np.uint64(1)
+    return mix(np.add.reduceat(_BYTE[view[at]] * weight, base) + size.astype(np.uint64) * _GOLD)
 
 
 def words(view: np.ndarray, offs: np.ndarray, lower: bool = True):
@@ -110,13 +139,13 @@ def words(view: np.ndarray, offs: np.ndarray, lower: bool = True):
     return hashes(LOWER[view] if lower else view, start, end), row
 
 
-def tokens(view: np.ndarray, offs: np.ndarray):
+def tokens(view: np.ndarray, offs: np.ndarray, hashed: bool = True):
     """(hash, row, start, end) of runs of letters, of digits, or of other marks, lower-cased."""
     kind = np.where(SPACE[view], 0, np.where(LETTER[view], 1, np.where(DIGIT[view], 2, 3)))
     cut = np.zeros(len(view), bool)
     cut[1:] = kind[1:] != kind[:-1]
     start, end, row = spans(kind > 0, offs, cut)
-    return hashes(LOWER[view], start, end), row, start, end
+    return hashes(LOWER[view], start, end) if hashed else None, row, start, end
 
 
 def windows(h: np.ndarray, row: np.ndarray, k: int):

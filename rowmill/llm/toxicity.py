@@ -1,15 +1,20 @@
 """Toxic passages by maximum-scoring segments.
 
 Each token has a log-odds of toxic against clean text, under a Dirichlet prior
-whose centre is the pooled token distribution.  Less a fixed drift, so that
-ordinary text scores below zero, these are the scores in which a linear-time
-scan finds every maximal-scoring segment of a text.  Segment scores of clean
+whose centre is that of the token's stem, and a stem's centre that of its shorter
+stem, up to the pooled distribution; so few labelled texts still tell on words not
+seen among them.  Less a fixed drift, so that ordinary text scores below zero,
+these are the scores in which a linear-time scan finds every maximal-scoring
+segment of a text.  Segment scores of clean
 texts follow an extreme-value law; its two constants are estimated from clean
 training texts, and a document's segments are joined by the sum statistic of
 that law into one evidence value, which a logistic curve turns into a score.
 
-Null and empty texts have no segment and score as a text without evidence;
-repeated rows score alike; without labelled rows of both classes all score 0.
+Null and empty texts have no segment and score as a text without evidence; texts
+of any length are read whole, a text over text.CHUNK bytes in a run of its own;
+repeated rows score alike; an empty table gives an empty result; without labelled
+rows of both classes all score 0.  Only key and text are read, so extra columns of
+any name are no matter; the results' names are fixed.
 """
 
 from __future__ import annotations
@@ -23,54 +28,54 @@ from pyspark.sql import functions as F
 
 from rowmill.llm import text as T
 from rowmill.llm.samples import held_out, labelled
+from rowmill.llm.stored import drop, stored
 
-BITS, PRIOR, SURE, DRIFT, MAX_ROWS = 20, 0.1, 2.5, 1.0, 60_000
+BITS, PRIOR, SURE, DRIFT, MAX_ROWS = 19, 2.0, 1.5, 1.5, 60_000
+#: Lengths of a word's stems in code points; a word's own counts are level LAST.
+STEMS = (4, 6)
+LAST = len(STEMS)
 
 
-def segments(score: np.ndarray, start: float = 0.0) -> list[tuple[int, int, float]]:
+def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, past-the-last, sum) of ``score``.
 
-    Linear time: a stack of candidate segments with the running totals at their
-    left and right ends.  Only positive positions are visited; the totals carry
-    what lies between."""
+    A stack of candidate segments carries the running totals at their left and
+    right ends; only positive positions are visited.  Every candidate is linked to
+    the nearest one before it whose left total is lower.  A search goes along these
+    links alone and passes each candidate once, so the time is linear."""
     total = np.cumsum(score)
-    stack: list[tuple[int, int, float, float]] = []  # first, past, total before, total after
+    stack: list[tuple[int, int, float, float, int]] = []  # first, past, total before, total after, link
     for i in np.flatnonzero(score > 0).tolist():
-        seg = (i, i + 1, float(total[i] - score[i]), float(total[i]))
+        first, low, high = i, float(total[i] - score[i]), float(total[i])
+        j = len(stack) - 1
         while True:
-            # the nearest candidate whose left total is below this one's
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= seg[3]:
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= high:
                 break
-            seg = (stack[j][0], seg[1], stack[j][2], seg[3])
+            first, _, low, _, link = stack[j]
             del stack[j:]
-        stack.append(seg)
-    return [(a, b, r - x) for a, b, x, r in stack]
-
-
-def token_scores(counts: np.ndarray, prior: float = PRIOR, sure: float = SURE, drift: float = DRIFT) -> np.ndarray:
-    """Scores by slot from a 2 x slots array of clean and toxic token counts.
-
-    The Dirichlet prior of a class has ``prior`` times its tokens, spread as the
-    pooled counts are.  A log-odds is moved towards zero by ``sure`` of its
-    standard deviations, so that a token seen once or twice says nothing."""
-    pooled = counts.sum(0)
-    if not pooled.sum():
-        return np.full(counts.shape[1], -drift, np.float32)
-    size = counts.sum(1, keepdims=True)
-    alpha = prior * size * (pooled + 0.01) / (pooled + 0.01).sum()
-    y = counts + alpha
-    p = y / (size * (1 + prior)).clip(1)
-    odds = np.log(p[1]) - np.log(p[0])
-    unsure = sure * np.sqrt((1 / y).sum(0))
-    return (np.sign(odds) * np.maximum(np.abs(odds) - unsure, 0) - drift).astype(np.float32)
-
-
-def law(score: np.ndarray, pooled: np.ndarray) -> float:
-    """lambda > 0 with E[exp(lambda * score)] = 1 over clean tokens; the mean score must be negative."""
-    w = pooled / max(pooled.sum(), 1)
+            j = link
+        stack.append((first, i + 1, low, high, j))
+    return [(a, b, r - x) for a, b, x, r, _ in stack]
+
+
+def moved(up: np.ndarray, n0: np.ndarray, n1: np.ndarray, base: float, weight: float = PRIOR, sure: float = SURE) -> np.ndarray:
+    """Log-odds of tokens from their counts on clean and toxic texts, under a Dirichlet
+    prior of ``weight`` tokens whose centre has the log-odds ``up``; ``base`` is the
+    log ratio of all toxic to all clean tokens.
+
+    They leave the centre only as far as ``sure`` of their standard deviations allow,
+    so a token seen once or twice says what its stem says."""
+    share = 1 / (1 + np.exp(-np.clip(up + base, -30, 30)))
+    y1, y0 = n1 + weight * share, n0 + weight * (1 - share)
+    off = np.log(y1) - np.log(y0) - base - up
+    return up + np.sign(off) * np.maximum(np.abs(off) - sure * np.sqrt(1 / y1 + 1 / y0), 0)
+
+
+def law(score: np.ndarray, n: np.ndarray) -> float:
+    """lambda > 0 with E[exp(lambda * score)] = 1 over ``n`` clean tokens of each score; the mean must be negative."""
+    w = n / max(n.sum(), 1)
     lo, hi = 1e-3, 20.0
     f = lambda x: float((w * np.exp(np.minimum(x * score, 60))).sum()) - 1
     for _ in range(60):
@@ -90,25 +95,44 @@ def evidence(sums: list[float], n: int, lam: float, log_k: float) -> float:
     return best
 
 
+def levels(view: np.ndarray, offs: np.ndarray):
+    """(slots, row, start, end) of the words of letters: for each its stems of STEMS
+    code points and itself, the last row of slots."""
+    _, row, start, end = T.tokens(view, offs, hashed=False)
+    keep = T.LETTER[view[start]] if len(start) else np.zeros(0, bool)
+    row, start, end = row[keep], start[keep], end[keep]
+    low = T.LOWER[view]
+    ends = [*(T.heads(view, start, end, k) for k in STEMS), end]
+    slots = [(T.mix(T.hashes(low, start, e) + T.seeds(1, 50 + i)[0]) >> np.uint64(64 - BITS)).astype(np.int64) for i, e in enumerate(ends)]
+    return slots, row, start, end
+
+
 class Model:
-    """Token scores by slot, the two constants of the law, and the final curve."""
+    """Token counts by slot, the two constants of the law, and the final curve."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts.astype(np.float32)
+        size = counts[:, LAST].sum(1)
+        self.base = log(max(size[1], 1)) - log(max(size[0], 1))
+        self.lam, self.log_k, self.a, self.b, self.fitted = 1.0, 0.0, 0.0, 0.0, False
 
-    def __init__(self, score, lam=1.0, log_k=0.0, a=0.0, b=0.0, fitted=False):
-        self.score, self.lam, self.log_k, self.a, self.b, self.fitted = score, lam, log_k, a, b, fitted
+    def token_scores(self, slots: list[np.ndarray]) -> np.ndarray:
+        """Each token's log-odds, from its shortest stem to itself, less the drift."""
+        up = np.zeros(len(slots[0]))
+        for k, s in enumerate(slots):
+            up = moved(up, self.counts[0, k][s], self.counts[1, k][s], self.base)
+        return up - DRIFT
 
     def scan(self, col: pa.Array):
-        """(row, tokens, their spans in code units of the row's bytes, segments) for each text with tokens."""
+        """(row, tokens, their spans in UTF-8 bytes, their scores, segments) for every text."""
         for lo, view, offs in T.views(col):
-            h, row, start, end = T.tokens(view, offs)
-            keep = T.LETTER[view[start]] if len(start) else np.zeros(0, bool)
-            h, row, start, end = h[keep], row[keep], start[keep], end[keep]
-            s = self.score[(h >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64)
+            slots, row, start, end = levels(view, offs)
+            s = self.token_scores(slots)
             cut = np.searchsorted(row, np.arange(len(offs)))
             hot = T.per_row(row, len(offs) - 1, (s > 0).astype(float)) if len(row) else np.zeros(len(offs) - 1)
             for r in range(len(offs) - 1):
-                n = int(cut[r + 1] - cut[r])
-                a = cut[r]
-                yield lo + r, n, (start[a : a + n] - offs[r], end[a : a + n] - offs[r]), segments(s[a : a + n]) if hot[r] else []
+                a, b = cut[r], cut[r + 1]
+                yield lo + r, int(b - a), (start[a:b] - offs[r], end[a:b] - offs[r]), s[a:b], segments(s[a:b]) if hot[r] else []
 
     def probability(self, sums: list[float], n: int) -> float:
         if not self.fitted:
@@ -132,54 +156,66 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(sample: DataFrame, bits: int = BITS) -> Model:
-    """Fit on rows doc_id, text, y.  Tokens are counted on three quarters of the
-    rows, the law and the curve are fitted on the rest.  The counts have 2**bits
-    slots whatever the vocabulary."""
-    part = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4))
+def train(sample: DataFrame) -> Model:
+    """Fit on rows doc_id, text, y, a bounded sample that is stored once.
+
+    Tokens are counted on three quarters of the rows; the law and the curve are
+    fitted on the rest, from all segments of each text.  Then the counts of the rest
+    are added."""
+    sample = stored(sample.select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)) == 0).cast("int").alias("part")))
 
     def count(batches):
-        total = np.zeros((2, 1 << bits), np.int64)
+        total = np.zeros((2, 2, LAST + 1, 1 << BITS), np.int32)
         for b in batches:
-            y = b.column("y").to_numpy()
+            which = 2 * b.column("part").to_numpy() + b.column("y").to_numpy()
             for lo, view, offs in T.views(b.column("text")):
-                h, row, start, _ = T.tokens(view, offs)
-                if not len(h):
-                    continue
-                keep = T.LETTER[view[start]]
-                slot = (h[keep] >> np.uint64(64 - bits)).astype(np.int64)
-                which = y[lo + row[keep]]
-                for c in (0, 1):
-                    i, n = np.unique(slot[which == c], return_counts=True)
-                    total[c, i] += n
-        for c in (0, 1):
-            i = np.flatnonzero(total[c])
-            for k in range(0, len(i), 100_000):
-                j = i[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), c, np.int32)), pa.array(j.astype(np.int32)), pa.array(total[c, j])], ["y", "slot", "n"])
-
-    got = sample.where(part != 0).select("y", "text").mapInArrow(count, "y int, slot int, n long").groupBy("y", "slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((2, 1 << bits), np.int64)
-    counts[got.column("y").to_numpy(), got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    model = Model(token_scores(counts))
-    if not counts[0].sum() or not counts[1].sum():
+                slots, row, _, _ = levels(view, offs)
+                own = which[lo + row]
+                for k, slot in enumerate(slots):
+                    for c in range(4):
+                        i, n = np.unique(slot[own == c], return_counts=True)
+                        total[c >> 1, c & 1, k, i] += n.astype(np.int32)
+        flat = total.ravel()
+        i = np.flatnonzero(flat)
+        for k in range(0, len(i), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(i[k : k + 100_000]), pa.array(flat[i[k : k + 100_000]].astype(np.int64))], ["slot", "n"])
+
+    got = sample.select("part", "y", "text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(2 * 2 * (LAST + 1) << BITS, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    counts = counts.reshape(2, 2, LAST + 1, 1 << BITS)
+    model = Model(counts[0])
+    if not counts[0, 0].any() or not counts[0, 1].any():
+        drop(sample)
         return model
-    model.lam = law(model.score, counts[0])
 
-    def best(batches):
+    def held(batches):
+        """One row a text with all its sums; and, with y = -1, how many tokens of clean texts have which score."""
+        seen: dict[int, int] = {}
         for b in batches:
-            y = b.column("y").to_numpy()
-            rows = [(int(y[r]), n, [x for *_, x in segs]) for r, n, _, segs in model.scan(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.int32()), pa.array([sorted(x[2], reverse=True)[:64] for x in rows], pa.list_(pa.float64()))], ["y", "n", "sums"])
-
-    held = sample.where(part == 0).select("y", "text").mapInArrow(best, "y int, n int, sums array<double>").collect()
-    clean = np.array([model.lam * r.sums[0] - log(max(r.n, 2)) for r in held if r.y == 0 and r.sums])
+            y, out = b.column("y").to_numpy(), []
+            for r, n, _, s, segs in model.scan(b.column("text")):
+                out.append((int(y[r]), n, [x for *_, x in segs]))
+                if not y[r]:
+                    for k, c in zip(*np.unique(np.round(s * 50).astype(int), return_counts=True), strict=True):
+                        seen[int(k)] = seen.get(int(k), 0) + int(c)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["y", "n", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64()), pa.array([[k / 50] for k in seen], pa.list_(pa.float64()))], ["y", "n", "sums"])
+
+    rows = sample.where("part = 1").select("y", "text").mapInArrow(held, "y int, n long, sums array<double>").collect()
+    drop(sample)
+    tokens, rows = [r for r in rows if r.y < 0], sorted((r.y, r.n, sorted(r.sums, reverse=True)) for r in rows if r.y >= 0)
+    if tokens:
+        model.lam = law(np.array([r.sums[0] for r in tokens]), np.array([r.n for r in tokens], float))
+    clean = np.array([model.lam * sums[0] - log(max(n, 2)) for y, n, sums in rows if y == 0 and sums])
     if len(clean):  # Gumbel with scale 1 after lambda: location = mean - Euler's constant
         model.log_k = float(clean.mean() - 0.5772)
-    if 0 < sum(r.y for r in held) < len(held):
-        x = np.log1p(np.array([evidence(r.sums, r.n, model.lam, model.log_k) for r in held]))
-        model.a, model.b = _curve(x, np.array([r.y for r in held], float))
-        model.fitted = True
+    if 0 < sum(y for y, *_ in rows) < len(rows):
+        x = np.log1p(np.array([evidence(sums, n, model.lam, model.log_k) for _, n, sums in rows]))
+        a, b = _curve(x, np.array([y for y, *_ in rows], float))
+        lam, log_k = model.lam, model.log_k
+        model = Model(counts.sum(0))
+        model.lam, model.log_k, model.a, model.b, model.fitted = lam, log_k, a, b, True
     return model
 
 
@@ -190,7 +226,7 @@ def scorer(model: Model):
     @F.arrow_udf("struct<score: double, passages: array<struct<begin: int, end: int, sum: double>>>")
     def score(col: pa.Array) -> pa.Array:
         out, found = np.zeros(len(col)), [[] for _ in range(len(col))]
-        for r, n, (start, end), segs in model.scan(col):
+        for r, n, (start, end), _, segs in model.scan(col):
             out[r] = model.probability([x for *_, x in segs], n)
             limit = model.log_k + log(max(n, 2)) + 3.0  # E-value below about 0.05
             found[r] = [{"begin": int(start[a]), "end": int(end[b - 1]), "sum": x} for a, b, x in segs if model.lam * x > limit]
