@@ -3,16 +3,32 @@
 One smoothed variable-order Markov model is counted over accepted URLs and one
 over rejected URLs.  The probability of a byte interpolates its orders: each
 order's counts are joined with a fixed weight of the next shorter order's
-probability, down to an even one, so rare long contexts fall back on short
-ones.  Counts live in ``2**bits`` hashed slots for each order, so a model's size
-does not depend on the input.  A URL's score is the log-likelihood difference of
-the models per byte; a logistic curve fitted on labelled URLs that the models
-have not counted calibrates it to a probability of acceptance.
+probability, down to an even one, so rare long contexts fall back on short ones.
+A URL's score is the log-likelihood difference of the models per byte; a logistic
+curve fitted on labelled URLs that the models have not counted calibrates it to a
+probability of acceptance.
+
+Counts are exact and kept in Spark: a byte with the ORDER bytes before it is one
+64-bit number, so nothing collides and the tables grow with the corpus.  The
+score of each such window is computed once, on the table of different windows, by
+joins of each order with the next shorter one; a URL's score is the sum over its
+windows.  The windows that make up 1 / ``HOT`` of all or more, ``HOT`` at most, are
+summed in the task that reads the URL; only the rarer ones are shuffled.
+
+What is learned from: a URL is a rejected example if its host looks like those of
+generated spam sites, by the host statistics of Fetterly, Manasse and Najork
+(WebDB 2004): dashes in a host's name, many dots, many digits, or a very long
+name.  A URL that a rule blocks is neither (else the rule's host and path would be
+all that the rejected model sees); all others are accepted examples.
 
 Domain rules come first: a rule fits its host and all subdomains if the path
-starts with the rule's, and the longest rule decides.  Null URLs and URLs
-without "://" have an empty host and path; nulls score as an empty URL does;
-repeated rows score alike; if one class has no URL, nothing is blocked by model.
+starts with the rule's, and the longest rule decides (of equally long ones the last
+by code point; two such can only fit one URL if they are the same).  Null URLs and
+URLs without "://" have an empty host and path; nulls score as an empty URL does,
+0; URLs of any length are read whole; repeated rows and null keys score alike; if
+one class has no URL, nothing is blocked by model; an empty table gives an empty
+result.  Only key and url are read, so extra columns of any name are no matter; the
+results' names are fixed.
 """
 
 from __future__ import annotations
@@ -23,11 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm import text as T
+from rowmill.llm.stored import drop, stored
 
-ORDER, BITS, PULL = 5, 16, 2.0
-
-#: Words that mark a host or path as unwanted.
-UNWANTED = ("adult", "porn", "xxx", "sex", "casino", "poker", "gambl", "betting", "ads-track", "ads-", "advert", "track", "click", "spam", "malware", "phish", "torrent", "warez", "viagra", "pills", "escort")
+ORDER, PULL, HOT = 5, 2.0, 100_000
+#: Bits of a byte in a window; value 256 stands before the start of a URL.
+WIDE, START = 9, 256
 
 
 def host_of(url: Column) -> Column:
@@ -49,74 +65,83 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def contexts(view: np.ndarray, offs: np.ndarray, order: int, bits: int):
-    """For each order 0..order the slots of (context and byte) and of (context), over all bytes.
-
-    Contexts do not reach over the start of their URL: there they begin with marks."""
-    n = len(offs) - 1
-    size = np.diff(offs)
-    grown = np.zeros(len(view) + order * n, np.uint64)
-    at = np.arange(len(view)) + order * np.repeat(np.arange(1, n + 1), size)
-    grown[at] = T.LOWER[view].astype(np.uint64) + np.uint64(1)
-    out, before = [], np.zeros(len(at), np.uint64)
-    for k in range(order + 1):
-        if k:
-            before = before + grown[at - k] * T._POW[k]
-        salt = T.seeds(1, 40 + k)[0]
-        with_byte = T.mix(before * T._POW[17] + grown[at] + salt)
-        out.append(((with_byte >> np.uint64(64 - bits)).astype(np.int64), (T.mix(before + salt) >> np.uint64(64 - bits)).astype(np.int64)))
-    return out
+def spam_like(host: Column) -> Column:
+    """Whether a host name has the marks of a generated spam site."""
+    dashes, dots, digits = (F.length(host) - F.length(F.regexp_replace(host, x, "")) for x in ("-", r"\.", "[0-9]"))
+    # xn-- and single dashed words of dates or codes aside: a dash between two letters
+    return host.rlike("[a-z]-[a-z]") | (dashes >= 2) | (dots >= 5) | (digits >= 5) | (F.length(host) > 60)
 
 
-def count(urls: DataFrame, label: str = "accepted", order: int = ORDER, bits: int = BITS) -> np.ndarray:
-    """Counts [class, order, byte-in-context or context, slot] over rows url, ``label`` (0 or 1)."""
-    shape = (2, order + 1, 2, 1 << bits)
-
-    def tally(batches):
-        total = np.zeros(shape, np.int64)
-        for b in batches:
-            y = b.column("y").to_numpy()
-            for lo, view, offs in T.views(b.column("url")):
-                c = np.repeat(y[lo : lo + len(offs) - 1], np.diff(offs))
-                for k, pair in enumerate(contexts(view, offs, order, bits)):
-                    for j, slot in enumerate(pair):
-                        for one in (0, 1):
-                            i, n = np.unique(slot[c == one], return_counts=True)
-                            total[one, k, j, i] += n
-        flat = total.ravel()
-        i = np.flatnonzero(flat)
-        for k in range(0, len(i), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(i[k : k + 100_000]), pa.array(flat[i[k : k + 100_000]])], ["slot", "n"])
-
-    got = urls.select("url", F.col(label).cast("int").alias("y")).where("url is not null and y is not null").mapInArrow(tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(np.prod(shape), np.int64)
-    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(shape)
-
-
-def likelihood(counts: np.ndarray, view: np.ndarray, offs: np.ndarray, pull: float = PULL) -> np.ndarray:
-    """Log-likelihood difference, accepted less rejected, per byte of each URL."""
+def windows(view: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """For each byte the number of the window of it and the ``order`` bytes before it, A-Z as a-z."""
     n = len(offs) - 1
-    bits = int(counts.shape[-1]).bit_length() - 1
-    p = np.full((2, len(view)), 1 / 256)
-    for k, (byte, ctx) in enumerate(contexts(view, offs, counts.shape[1] - 1, bits)):
-        for c in (0, 1):
-            p[c] = (counts[c, k, 0, byte] + pull * p[c]) / (np.maximum(counts[c, k, 1, ctx], counts[c, k, 0, byte]) + pull)
-    row = np.repeat(np.arange(n), np.diff(offs))
-    return T.per_row(row, n, np.log(p[1]) - np.log(p[0])) / np.maximum(np.diff(offs), 1)
+    grown = np.full(len(view) + order * n, START, np.int64)
+    at = np.arange(len(view)) + order * np.repeat(np.arange(1, n + 1), np.diff(offs))
+    grown[at] = T.LOWER[view]
+    return sum(grown[at - k] << (WIDE * k) for k in range(order + 1))
 
 
-def ratio(counts: np.ndarray):
-    """An Arrow UDF url -> log-likelihood difference per byte."""
+def windows_of():
+    """An Arrow UDF url -> its windows."""
 
-    @F.arrow_udf("double")
-    def score(col: pa.Array) -> pa.Array:
-        out = np.zeros(len(col))
+    @F.arrow_udf("array<bigint>")
+    def made(col: pa.Array) -> pa.Array:
+        size, parts = np.zeros(len(col) + 1, np.int64), [np.zeros(0, np.int64)]
         for lo, view, offs in T.views(col):
-            out[lo : lo + len(offs) - 1] = likelihood(counts, view, offs)
-        return pa.array(out)
-
-    return score
+            parts.append(windows(view, offs))
+            size[lo + 1 : lo + len(offs)] = np.diff(offs)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array(np.concatenate(parts)))
+
+    return made
+
+
+def window_scores(counted: DataFrame, order: int = ORDER, pull: float = PULL) -> DataFrame:
+    """w, n and score (log of accepted over rejected probability of its last byte) for
+    the rows w, n (in all URLs), a and r (in accepted and rejected examples)."""
+    short = lambda w, k: F.col(w).bitwiseAND((1 << WIDE * (k + 1)) - 1)
+    sums = (F.sum("a").alias("a"), F.sum("r").alias("r"))
+    level = {order: counted.select("w", "a", "r")}
+    for k in range(order - 1, -1, -1):
+        level[k] = level[k + 1].groupBy(short("w", k).alias("w")).agg(*sums)
+    prob = None
+    for k in range(order + 1):
+        own = level[k].withColumn("ctx", F.shiftright("w", WIDE))
+        total = own.groupBy("ctx").agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
+        own = own.join(total, "ctx")
+        if prob is None:
+            own = own.withColumns({"pa": F.lit(1 / 256), "pr": F.lit(1 / 256)})
+        else:
+            own = own.withColumn("s", short("w", k - 1)).join(prob.withColumnRenamed("w", "s"), "s")
+        prob = own.select("w", ((F.col("a") + pull * F.col("pa")) / (F.col("ta") + pull)).alias("pa"), ((F.col("r") + pull * F.col("pr")) / (F.col("tr") + pull)).alias("pr"))
+    return counted.select("w", "n").join(prob, "w").select("w", "n", (F.ln("pa") - F.ln("pr")).alias("score"))
+
+
+def url_scores(rows: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFrame:
+    """``rows`` (id, url and others) with their score per byte, from window scores."""
+    total = scores.agg(F.sum("n")).head()[0] or 0
+    common = scores.where(F.col("n") * hot >= total).select("w", "score").orderBy("w").toArrow()
+    known, value = common.column("w").to_numpy(), common.column("score").to_numpy()
+
+    @F.arrow_udf("struct<sum: double, n: bigint, rest: array<bigint>>")
+    def split(col: pa.Array) -> pa.Array:
+        n, sums, size, rest = np.zeros(len(col), np.int64), np.zeros(len(col)), np.zeros(len(col) + 1, np.int64), [np.zeros(0, np.int64)]
+        for lo, view, offs in T.views(col):
+            m = len(offs) - 1
+            w, row = windows(view, offs), np.repeat(np.arange(m), np.diff(offs))
+            at = np.searchsorted(known, w)
+            found = known[np.minimum(at, len(known) - 1)] == w if len(known) else np.zeros(len(w), bool)
+            n[lo : lo + m] = np.diff(offs)
+            sums[lo : lo + m] = T.per_row(row[found], m, value[at[found]])
+            size[lo + 1 : lo + 1 + m] = T.per_row(row[~found], m)
+            rest.append(w[~found])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array(np.concatenate(rest)))
+        return pa.StructArray.from_arrays([pa.array(sums), pa.array(n), lists], ["sum", "n", "rest"])
+
+    parts = rows.withColumn("_s", split("url"))
+    rare = parts.select("id", F.explode("_s.rest").alias("w")).join(scores.where(F.col("n") * hot < total).select("w", "score"), "w")
+    rare = rare.groupBy("id").agg(F.sum("score").alias("_r"))
+    whole = F.col("_s.sum") + F.coalesce("_r", F.lit(0.0))
+    return parts.join(rare, "id", "left").withColumn("score", F.round(F.coalesce(F.try_divide(whole, F.col("_s.n")), F.lit(0.0)), 12)).drop("_s", "_r")
 
 
 def calibrate(scored: DataFrame, bins: int = 200, reach: float = 4.0) -> tuple[float, float]:
@@ -135,25 +160,26 @@ def calibrate(scored: DataFrame, bins: int = 200, reach: float = 4.0) -> tuple[f
     return float(w[0]), float(w[1])
 
 
-def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", unwanted: tuple[str, ...] = UNWANTED, threshold: float = 0.5) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", spam=spam_like, threshold: float = 0.5) -> DataFrame:
     """key, host, path, rule, verdict, score and accept (its calibrated probability) of every row.
 
-    The models learn from the corpus itself: URLs that hold an ``unwanted`` word
-    are the rejected examples, all others that no rule blocks the accepted ones
-    (a rule's host and path would otherwise be all that the models see).  A
+    ``spam`` makes, from the host column, the condition for rejected examples.  A
     quarter of the examples, by hash of the URL, is left to the calibration."""
-    rows = pages.select(F.col(key), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
-    said = F.create_map(*(F.lit(x) for kv in rules.items() for x in kv))[F.col("rule")]
-    bad = F.lower("url").rlike("|".join(unwanted))
-    seen = rows.select("url", F.when(bad, 0).when(said.isNull() | (said == "allow"), 1).alias("accepted")).where("accepted is not null")
-    part = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(4))
-    counts = count(seen.where(part != 0))
-    if not counts[0].any() or not counts[1].any():
-        scored, a, b = rows.withColumn("score", F.lit(0.0)), 35.0, 0.0
-    else:
-        score = ratio(counts)
-        a, b = calibrate(seen.where(part == 0).select(score("url").alias("score"), F.col("accepted").alias("y")))
-        scored = rows.withColumn("score", score("url"))
+    rows = pages.select(F.col(key).alias("key"), F.coalesce(url, F.lit("")).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    said = F.create_map(*(F.lit(x) for kv in rules.items() for x in kv))[F.col("rule")] if rules else F.lit(None).cast("string")
+    rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("said", said)
+    label = F.when(F.coalesce(F.col("said") == "block", F.lit(False)), None).when(spam(F.col("host")), 0).otherwise(1)
+    rows = rows.withColumn("label", label).withColumn("part", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(4)))
+    rows = stored(rows.withColumn("id", F.monotonically_increasing_id()))
+
+    learns = F.col("part") != 0
+    counted = rows.select(F.explode(windows_of()("url")).alias("w"), (learns & (F.col("label") == 1)).alias("a"), (learns & (F.col("label") == 0)).alias("r"))
+    counted = stored(counted.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("a"), F.count_if("r").alias("r")))
+    scores = stored(window_scores(counted))
+    scored = stored(url_scores(rows, scores))
+    for x in (rows, counted, scores):
+        drop(x)
+    a, b = calibrate(scored.where("part = 0 and label is not null").select("score", F.col("label").alias("y")))
     accept = 1 / (1 + F.exp(-(a + b * F.col("score"))))
-    return scored.withColumn("accept", accept).select(key, "host", "path", "rule", F.coalesce(said, F.when(F.col("accept") >= threshold, "allow").otherwise("block")).alias("verdict"), "score", "accept")
+    out = scored.withColumn("accept", accept)
+    return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("said", F.when(F.col("accept") >= threshold, "allow").otherwise("block")).alias("verdict"), "score", "accept")
