@@ -11,8 +11,16 @@ Elements whose tag, role or class names them as menu, header, footer, sidebar,
 notice, advert, form, script, style or reader comments are left out in any case.
 
 Null and empty pages give an empty text; markup that is never closed is closed
-by its parents; repeated pages get equal results; pages without a host share
-one; an empty table gives an empty result.
+by its parents; pages of any length are read whole, in time linear in it but for
+lists in lists that are never closed; repeated pages and null keys get equal
+results; pages without a host share one; an element on exactly ``min_pages`` pages,
+or on exactly the share, is template; an empty table gives an empty result.  Only
+key, url and page are read, so extra columns of any name are no matter; the
+results' names are fixed.
+
+The parsed pages stay in the checkpoint folder: the result reads them.  Up to
+``SENT_MARKS`` template elements are sent to the tasks; beyond that, pages and their
+deletions are joined, where Spark's skew join splits a host's hot element.
 """
 
 from __future__ import annotations
@@ -22,17 +30,20 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.stored import stored
+from rowmill.llm import text as T
+from rowmill.llm.stored import drop, stored
 from rowmill.llm.url_filter import host_of
 
 MIN_PAGES, SHARE = 8, 0.05
-#: Up to so many pages with deletions, the deletions are sent to the pages.
-BROADCAST_PAGES = 50_000
+#: Up to so many template elements (8 bytes each) are sent to the tasks; more are joined.
+SENT_MARKS = 1_000_000
 
 #: Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,10 +67,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "skip", "main", "held", "parts", "own")
+    """An open element; ``block`` is the innermost element at or around it that is no inline one."""
 
-    def __init__(self, tag, skip, main, own):
+    __slots__ = ("tag", "skip", "main", "held", "parts", "own", "block")
+
+    def __init__(self, tag, skip, main, own, up=None):
         self.tag, self.skip, self.main, self.own, self.held, self.parts = tag, skip, main, own, [], []
+        self.block = up.block if up and tag in INLINE else self
 
 
 def furniture(tag: str, attrs: dict[str, str], in_main: bool) -> bool:
@@ -80,6 +94,7 @@ def read(page: str) -> tuple[list[str], list[int | None]]:
     marks: list[int | None] = []
     root = Node("", False, False, b"")
     stack, buf = [root], []
+    opened: Counter[str] = Counter()  # how many elements of a tag are open
 
     def end_block():
         if buf:
@@ -88,7 +103,7 @@ def read(page: str) -> tuple[list[str], list[int | None]]:
             if text:
                 blocks.append(text)
                 marks.append(None)
-                next(n for n in reversed(stack) if n.tag not in INLINE).held.append(len(marks) - 1)
+                stack[-1].block.held.append(len(marks) - 1)
 
     def text(raw: str):
         if raw and not stack[-1].skip:
@@ -101,12 +116,15 @@ def read(page: str) -> tuple[list[str], list[int | None]]:
         if node.tag not in INLINE:
             end_block()
         stack.pop()
+        opened[node.tag] -= 1
         made = hashlib.blake2b(b"\0".join([node.own, *node.parts]), digest_size=8).digest()
         stack[-1].parts.append(made)
         for i in node.held:
             marks[i] = int.from_bytes(made, "little", signed=True)
 
     def close_to(names, bounds) -> None:
+        if not any(opened[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
                 while len(stack) > k:
@@ -129,9 +147,9 @@ def read(page: str) -> tuple[list[str], list[int | None]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "br" or tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "br" or tag == "p" and not opened["p"]:
                 end_block()
-            elif any(n.tag == tag for n in stack):
+            elif opened[tag]:
                 while stack[-1].tag != tag:
                     close()
                 close()
@@ -149,7 +167,8 @@ def read(page: str) -> tuple[list[str], list[int | None]]:
         up = stack[-1]
         main = up.main or tag in MAIN or attrs.get("role", "").lower() == "main"
         skip = up.skip or furniture(tag, attrs, main)
-        stack.append(Node(tag, skip, main, f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}".encode("utf-8", "replace")))
+        stack.append(Node(tag, skip, main, f"{tag} {attrs.get('class', '')} {attrs.get('id', '')}".encode("utf-8", "replace"), up))
+        opened[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else size
@@ -168,8 +187,8 @@ def parse(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
     def run(batches):
         for b in batches:
             prints, texts, marks = [], [], []
-            for x in b.column(2):
-                blocks, own = read(x.as_py() or "")
+            for x in T.strings(b.column(2)):
+                blocks, own = read(x or "")
                 said = json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace")
                 prints.append(int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True))
                 texts.append(zlib.compress(said, 1))
@@ -180,6 +199,15 @@ def parse(pages: DataFrame, key: str, url: str, page: str) -> DataFrame:
     return rows.mapInArrow(run, f"`{key}` {kind}, host string, print long, blocks binary, marks array<bigint>")
 
 
+def names(host: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """One number for an element of a host."""
+    return T.mix(T.mix(host.view(np.uint64)) + mark.view(np.uint64))
+
+
+def joined(blocks: list[str], gone) -> str:
+    return "\n\n".join(x for x, cut in zip(blocks, gone, strict=True) if not cut)
+
+
 def kept():
     """An Arrow UDF (blocks, marks, cut) -> the text of the blocks whose marks are not in cut."""
 
@@ -188,12 +216,28 @@ def kept():
         out = []
         for z, own, gone in zip(blocks, marks.to_pylist(), cut.to_pylist(), strict=True):
             gone = set(gone or ())
-            out.append("\n\n".join(x for x, m in zip(json.loads(zlib.decompress(z.as_py())), own, strict=True) if m not in gone))
+            out.append(joined(json.loads(zlib.decompress(z.as_py())), [m in gone for m in own]))
         return pa.array(out, pa.string())
 
     return text
 
 
+def kept_without(known: np.ndarray):
+    """An Arrow UDF (host, blocks, marks) -> the text of the blocks whose ``names`` are not in the sorted ``known``."""
+
+    @F.arrow_udf("string")
+    def text(host: pa.Array, blocks: pa.Array, marks: pa.Array) -> pa.Array:
+        flat = marks.flatten()
+        size = np.diff(marks.offsets.to_numpy())
+        name = names(np.repeat(host.to_numpy(), size), flat.fill_null(0).to_numpy())
+        at = np.minimum(np.searchsorted(known, name), max(len(known) - 1, 0))
+        gone = (known[at] == name if len(known) else np.zeros(len(name), bool)) & ~flat.is_null().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        return pa.array([joined(json.loads(zlib.decompress(z.as_py())), gone[e - n : e].tolist()) for z, n, e in zip(blocks, size.tolist(), ends.tolist(), strict=True)], pa.string())
+
+    return text
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """key, url, text and n_chars for every row of ``pages``.
 
@@ -205,8 +249,12 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: st
     marks = parsed.select("no", "host", "print", F.explode(F.array_distinct("marks")).alias("mark")).where("mark is not null")
     sizes = parsed.select("host", "print").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     on = marks.select("host", "mark", "print").distinct().groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    often = on.join(sizes, "host").where(F.col("n") >= share * F.col("n_pages")).select("host", "mark")
-    cut = stored(marks.join(often, ["host", "mark"]).groupBy("no").agg(F.collect_set("mark").alias("cut")))
-    out = parsed.join(F.broadcast(cut) if cut.count() <= BROADCAST_PAGES else cut, "no", "left")
-    out = out.select("_k", kept()("blocks", "marks", "cut").alias("text"))
+    often = stored(on.join(sizes, "host").where(F.col("n") >= share * F.col("n_pages")).select("host", "mark"))
+    if often.count() <= SENT_MARKS:
+        got = often.toArrow()
+        out = parsed.select("_k", kept_without(np.sort(names(got.column("host").to_numpy(), got.column("mark").to_numpy())))("host", "blocks", "marks").alias("text"))
+        drop(often)
+    else:
+        cut = marks.join(often, ["host", "mark"]).groupBy("no").agg(F.collect_set("mark").alias("cut"))
+        out = parsed.join(cut, "no", "left").select("_k", kept()("blocks", "marks", "cut").alias("text"))
     return out.select(F.col("_k._k").alias(key), F.col("_k._u").alias(url), "text").withColumn("n_chars", F.char_length("text").cast("long"))

@@ -6,8 +6,12 @@ that it depends on order; a text's profile is the sum over its triples, and a
 language's prototype the sum over its training texts.  A text belongs to the
 language whose prototype has the largest cosine with its profile.
 
-Texts without a letter, empty and null texts are ``und`` with score 0; repeated
-rows get equal results; with nothing to learn from every text is ``und``.
+Texts without a letter, empty and null texts are ``und`` with score 0; bytes that
+are not UTF-8 count as marks; texts of any length are read whole; of equal cosines
+the first language by code point wins; repeated rows and null keys get equal
+results; with nothing to learn from every text is ``und``; an empty table gives an
+empty result.  Only doc_id, text and lang are read, so extra columns of any name
+are no matter; the results' names are fixed.
 """
 
 from __future__ import annotations
@@ -57,6 +61,7 @@ def triple_vectors(ids: np.ndarray, dim: int = DIM) -> np.ndarray:
 
 def triples(view: np.ndarray, offs: np.ndarray):
     """(triple id, row) for every letter triple, a word's ends counting as class 0; and rows with a letter."""
+    view, offs = T.clean_utf8(view, offs)
     n = len(offs) - 1
     head = T.HEAD[view]
     at = np.concatenate(([0], np.cumsum(head)))[offs]

@@ -7,18 +7,23 @@ targets, and dealt to output shards in the order of a hash of their places: each
 shard's source counts are a multinomial draw under the condition that the shards
 together have the sources' totals.  The mix is ordered by shard and slot.  The
 slots of a source go through its blocks in passes; in each pass the slot numbers
-are mapped to block numbers by a pseudorandom permutation of their own, and
-blocks are joined by index.  A permutation is i -> (m * i + c) mod n with m prime
-and above n, computed in decimals, so it holds for more rows than a 64-bit
-product would.
+are mapped to block numbers by a pseudorandom permutation of their own, and blocks
+are joined by index.  A permutation is ROUNDS of swap-or-not (Hoang, Morris and
+Rogaway 2012), a bijection of 0 .. n-1 for any n, with keys hashed from source and
+pass.
 
 Targets: source k, by code point with null last, weighs as ``weights`` repeats;
 a target that would pass ``limit`` times its source stops there and the excess
 goes to the others by weight.
 
-Null and empty texts have size 0 and are never taken; repeated rows each have
-their own place; a source without words has target 0; an empty table gives an
-empty result.
+Null and empty texts have size 0 and are never taken; texts of any length are read
+whole; repeated rows and null keys each have their own place, equal keys by size
+and text; a source without words has target 0; an empty table gives an empty
+result.  Only key, text and source are read, so extra columns of any name are no
+matter; ``rebuilt`` carries them on (its own names begin with two underscores).
+
+Windows over sources have one row a source, and those over bins one row for
+DEAL_ROWS slots; they are broadcast up to BROADCAST_ROWS rows and joined beyond.
 """
 
 from __future__ import annotations
@@ -26,23 +31,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.llm.stored import stored
+from rowmill.llm.stored import shared_folder, stored
 
-BLOCK, SHARD, WEIGHTS, LIMIT, RUN = 128, 4096, (5, 2, 1), 3, 65_536
-#: Primes, one for each pass.
-PRIMES = (1_000_000_000_039, 1_000_000_000_061, 1_000_000_000_063)
-BUCKET_ROWS, DEAL_ROWS = 2_000, 16_384
+BLOCK, SHARD, WEIGHTS, LIMIT, RUN, ROUNDS = 128, 4096, (5, 2, 1), 3, 65_536, 24
+BUCKET_ROWS, DEAL_ROWS, BROADCAST_ROWS = 2_000, 16_384, 200_000
 
 
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def permuted(i: Column, n: Column, prime: int, shift: Column) -> Column:
-    """The image of i under a permutation of 0 .. n-1."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    m = F.pmod(F.lit(prime), n)
-    return F.pmod(wide(m) * wide(i) + wide(F.pmod(shift, n)), wide(n)).cast("long")
+def permuted(i: Column, n: Column, *salt: Column) -> Column:
+    """The image of i under a permutation of 0 .. n-1 that ``salt`` names.
+
+    In each round a number and its partner (they add up to the round's key, modulo
+    n) change places or not, as a hash of the larger one says."""
+
+    def turn(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(r, *salt), n) - x, n)
+        return F.when(F.pmod(F.xxhash64(F.greatest(x, other), r, *salt), F.lit(2)) == 0, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i, turn)
+
+
+def sendable(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; as it is beyond."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, limit: int = LIMIT) -> DataFrame:
@@ -70,7 +84,7 @@ def placed(sized: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     Running sums are taken in buckets of about BUCKET_ROWS rows, dealt by hash,
     and offset by the totals of the buckets before, so no task holds a source."""
     n = F.greatest(F.ceil(F.col("n_rows") / BUCKET_ROWS), F.lit(1))
-    rows = sized.join(F.broadcast(targets), sized.source.eqNullSafe(targets.source)).drop(targets.source)
+    rows = sized.join(sendable(targets), sized.source.eqNullSafe(targets.source)).drop(targets.source)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key, F.lit(9)), n))
     own = Window.partitionBy("source", "bucket").orderBy(F.col(key), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(own), F.lit(0)))
@@ -93,33 +107,32 @@ def slots(targets: DataFrame, block: int = BLOCK, shard: int = SHARD, limit: int
     t = t.withColumn("part", F.least(F.ceil(F.col("rest") / block), F.col("n_blocks"))).withColumn("n_slots", F.col("passes") * F.col("n_blocks") + F.col("part"))
     line = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     t = t.withColumn("first", F.coalesce(F.sum("n_slots").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n_slots").over(Window.partitionBy()))
+    n_all = t.agg(F.max("all")).head()[0] or 0
     runs = t.where("n_slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / RUN))))
     # a stated number of tasks: by size alone these few short rows would be put into one
     runs = runs.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("source"), F.col("run"))
     s = runs.withColumn("ordinal", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("n_slots")) - 1)))
     s = s.withColumn("pass", F.floor(F.col("ordinal") / F.col("n_blocks"))).withColumn("i", F.col("ordinal") - F.col("pass") * F.col("n_blocks"))
-    shift = F.shiftrightunsigned(F.xxhash64("source", F.lit(4)), 24)
-    to = F.when(F.col("pass") == 0, permuted(F.col("i"), F.col("n_blocks"), PRIMES[0], shift))
-    for p in range(1, len(PRIMES)):
-        to = to.when(F.col("pass") == p, permuted(F.col("i"), F.col("n_blocks"), PRIMES[p], shift + 7919 * p))
+    to = permuted(F.col("i"), F.col("n_blocks"), F.col("source"), F.col("pass"))
     last = (F.col("pass") == F.col("passes")) & (F.col("i") == F.col("part") - 1)
     words = F.when(last, F.least(F.lit(block).cast("long"), F.col("rest") - (F.col("part") - 1) * block)).otherwise(F.lit(block).cast("long"))
     s = s.select("source", "ordinal", "pass", to.alias("block"), words.alias("words"), (F.col("pass") == F.col("passes")).alias("part"), (F.col("first") + F.col("ordinal")).alias("line"), "all")
-    return dealt(s).withColumn("shard", F.floor(F.col("slot") / shard)).drop("line", "all")
+    return dealt(s, n_all).withColumn("shard", F.floor(F.col("slot") / shard)).drop("line", "all")
 
 
-def dealt(s: DataFrame) -> DataFrame:
+def dealt(s: DataFrame, n_all: int) -> DataFrame:
     """``s`` with the rank (slot) of each place on the line by its hash.
 
     Ranks are taken in bins of the hash of about DEAL_ROWS rows, offset by the
     counts of the bins before; only those counts, one row a bin, are in one task."""
     s = s.withColumn("key", F.shiftrightunsigned(F.xxhash64("line", F.lit(104_729)), 33))
     s = s.withColumn("bin", F.shiftright(F.col("key") * F.ceil(F.col("all") / DEAL_ROWS), 31))
+    few = F.broadcast if n_all <= DEAL_ROWS * BROADCAST_ROWS else lambda x: x
     before = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = s.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).select(F.col("bin").alias("b"), before.alias("before"))
     rank = F.row_number().over(Window.partitionBy("bin").orderBy("key", "line"))
     ranked = s.withColumn("rank", rank)
-    return ranked.join(F.broadcast(bins), ranked.bin == F.col("b")).withColumn("slot", F.col("before") + F.col("rank") - 1).drop("b", "before", "rank", "bin", "key")
+    return ranked.join(few(bins), ranked.bin == F.col("b")).withColumn("slot", F.col("before") + F.col("rank") - 1).drop("b", "before", "rank", "bin", "key")
 
 
 def shard_counts(s: DataFrame) -> DataFrame:
@@ -131,6 +144,7 @@ def laid_out(docs: DataFrame, no: Column, key: str, text: str, source: str, weig
     """(placed rows under their numbers ``no``, targets).
 
     Sizes (a few numbers a row) are written to the checkpoint folder once."""
+    shared_folder(docs.sparkSession)
     sized = docs.select(no.alias("no"), F.col(key), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), F.xxhash64(text).alias("tie")).checkpoint()
     targets = source_targets(sized, weights, limit).checkpoint()
     return placed(sized, targets, key).checkpoint(), targets

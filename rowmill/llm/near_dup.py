@@ -20,17 +20,25 @@ hold one of the other's, so only members with a common prefix shingle are
 confirmed.  No two texts of one bucket are left untested, and the pairs grow with
 the members of buckets and with what their rarest shingles share.
 
+Hot buckets are dealt to several tasks (their centres are copied to each), and so
+are the pairs of a centre of many, with copies of its text; Spark's skew join
+splits what else a key of very many rows brings together, rows without texts.
+
 Null texts and texts without words have an empty set and are linked with
-nothing; repeated rows of one id share its component; rows with a null id stay
-alone.  An empty table gives an empty result.
+nothing; texts of any length are read whole; repeated rows of one id share its
+component; a row with a null id has a null component and is kept.  Ties between
+centres go by hash and id.  An empty table gives an empty result.  Keys are whole
+numbers; only key and text are read, so extra columns of any name are no matter;
+the results' names are fixed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from rowmill.llm import text as T
 from rowmill.llm.stored import drop, stored
@@ -40,6 +48,8 @@ WORDS, PERCENT, STEP = 5, 80, 8
 BINS, MISS = 440, 2e-4
 #: So many ids (8 bytes each) are sent to every executor at most; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Members of a bucket, and pairs of a centre, that go to one task.
+SPREAD, PAIRS = 4096, 1024
 
 
 def shingle_sets(col: pa.Array, k: int):
@@ -111,11 +121,21 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int, bands: int, width
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, s1 long, s2 long, bands array<long>")
 
 
+def parts(c: Column, size: int) -> Column:
+    return F.greatest(F.ceil(c / size), F.lit(1))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(x, y) for the rows (a, b, x, y) of ``pairs`` for which the full sets of a and b,
-    from ``texts`` (id, text), have 100 * intersection >= percent * union."""
-    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    """(x, y) for the rows (a, b, x, y) of the stored ``pairs`` for which the full sets of
+    a and b, from ``texts`` (id, text), have 100 * intersection >= percent * union.
+
+    Where a has very many pairs, they are dealt to copies of its text."""
+    heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PAIRS).select("a", parts(F.col("m"), PAIRS).alias("copies"))
+    dealt = pairs.join(heavy, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1)))).drop("copies")
+    ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(heavy, "a", "left")
+    ta = ta.select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("part"))
+    left = dealt.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    both = left.join(ta, ["a", "part"])
 
     @F.arrow_udf("boolean")
     def near(ta: pa.Array, tb: pa.Array) -> pa.Array:
@@ -198,10 +218,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(old: DataFrame | None, label: DataFrame) -> DataFrame:
+    """(id, component), stored: ``old`` carried on by ``label``, whose ids are components of old or new ids."""
+    if old is None:
+        return label
+    on = old.join(label.select(F.col("id").alias("component"), F.col("component").alias("far")), "component", "left").select("id", F.coalesce("far", "component").alias("component"))
+    out = stored(on.unionByName(label.join(old.select("id"), "id", "left_anti")))
+    drop(old)
+    drop(label)
+    return out
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bands: int | None = None, width: int | None = None, step: int = STEP) -> DataFrame:
     """key (as long), n_shingles, component_id and kept for every row of ``docs``.
 
     Bands and width that are not given follow from ``percent``."""
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must hold whole numbers")
     own = banding(percent)
     bands, width = bands or own[0], width or own[1]
     prints = stored(fingerprints(docs, key, text, words, bands, width))
@@ -211,21 +244,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     full = keys.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     found = stored(keys.join(full, ["band", "hash"]))
     meets = found.groupBy("rep").agg(F.sum("c").alias("meets"))
-    members = stored(found.drop("c").join(meets, "rep").withColumn("label", F.col("rep")))
+    part = F.pmod(F.xxhash64("rep"), parts(F.col("c"), SPREAD))
+    members = stored(found.join(meets, "rep").withColumn("label", F.col("rep")).withColumn("part", part))
     drop(found)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), parts(F.col("c"), SPREAD) - 1)).alias("part")
     ids = members.select(F.col("rep").alias("id")).distinct()
     small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(small, "id", "left_semi").distinct())
 
-    relabelled: list[DataFrame] = []
+    known: DataFrame | None = None
     had, centres = 0, 1
     while not members.isEmpty():
         rank = F.row_number().over(Window.partitionBy("band", "hash").orderBy(F.desc("meets"), F.xxhash64("rep"), "rep"))
-        centre = members.withColumn("rank", rank).where(F.col("rank") <= centres).where(F.col("rank") > had).select("band", "hash", F.col("rep").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-        pairs = members.join(centre, ["band", "hash"]).where((F.col("label") != F.col("cl")) & (100 * F.least("n", "cn") >= percent * F.greatest("n", "cn")))
-        first = F.col("rep") < F.col("c")
-        pairs = pairs.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b"), F.when(first, F.col("label")).otherwise(F.col("cl")).alias("x"), F.when(first, F.col("cl")).otherwise(F.col("label")).alias("y")).distinct()
+        centre = members.withColumn("rank", rank).where(F.col("rank") <= centres).where(F.col("rank") > had).select("band", "hash", every, F.col("rep").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
+        pairs = members.join(centre, ["band", "hash", "part"]).where((F.col("label") != F.col("ol")) & (100 * F.least("n", "on") >= percent * F.greatest("n", "on")))
+        # a pair that meets in several buckets, or whose ends are both centres, is tested once
+        first = F.col("rep") < F.col("o")
+        pairs = pairs.groupBy(F.least("rep", "o").alias("lo"), F.greatest("rep", "o").alias("hi"), F.when(first, F.col("label")).otherwise(F.col("ol")).alias("x"), F.when(first, F.col("ol")).otherwise(F.col("label")).alias("y")).agg(F.min("o").alias("a"))
+        pairs = stored(pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"), "x", "y"))
         links = stored(confirm(pairs, texts, words, percent))
+        drop(pairs)
         last = links.isEmpty()
         if last:
             drop(links)
@@ -236,22 +274,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                 drop(links)
                 break
         label = components(links.select("x", "y").distinct())
-        relabelled.append(label)
+        drop(links)
         if last:
-            drop(links)
+            known = merged(known, label)
             break
         now = members.join(label, members.label == label.id, "left").withColumn("label", F.coalesce("component", "label")).drop("id", "component")
-        drop(links)
         # buckets of one component, and those whose members have all been centres, are done
-        left = now.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where((F.col("lo") != F.col("hi")) & (F.col("c") > centres)).select("band", "hash")
-        after = stored(now.join(left, ["band", "hash"]))
+        left = now.groupBy("band", "hash").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"), F.first("c").alias("c")).where((F.col("lo") != F.col("hi")) & (F.col("m") > centres)).select("band", "hash", every)
+        after = stored(now.join(left, ["band", "hash", "part"]))
         drop(members)
+        known = merged(known, label)
         members, had, centres = after, centres, centres + step
     drop(members)
     drop(texts)
 
     joined = sets.agg(F.min("id").alias("component"))
-    for label in relabelled:
-        joined = joined.join(label, joined.component == label.id, "left").select("s1", "s2", F.coalesce(label.component, joined.component).alias("component"))
+    if known is not None:
+        joined = joined.join(known.withColumnRenamed("component", "far"), joined.component == known.id, "left").select("s1", "s2", F.coalesce("far", "component").alias("component"))
     out = prints.select("id", "n", "s1", "s2").join(joined, ["s1", "s2"], "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

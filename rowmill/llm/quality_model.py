@@ -9,8 +9,11 @@ bounded sample is trained on its own and the weights are averaged, so no task
 sees more than ``max_rows / shards`` texts; a text is scored as a sparse dot
 product in one pass, without a shuffle.
 
-Null and empty texts have no features and score the intercept alone; repeated
-rows score alike; with no labelled rows every text scores 0.5.
+Null and empty texts have no features and score the intercept alone; texts of any
+length are read whole, one over text.CHUNK bytes in a run of its own; repeated rows
+and null keys score alike; with no labelled rows every text scores 0.5; an empty
+table gives an empty result.  Only doc_id and text are read, so extra columns of any
+name are no matter; the results' names are fixed.
 """
 
 from __future__ import annotations
@@ -86,9 +89,9 @@ def train(sample: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int
                 i, c = np.unique(slot[cut[r] : cut[r + 1]], return_counts=True)
                 made[lo + r] = (np.append(i, 1 << bits), np.append(c * (SCALE / max(n[r], 1)), 1.0), float(y[lo + r]))
         w = ftrl([made[i] for i in order], bits, epochs)
-        return pa.table({"n": pa.array([len(y)], pa.int64()), "w": pa.array([w.astype("<f4").tobytes()], pa.binary())})
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "n": pa.array([len(y)], pa.int64()), "w": pa.array([w.astype("<f4").tobytes()], pa.binary())})
 
-    rows = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards))).groupBy("shard").applyInArrow(fit, "n long, w binary").collect()
+    rows = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards))).groupBy("shard").applyInArrow(fit, "shard long, n long, w binary").orderBy("shard").collect()
     if not rows:
         return np.zeros((1 << bits) + 1, np.float32)
     n = np.array([r.n for r in rows], float)

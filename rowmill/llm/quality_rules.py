@@ -8,8 +8,15 @@ quality replaces the demand that all rules pass.  Two limits remain absolute
 because the caller sets them: a text below ``MIN_WORDS`` words, or one most of
 whose words stand in repeated 3-word windows, fails.
 
-Null and empty texts have no words and fail; repeated rows get equal results; an
-empty table gives an empty result.
+Null and empty texts have no words and fail; texts of any length are read whole,
+one over text.CHUNK bytes in a run of its own; repeated rows and null keys get equal
+results; a posterior of exactly the threshold is kept; an empty table gives an
+empty result.  Only key and text are read, so extra columns of any name are no
+matter; the results' names are fixed.
+
+How far rates move: ``fit_votes`` mixes pseudo-votes worth PSEUDO of the texts into
+every estimate, so a rate ends at most 1 / (1 + PSEUDO) of the way from its start to
+what the votes say.
 """
 
 from __future__ import annotations
@@ -20,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm import text as T
+from rowmill.llm.stored import shared_folder
 
-MIN_WORDS = 50
+MIN_WORDS, PSEUDO, PRIOR = 50, 0.05, 0.8
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_shout long, n_distinct long, n_lone long, n_stops long"
 
 _SYMBOL, _SHOUT, _STOP, _NEWLINE = (np.isin(np.arange(256), list(x)) for x in (b"#*$%&|<>", b"!?", b".:;,", b"\n"))
@@ -113,13 +121,13 @@ def rules(prefix: str = "") -> dict[str, Column]:
     }
 
 
-def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = 0.8):
+def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, prior: float = PRIOR, weight: float = PSEUDO):
     """EM over vote patterns and their counts.
 
     Returns (prior log-odds of quality, R x 2 array of the log-odds that a reject
     and a keep vote of each rule add).  An abstention adds nothing.  At the start
     a reject vote is held far likelier on a bad text and a keep vote a little
-    likelier on a good one; pseudo-votes of this form, as many as a fifth of the
+    likelier on a good one; pseudo-votes of this form, as many as ``weight`` of the
     texts, stay in every estimate, so that a rule that never votes keeps its
     start and none decides without bound.  The share of good texts is the
     caller's ``prior``: left free, the two classes may slide into kinds of good
@@ -130,7 +138,7 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, pr
     v = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
     one = np.stack([v == 0, v == 1], 2).astype(float)  # patterns x rules x (reject, keep)
-    pseudo = n.sum() / 5
+    pseudo = weight * n.sum()
     rate = np.repeat(start[:, None, :], v.shape[1], 1)
     for _ in range(rounds):
         odds = np.log(rate[0]) - np.log(rate[1])
@@ -170,5 +178,6 @@ def quality_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     Texts are read once: their statistics (a few numbers a row) are written to
     the checkpoint folder before votes are counted over them."""
+    shared_folder(docs.sparkSession)
     stats = docs.select(F.col(key), text_stats()(F.col(text)).alias("_s")).select(key, "_s.*").checkpoint()
     return stats.withColumns(verdict(learn(stats)))

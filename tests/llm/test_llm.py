@@ -1,7 +1,9 @@
 """Operators for training data against brute force, on small tables with the awkward cases:
 nulls, empty and long texts, ties, repeated rows, empty tables, clashing extra columns."""
 
+import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -17,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double"
 BASE = " ".join(f"word{i}" for i in range(120))
-TEXTS = [None, "", "  \n\t ", "a", "a b", "A B", "a b c a b c a b c", BASE, BASE, BASE.replace("word60", "other"), BASE.upper(), "x\u00a0y z\x1cq \u00e9t\u00e9", "line one\nline one\n\nline two\n line one\nline one", "w " * 30_000, "##$ %% | a", "\U0001f600 ok", " ".join(f"v{i}" for i in range(60))]
+TEXTS = [None, "", "  \n\t ", "a", "a b", "A B", "a b c a b c a b c", BASE, BASE, BASE.replace("word60", "other"), BASE.upper(), "x\u00a0y z\x1cq \u00e9t\u00e9", "line one\nline one\n\nline two\n line one\nline one", "w " * 30_000, "##$ %% | a", "\U0001f600 ok <|endoftext|> more", " ".join(f"v{i}" for i in range(60))]
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +68,10 @@ def test_near_duplicates_against_all_pairs(docs, none):
     for r in got:
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root[r.doc_id], root[r.doc_id] == r.doc_id)
+        else:
+            assert r.component_id is None and r.kept
+    with pytest.raises(TypeError):
+        near_dup.near_duplicates(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
     assert near_dup.near_duplicates(none).count() == 0
 
 
@@ -87,6 +93,29 @@ def test_near_duplicates_between_texts_that_are_never_centres(spark):
     assert {(r.x, r.y) for r in near_dup.confirm(pairs, docs, 3, 85).collect()} == want and want
 
 
+def test_hot_stars_and_buckets_are_split(spark, monkeypatch):
+    """With tiny limits on what one task gets, the links are the same as those of all pairs."""
+    monkeypatch.setattr(near_dup, "SPREAD", 4)
+    monkeypatch.setattr(near_dup, "PAIRS", 3)
+    rng = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(60):  # near copies of one text; some are near others only
+        w = list(base)
+        for j in rng.choice(100, int(rng.integers(1, 6)), replace=False):
+            w[j] = f"e{i}x{j}"
+        texts.append(" ".join(w))
+    texts += [" ".join(f"o{i}y{j}" for j in range(50)) for i in range(20)]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(words, texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in combinations(range(len(texts)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=3, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+
+
 def test_bands_suit_the_limit():
     assert near_dup.banding(85) == (44, 10)
     for percent in (70, 80, 85, 90):
@@ -154,7 +183,6 @@ def test_packing_is_an_exact_cover(spark, docs, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path())
-    tok.encode_special_tokens = True
     want = [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in TEXTS]
     got = packing.packed(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), tokenizer_path()).collect()
     by, seqs = {}, {}
@@ -178,16 +206,52 @@ def test_packing_is_an_exact_cover(spark, docs, none):
     assert packing.packed(none, tokenizer_path()).count() == 0
 
 
-def test_pack_fills_windows():
+def test_tiers_are_packed_each_for_itself():
     rng = np.random.default_rng(1)
-    lengths = rng.integers(1, 1024, 500).tolist()
-    seqs = packing.pack(lengths)
-    done = Counter()
-    for s in seqs:
-        for n, _, k in s:
+    total = (np.exp(rng.normal(5.5, 1.2, 3000)).astype(int) + 1).tolist()
+    items = [(t % 1024, packing.tier_of(t)) for t in total if t % 1024]
+    seqs = packing.pack(items)
+    done, kinds = Counter(), Counter()
+    for size, s in seqs:
+        assert sum(k for *_, k in s) == size
+        kinds[size] += 1
+        for n, start, k in s:
             done[n] += k
-    assert [done[i] for i in range(500)] == lengths
-    assert sum(sum(k for *_, k in s) != 1024 for s in seqs) <= 10
+    assert [done[i] for i in range(len(items))] == [n for n, _ in items]
+    # every tier has sequences of its own size, and at most ten others are tails
+    assert all(kinds[x] > 50 for x in (128, 256, 512, 1024)) and sum(n for x, n in kinds.items() if x not in (128, 256, 512, 1024)) <= 10
+    # documents of a tier lie in its sequences or, as fillings, in longer ones
+    for size, s in seqs:
+        assert all(128 << items[n][1] <= max(size, 128) for n, *_ in s if size in (128, 256, 512, 1024))
+    flat = packing.pack([(n, 3) for n, _ in items])
+    assert sorted(tuple(s) for _, s in flat) != sorted(tuple(s) for _, s in seqs)
+
+
+def test_ids_are_those_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    tok, own = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    rng = random.Random(1)
+    parts = ["<|endoftext|>", "<|endof", " ", "  ", "\n", "\t", "\r\n", "x", "Don't", "'s", "\u00e9", "\u6f22\u5b57", "123", " !?", "\u00a0", "\u2028", *map(chr, range(256))]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    texts += ["x <|endoftext|> y", "a" * 100_000, " " * 1_000_000 + "x", "\n" * 200_000, "".join(map(chr, range(1, 0xD800, 7)))]
+    for t in texts:
+        assert own(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_step_groups_share_cost(spark):
+    df = spark.createDataFrame([(i, " ".join(["word"] * (1 + i * 37 % 900))) for i in range(800)], "doc_id long, text string").coalesce(1)
+    rows = packing.packed(df, tokenizer_path()).collect()
+    seq = {}
+    for r in rows:
+        s = seq.setdefault(r.sequence_id, [r.step_group, r.tier, 0])
+        s[2] += r.length**2
+    by = {}
+    for g, tier, cost in seq.values():
+        by.setdefault(g, []).append((tier, cost))
+    assert all(len({t for t, _ in v}) == 1 and len(v) * v[0][0] <= 64 * 1024 for v in by.values())
+    top = [sum(c for _, c in v) for v in by.values() if v[0][0] == 1024]
+    assert len(top) > 2 and max(top) < 1.2 * min(top)
 
 
 def test_segments_are_the_maximal_ones():
@@ -202,6 +266,18 @@ def test_segments_are_the_maximal_ones():
         assert sorted(x for *_, x in toxicity.segments(s)) == pytest.approx(sorted(best(0, len(s))))
 
 
+def test_segments_take_linear_time():
+    took = {}
+    for n in (50_000, 200_000):
+        rng = np.random.default_rng(1)
+        for name, s in {"falling": np.tile([1.0, -2.0], n // 2), "rising": np.tile([2.0, -1.0], n // 2), "walk": rng.normal(-0.1, 1, n)}.items():
+            began = time.process_time()
+            toxicity.segments(s)
+            took[name, n] = time.process_time() - began
+    for name in ("falling", "rising", "walk"):
+        assert took[name, 200_000] < 10 * max(took[name, 50_000], 0.02)
+
+
 def test_trained_operators_take_awkward_rows(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(17)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     q = quality_model.quality_scores(docs, labels).collect()
