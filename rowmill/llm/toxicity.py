@@ -74,9 +74,10 @@ def moved(up: np.ndarray, n0: np.ndarray, n1: np.ndarray, base: float, weight: f
 
 
 def law(score: np.ndarray, n: np.ndarray) -> float:
-    """lambda > 0 with E[exp(lambda * score)] = 1 over ``n`` clean tokens of each score; the mean must be negative."""
+    """lambda with E[exp(lambda * score)] = 1 over ``n`` clean tokens of each score, 2 at most
+    (where hardly any clean token scores above 0); the mean must be negative."""
     w = n / max(n.sum(), 1)
-    lo, hi = 1e-3, 20.0
+    lo, hi = 1e-3, 2.0
     f = lambda x: float((w * np.exp(np.minimum(x * score, 60))).sum()) - 1
     for _ in range(60):
         mid = (lo + hi) / 2
@@ -142,15 +143,13 @@ class Model:
 
 
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic fit of y on x by Newton steps with a small ridge."""
-    a, b = np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)), 0.0
-    X = np.stack([np.ones_like(x), x], 1)
-    w = np.array([a, b])
-    for _ in range(50):
+    """Logistic fit of y on x by Newton steps of bounded length with a small ridge."""
+    w, X = np.zeros(2), np.stack([np.ones_like(x), x], 1)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(X @ w, -30, 30)))
         g = X.T @ (y - p) - 1e-2 * w
         step = np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X + 1e-2 * np.eye(2), g)
-        w = w + step
+        w = w + step * min(1.0, 1.0 / np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
     return float(w[0]), float(w[1])
