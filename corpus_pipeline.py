@@ -1,6 +1,11 @@
 """Corpus pipeline over ``documents``: toxicity, quality rules, near-duplicates,
 mixing to target weights, packing.  Every stage reads all that the stage before
-it kept; all but the last return the columns of documents."""
+it kept; all but the last return the columns of documents.
+
+In every stage a null text is read as an empty one, texts of any length are read
+whole, repeated rows are rows of their own unless the stage says otherwise, an empty
+table gives an empty result, and extra columns of any name not beginning with two
+underscores are carried on."""
 
 from __future__ import annotations
 
@@ -9,12 +14,14 @@ from pyspark.sql import functions as F
 
 from rowmill.llm import mixing, near_dup, packing, quality_rules, toxicity
 from rowmill.llm.queries import tokenizer_path
-from rowmill.llm.stored import stored
+from rowmill.llm.stored import drop, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5.  The model learns from the stage's own
-    documents and the labels beside them."""
+    """Documents that score below 0.5; one of exactly 0.5 goes.  The model learns from
+    the stage's own documents and the labels beside them; without labels of both
+    kinds all stay.  Null and empty texts, which have no passage, stay or go by the
+    score of a text without evidence; equal texts go the same way."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = docs.withColumn("__tox", toxicity.scorer(model)("text"))
     return scored.where(F.col("__tox.score") < 0.5).select(*(f"`{c}`" for c in docs.columns))
@@ -22,7 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep.  Votes of the whole corpus are counted
-    first; the second reading weighs them, so no text is stored in between."""
+    first; the second reading weighs them, so no text is stored in between.  Null and
+    empty texts have no words and go; equal texts go the same way; a posterior of
+    exactly 0.5 stays."""
     stats = docs.withColumn("__s", quality_rules.text_stats()("text"))
     model = quality_rules.learn(stats.select("__s.*"))
     return stats.where(quality_rules.verdict(model, "__s.")["kept"]).select(*(f"`{c}`" for c in docs.columns))
@@ -32,7 +41,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id.
 
     Rows go by numbers of their own, so rows that share a doc_id are told apart;
-    those without a doc_id stay alone and are kept."""
+    those without a doc_id stay alone and are kept, as do texts without words.  Of
+    rows with the smallest doc_id of a group the first read stays."""
     rows = stored(docs.withColumn("__no", F.monotonically_increasing_id()))
     known = rows.where("doc_id is not null")
     group = near_dup.near_duplicates(known, "__no").select("__no", F.col("component_id").alias("__group"))
@@ -42,24 +52,30 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus in its new proportions: a document is repeated as often as the mix
-    takes its source whole, and the blocks drawn beyond that follow as pieces of it."""
+    takes its source whole, and the blocks drawn beyond that follow as pieces of it.
+    Texts without words are never drawn; null sources are one source, and null or
+    repeated doc_ids have their own places."""
     return mixing.rebuilt(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences.  Every row is packed for itself, those of null or
+    repeated doc_id too; null and empty texts are the closing mark alone."""
     out = packing.packed(docs, tokenizer_path())
     return out.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 STAGES = [("toxicity", drop_toxic), ("quality_rules", drop_poor), ("near_dup", drop_copies), ("mixing", mix_sources), ("packing", pack)]
 
-#: No stage is plain SQL; tests/llm hold drop_copies against brute force.
+#: No stage is plain SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again,
+    and deleted when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        drop(before)
     return docs
