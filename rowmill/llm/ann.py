@@ -4,9 +4,10 @@ The rows are dealt at random to shards of about ``SHARD`` rows.  In a shard ever
 tree holds a sorted array of long hash strings (signs of random projections of
 the centred vectors, one bit each).  A query descends each tree to the rows with
 the longest common prefix, then ascends in all trees together, one bit at a
-time, until the prefix groups hold ``share`` of the shard's rows (and ``least``
-rows at least); these candidates are scored exactly on the original vectors.
-The best k of all shards are the result.
+time, until the prefix groups of all trees hold ``SHARE`` times the shard's rows.
+Rows found in ``FOUND`` of the trees or more are candidates (the ``LEAST`` most
+often found, ties included, if these are fewer) and are scored exactly on the
+original vectors.  The best k of all shards are the result.
 
 Queries are a stated set; they meet every shard in blocks of ``BLOCK``, so a
 task holds one shard and one block.  The centre is fitted on a sample of at most
@@ -15,7 +16,10 @@ task holds one shard and one block.  The centre is fitted on a sample of at most
 Rows whose vector is null, all zero, has another length than most, or has null
 or non-finite components take no part.  Equal vectors share all their hash
 strings, so ties are never lost and are broken by the smaller id.  A repeated
-id counts once for each of its rows.  An empty table gives an empty result.
+id counts once for each of its rows, but never for a query of that id; null ids
+take no part.  An empty table gives an empty result.  Ids are whole numbers; only
+key and vector are read, so extra columns of any name are no matter; the results'
+names are fixed.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD, BLOCK, SAMPLE = 8192, 16_384, 20_000
-TREES, BITS, SHARE, LEAST = 48, 20, 0.62, 400
+TREES, BITS, SHARE, FOUND, LEAST = 256, 16, 32.0, 46 / 256, 400
 
 
 def hash_strings(x: np.ndarray, centre: np.ndarray, trees: int, bits: int) -> np.ndarray:
@@ -40,13 +44,13 @@ def hash_strings(x: np.ndarray, centre: np.ndarray, trees: int, bits: int) -> np
     return out
 
 
-def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, centre: np.ndarray, trees: int, bits: int, share: float, least: int):
+def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, centre: np.ndarray, trees: int, bits: int, share: float, found_in: float, least: int):
     """(query row, id, score) of the k best candidates of each query in one shard."""
     n = len(ids)
     keys, asked = hash_strings(x, centre, trees, bits), hash_strings(q, centre, trees, bits)
-    order = np.argsort(keys, axis=1, kind="stable")
+    order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
     keys = np.take_along_axis(keys, order, 1)
-    want = min(n * trees, max(least, int(share * n)))
+    want = min(n * trees, share * n)
     lo, hi = np.zeros((bits + 1, trees, len(q)), np.int32), np.zeros((bits + 1, trees, len(q)), np.int32)
     for level in range(bits + 1):  # the length of the common prefix
         drop = bits - level
@@ -57,11 +61,12 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: i
     level = np.where(enough.any(0), bits - enough[::-1].argmax(0), 0)
     rows, found, scores = [], [], []
     for j in range(len(q)):
-        mark = np.zeros(n, bool)
-        for t in range(trees):
-            mark[order[t, lo[level[j], t, j] : hi[level[j], t, j]]] = True
-        mark &= ids != qids[j]
-        cand = np.flatnonzero(mark)
+        times = np.bincount(np.concatenate([order[t, a:b] for t, (a, b) in enumerate(zip(lo[level[j], :, j].tolist(), hi[level[j], :, j].tolist(), strict=True))]), minlength=n)
+        times[ids == qids[j]] = -1
+        few = max(found_in * trees, 1)
+        if (times >= few).sum() < least:
+            few = np.partition(times, n - least)[n - least] if n > least else 0
+        cand = np.flatnonzero(times >= max(few, 0))
         if not len(cand):
             continue
         near = x[cand] @ q[j]
@@ -90,7 +95,7 @@ def usable(df: DataFrame, key: str, vec: str) -> DataFrame:
     return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vec: str = "embedding", trees: int = TREES, bits: int = BITS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vec: str = "embedding", trees: int = TREES, bits: int = BITS, share: float = SHARE, found_in: float = FOUND, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id and score: for each row with ``is_query`` (a condition
     over column id) the k nearest found among all other rows."""
     rows = usable(df, key, vec)
@@ -112,7 +117,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vec: str
         names = ["query_id", "vec_id", "score"]
         if not len(ids) or not len(qids):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        j, found, score = search(ids, vectors(own.column("v")), qids, vectors(queries.column("v")), k, centre, trees, bits, share, least)
+        j, found, score = search(ids, vectors(own.column("v")), qids, vectors(queries.column("v")), k, centre, trees, bits, share, found_in, least)
         return pa.table([pa.array(qids[j]), pa.array(found), pa.array(score)], names)
 
     got = data.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInArrow(cell, "query_id long, vec_id long, score double")

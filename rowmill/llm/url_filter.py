@@ -17,7 +17,7 @@ summed in the task that reads the URL; only the rarer ones are shuffled.
 
 What is learned from: a URL is a rejected example if its host looks like those of
 generated spam sites, by the host statistics of Fetterly, Manasse and Najork
-(WebDB 2004): dashes in a host's name, many dots, many digits, or a very long
+(WebDB 2004): dashes between letters or two dashes in a host's name, many dots, many digits, or a very long
 name.  A URL that a rule blocks is neither (else the rule's host and path would be
 all that the rejected model sees); all others are accepted examples.
 
@@ -67,8 +67,8 @@ def rule_for(host: Column, path: Column, rules: dict[str, str]) -> Column:
 
 def spam_like(host: Column) -> Column:
     """Whether a host name has the marks of a generated spam site."""
+    host = F.regexp_replace(host, r"(^|\.)xn--", "$1")  # the mark of names in other scripts
     dashes, dots, digits = (F.length(host) - F.length(F.regexp_replace(host, x, "")) for x in ("-", r"\.", "[0-9]"))
-    # xn-- and single dashed words of dates or codes aside: a dash between two letters
     return host.rlike("[a-z]-[a-z]") | (dashes >= 2) | (dots >= 5) | (digits >= 5) | (F.length(host) > 60)
 
 
@@ -107,13 +107,15 @@ def window_scores(counted: DataFrame, order: int = ORDER, pull: float = PULL) ->
     for k in range(order + 1):
         own = level[k].withColumn("ctx", F.shiftright("w", WIDE))
         total = own.groupBy("ctx").agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
-        own = own.join(total, "ctx")
+        # tables of longer windows grow with the corpus: they meet by sorting, however small
+        met = (lambda df: df.hint("merge")) if k > 1 else (lambda df: df)
+        own = own.join(met(total), "ctx")
         if prob is None:
             own = own.withColumns({"pa": F.lit(1 / 256), "pr": F.lit(1 / 256)})
         else:
-            own = own.withColumn("s", short("w", k - 1)).join(prob.withColumnRenamed("w", "s"), "s")
+            own = own.withColumn("s", short("w", k - 1)).join(met(prob.withColumnRenamed("w", "s")), "s")
         prob = own.select("w", ((F.col("a") + pull * F.col("pa")) / (F.col("ta") + pull)).alias("pa"), ((F.col("r") + pull * F.col("pr")) / (F.col("tr") + pull)).alias("pr"))
-    return counted.select("w", "n").join(prob, "w").select("w", "n", (F.ln("pa") - F.ln("pr")).alias("score"))
+    return counted.select("w", "n").join(prob.hint("merge"), "w").select("w", "n", (F.ln("pa") - F.ln("pr")).alias("score"))
 
 
 def url_scores(rows: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFrame:
@@ -138,10 +140,10 @@ def url_scores(rows: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(sums), pa.array(n), lists], ["sum", "n", "rest"])
 
     parts = rows.withColumn("_s", split("url"))
-    rare = parts.select("id", F.explode("_s.rest").alias("w")).join(scores.where(F.col("n") * hot < total).select("w", "score"), "w")
+    rare = parts.select("id", F.explode("_s.rest").alias("w")).join(scores.where(F.col("n") * hot < total).select("w", "score").hint("merge"), "w")
     rare = rare.groupBy("id").agg(F.sum("score").alias("_r"))
     whole = F.col("_s.sum") + F.coalesce("_r", F.lit(0.0))
-    return parts.join(rare, "id", "left").withColumn("score", F.round(F.coalesce(F.try_divide(whole, F.col("_s.n")), F.lit(0.0)), 12)).drop("_s", "_r")
+    return parts.join(rare.hint("merge"), "id", "left").withColumn("score", F.round(F.coalesce(F.try_divide(whole, F.col("_s.n")), F.lit(0.0)), 12)).drop("_s", "_r")
 
 
 def calibrate(scored: DataFrame, bins: int = 200, reach: float = 4.0) -> tuple[float, float]:
