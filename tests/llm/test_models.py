@@ -175,7 +175,7 @@ def test_url_likelihood_against_plain_python(spark):
     few, all_ = ({r.id: r.score for r in url_filter.url_scores(scored, s, h).collect()} for h in (20, 10**9))
     assert few == pytest.approx(all_)
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
-    hosts = {"river.org": False, "win-cash.org": True, "a.b.c.d.e.f.org": True, "12345.org": True, "x" * 61: True, "2024-01.org": False}
+    hosts = {"river.org": False, "win-cash.org": True, "a.b.c.d.e.f.org": True, "12345.org": True, "x" * 61: True, "24-01.org": False}
     assert {r.h: r.s for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", url_filter.spam_like(F.col("h")).alias("s")).collect()} == hosts
 
 
