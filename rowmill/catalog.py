@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from rowmill.plans import dimensional, ordered, summaries, texts, workloads  # noqa: F401  they register themselves
+    from rowmill.plans import checks, corpus, dimensional, domain, files, ordered, scalars, search, summaries, tables, texts, workloads  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 

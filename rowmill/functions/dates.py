@@ -30,6 +30,7 @@ def interval_index(unit: str, d, first: int = 1) -> Column:
     """The number of the interval a date lies in; months, quarters and years may begin at month ``first``."""
     m = _months(d) - (first - 1)
     return {
+        "hour": F.floor(F.unix_micros(_c(d).cast("timestamp")) / 3_600_000_000),
         "day": to_days(d),
         "week": F.floor((to_days(d) + 5) / 7),  # day 0 was a Friday; weeks begin on Sunday
         "month": m,
@@ -74,7 +75,49 @@ def fiscal_quarter(d, first: int = 7) -> Column:
     return (F.floor(F.pmod(F.month(_c(d)) - first, F.lit(12)) / 3) + 1).cast("int")
 
 
-#: Display format -> Java pattern, shown in capitals.
+def mdy(m, d, y) -> Column:
+    """A date from month, day and year; null if there is none."""
+    return F.try_make_timestamp(_n(y), _n(m), _n(d), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+
+
+def _n(x) -> Column:
+    return F.lit(x) if isinstance(x, int | float) else _c(x)
+
+
+def hms(h, m, s) -> Column:
+    """Seconds since midnight."""
+    return _n(h) * 3600 + _n(m) * 60 + _n(s)
+
+
+def dhms(d, h, m, s) -> Column:
+    """The time so many hours, minutes and seconds after a date's midnight."""
+    return F.timestamp_micros((F.unix_micros(_c(d).cast("date").cast("timestamp")) + hms(h, m, s).cast("long") * 1_000_000).cast("long"))
+
+
+def datepart(ts) -> Column:
+    return _c(ts).cast("date")
+
+
+def timepart(ts) -> Column:
+    """Seconds since midnight."""
+    return F.hour(_c(ts)) * 3600 + F.minute(_c(ts)) * 60 + F.second(_c(ts))
+
+
+def weekday(d) -> Column:
+    """1 is Sunday."""
+    return F.dayofweek(_c(d))
+
+
+def datdif(a, b) -> Column:
+    return F.date_diff(_c(b), _c(a))
+
+
+def clock(ts) -> dict[str, Column]:
+    """Year, quarter, month, day, hour, minute and second of a time."""
+    return {"year": F.year(_c(ts)), "qtr": F.quarter(_c(ts)), "month": F.month(_c(ts)), "day": F.day(_c(ts)), "hour": F.hour(_c(ts)), "minute": F.minute(_c(ts)), "second": F.second(_c(ts))}
+
+
+#: Display format -> Java pattern, shown in capitals.
 DATE_FORMATS = {"DATE9": "ddMMMyyyy", "DATE7": "ddMMMyy", "DDMMYY10": "dd/MM/yyyy", "DDMMYY8": "dd/MM/yy", "MMDDYY10": "MM/dd/yyyy", "MMDDYY8": "MM/dd/yy", "YYMMDD10": "yyyy-MM-dd", "YYMMDD8": "yy-MM-dd", "DATETIME20": "ddMMMyyyy:HH:mm:ss", "DATETIME18": "ddMMMyy:HH:mm:ss", "TIME8": "HH:mm:ss", "TIME5": "HH:mm", "MONYY7": "MMMyyyy", "MONYY5": "MMMyy"}
 
 
@@ -92,7 +135,7 @@ def fmt(x, name: str) -> Column:
     return (date | number)[base]()
 
 
-#: Informat -> patterns tried in turn.
+#: Informat -> patterns tried in turn.
 INFORMATS = {"DATE9": ["ddMMMyyyy"], "DATE7": ["ddMMMyy"], "MMDDYY10": ["MM/dd/yyyy"], "DDMMYY10": ["dd/MM/yyyy"], "YYMMDD10": ["yyyy-MM-dd"], "YYMMDD8": ["yyyyMMdd"], "E8601DA": ["yyyy-MM-dd"], "IS8601DA": ["yyyy-MM-dd"], "E8601DT": ["yyyy-MM-dd'T'HH:mm:ss"], "DATETIME20": ["ddMMMyyyy:HH:mm:ss"], "MONYY7": ["MMMyyyy"], "ANYDTDTE": ["yyyy-MM-dd", "MM/dd/yyyy", "ddMMMyyyy", "yyyyMMdd"]}
 
 

@@ -81,3 +81,61 @@ def currency(s) -> Column:
     """Number in a text such as $1,234.56; (x) is negative; null if it is none."""
     t = F.regexp_replace(F.trim(_c(s)), r"[$,\s]", "")
     return F.regexp_replace(t, r"^\((.*)\)$", "-$1").try_cast("double")
+
+
+def substr(s, start: int, n: int | None = None) -> Column:
+    """From the 1-based position; to the end without a length."""
+    return F.substr(_c(s), F.lit(start)) if n is None else F.substring(_c(s), start, n)
+
+
+def trim(s) -> Column:
+    """Without trailing blanks."""
+    return F.rtrim(_c(s))
+
+
+def strip(s) -> Column:
+    return F.trim(_c(s))
+
+
+def left(s) -> Column:
+    """Without leading blanks."""
+    return F.ltrim(_c(s))
+
+
+def upcase(s) -> Column:
+    return F.upper(_c(s))
+
+
+def lowcase(s) -> Column:
+    return F.lower(_c(s))
+
+
+def propcase(s) -> Column:
+    return F.initcap(_c(s))
+
+
+def reverse(s) -> Column:
+    return F.reverse(_c(s))
+
+
+def repeat(s, n: int) -> Column:
+    """n copies."""
+    return F.repeat(_c(s), n)
+
+
+def char(code) -> Column:
+    return F.char(_c(code))
+
+
+def rank(s) -> Column:
+    """Code of the first character."""
+    return F.ascii(_c(s))
+
+
+def missing(x, text: bool = False) -> Column:
+    """Null, or for text blank."""
+    return _c(x).isNull() | (F.trim(_c(x)) == "") if text else _c(x).isNull()
+
+
+def coalesce(*xs) -> Column:
+    return F.coalesce(*map(_c, xs))

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Levels that a sparse table may have in its second column.
+MAX_LEVELS = 10_000
 #: Statistic -> aggregate of a column.
 STATS = {
     "n": F.count,
@@ -37,10 +39,12 @@ def proc_means(df: DataFrame, by: list[str], variables: list[str], stats: tuple[
     return df.cube(*by).agg((F.lit(full) - F.grouping_id()).cast("long").alias("_type_"), freq, *_measures(variables, stats))
 
 
-def proc_freq(df: DataFrame, col: str, missing: bool = False, digits: int = 2) -> DataFrame:
-    """Count and percent by value; nulls count only with ``missing``."""
+def proc_freq(df: DataFrame, col: str, missing: bool = False, digits: int = 2, order: str | None = None) -> DataFrame:
+    """Count and percent by value; nulls count only with ``missing``; ``order`` "freq" sorts by falling count."""
     counted = (df if missing else df.where(F.col(col).isNotNull())).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    return counted.withColumn("percent", F.round(100 * F.col("count") / F.sum("count").over(Window.partitionBy()), digits))
+    total = counted.agg(F.sum("count").alias("_n"))
+    out = counted.join(F.broadcast(total)).withColumn("percent", F.round(100 * F.col("count") / F.col("_n"), digits)).drop("_n")
+    return out.orderBy(F.desc("count"), col) if order == "freq" else out
 
 
 def crosstab(df: DataFrame, a: str, b: str, sparse: bool = False) -> DataFrame:
@@ -48,20 +52,28 @@ def crosstab(df: DataFrame, a: str, b: str, sparse: bool = False) -> DataFrame:
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("count"))
     if sparse:
         # every pair of observed levels: the levels of b are gathered into one array, which a pivot would hold as columns
+        if cells.select(b).distinct().count() > MAX_LEVELS:
+            raise ValueError(f"{b} has more than {MAX_LEVELS} levels: no sparse table")
         levels = cells.agg(F.collect_set(b).alias("_b"))
         grid = cells.select(a).distinct().join(F.broadcast(levels)).select(a, F.explode("_b").alias(b))
         cells = grid.join(cells, [a, b], "left").fillna(0, ["count"])
     n = F.col("count")
-    for name, keys in (("total_pct", []), ("row_pct", [a]), ("col_pct", [b])):
+    for name, keys in (("row_pct", [a]), ("col_pct", [b])):
         cells = cells.withColumn(name, 100 * n / F.sum("count").over(Window.partitionBy(*keys)))
-    return cells
+    total = cells.agg(F.sum("count").alias("_n"))
+    return cells.join(F.broadcast(total)).withColumn("total_pct", 100 * n / F.col("_n")).drop("_n")
+
+
+def expected(cells: DataFrame, a: str, b: str) -> DataFrame:
+    """Cells (a, b, o) with the count e that independence of a and b would give."""
+    w = lambda k: F.sum("o").over(Window.partitionBy(k))
+    return cells.join(F.broadcast(cells.agg(F.sum("o").alias("_n")))).withColumn("e", w(a) * w(b) / F.col("_n")).drop("_n")
 
 
 def chisq(df: DataFrame, a: str, b: str) -> DataFrame:
     """Chi-square and degrees of freedom of a two-way table, empty cells included."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
-    w = lambda *k: F.sum("o").over(Window.partitionBy(*k))
-    t = t.withColumn("e", w(a) * w(b) / w())
+    t = expected(t, a, b)
     # cells without a row add their expected counts: n less the expected counts of the others
     s = t.agg(F.sum((F.col("o") - F.col("e")) ** 2 / F.col("e")).alias("x"), F.sum("o").alias("n"), F.sum("e").alias("e"), F.countDistinct(a).alias("ra"), F.countDistinct(b).alias("rb"))
     return s.select((F.col("x") + F.col("n") - F.col("e")).alias("chisq"), ((F.col("ra") - 1) * (F.col("rb") - 1)).alias("df"), "n")
@@ -123,3 +135,30 @@ def channel_mask(df: DataFrame, key: str, col: str, bits: dict[str, int]) -> Dat
         bit = F.when(F.col(col) == value, 1 << b).otherwise(bit)
     out = df.groupBy(key).agg(F.bit_or(bit.cast("long")).alias("mask"))
     return out.withColumn("n_channels", F.bit_count("mask"))
+
+
+def confidence_limits(df: DataFrame, by: list[str], var: str, z: float = 1.959963984540054) -> DataFrame:
+    """n, mean and the limits of the mean by the normal law."""
+    s = df.groupBy(*by).agg(F.count(var).alias("n"), F.avg(var).alias("mean"), (F.stddev_samp(var) / F.sqrt(F.count(var))).alias("stderr"))
+    return s.withColumn("lclm", F.col("mean") - z * F.col("stderr")).withColumn("uclm", F.col("mean") + z * F.col("stderr"))
+
+
+def remerge(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
+    """Aggregates of a row's group beside the row."""
+    return df.withColumns({k: e.over(Window.partitionBy(*keys)) for k, e in aggs.items()})
+
+
+def safe_ratio(n: Column, d: Column, default: float | None = 0.0) -> Column:
+    """n / d, and ``default`` where d is 0 or missing."""
+    return F.coalesce(F.try_divide(n, d), F.lit(default))
+
+
+def weighted_agg(df: DataFrame, keys: list[str], value: str, weight: str, out: str) -> DataFrame:
+    """Sum of value times weight by ``keys``; rows where either is missing add nothing."""
+    return df.groupBy(*keys).agg(F.sum(F.col(value) * F.col(weight)).alias(out))
+
+
+def row_std(*cols: str) -> Column:
+    """Row-wise sample deviation that skips nulls; null below two values."""
+    dev = sum((F.coalesce((F.col(c) - row_mean(*cols)) ** 2, F.lit(0.0)) for c in cols), F.lit(0.0))
+    return F.sqrt(F.try_divide(dev, F.nullif(F.greatest(row_n(*cols) - 1, F.lit(0)), F.lit(0))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.operators.cut import cut
+
 from rowmill.operators.ordered import proc_rank
 
 
@@ -78,11 +80,11 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def khop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """(node, hops) within k steps of the seeds (column node) over edges (src, dst)."""
-    seen = frontier = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    """(node, hops) within k steps of the seeds (column node) over edges (src, dst); each step is stored."""
+    seen = frontier = cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     for i in range(1, k + 1):
         step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").withColumn("hops", F.lit(i))
+        frontier = cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(i)))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.functions import dates
+from rowmill.operators.ordered import add_sequence
+
 OPEN_END = "9999-12-31"
 
 
 def row_hash(cols: list[str]) -> Column:
-    """md5 over the columns; nulls are told from empty text."""
-    return F.md5(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols)))
+    """md5 over the columns, each with its length before it, so that no two rows of other
+    values are written alike; nulls are told from empty text."""
+    field = lambda v: F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("n"))
+    return F.md5(F.concat(*(field(F.col(c).cast("string")) for c in cols)))
 
 
 def scd2(dim: DataFrame, stage: DataFrame, key: str, tracked: list[str], as_of: str) -> DataFrame:
@@ -28,7 +35,7 @@ def scd2(dim: DataFrame, stage: DataFrame, key: str, tracked: list[str], as_of:
     same = joined.where(F.col("current_flag") & ~F.col("_changed")).select(key)
     top = dim.agg(F.coalesce(F.max("dim_key"), F.lit(0)).alias("_top"))
     fresh = stage.select(key, *tracked).join(same, key, "left_anti").join(F.broadcast(top))
-    fresh = fresh.withColumn("dim_key", F.col("_top") + F.row_number().over(Window.orderBy(key))).select(F.col("dim_key").cast(dim.schema["dim_key"].dataType), key, *tracked, day.alias("effective_from"), F.lit(OPEN_END).cast("date").alias("effective_to"), F.lit(True).alias("current_flag"))
+    fresh = add_sequence(fresh, [key], "_seq").withColumn("dim_key", F.col("_top") + F.col("_seq")).select(F.col("dim_key").cast(dim.schema["dim_key"].dataType), key, *tracked, day.alias("effective_from"), F.lit(OPEN_END).cast("date").alias("effective_to"), F.lit(True).alias("current_flag"))
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
@@ -80,3 +87,36 @@ def apply_rules(df: DataFrame, rules: list[dict]) -> DataFrame:
         else:
             df = df.withColumn(r["target"], F.expr(r["expression"]))
     return df
+
+
+def reconciled_load(target: DataFrame, source: DataFrame, key: str, full: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(loaded rows, one row of counts): a full load takes the source alone, an incremental one upserts it."""
+    loaded = source.select(*target.columns) if full else upsert(target, source, key)
+    n = lambda df, name: F.broadcast(df.agg(F.count(F.lit(1)).alias(name)))
+    same = target.join(source.select(key).distinct(), key, "left_semi")
+    counts = n(target, "rows_before").join(n(source, "rows_source")).join(n(same, "rows_replaced")).join(n(loaded, "rows_after"))
+    due = F.col("rows_source") if full else F.col("rows_before") - F.col("rows_replaced") + F.col("rows_source")
+    return loaded, counts.withColumn("result", F.when(due == F.col("rows_after"), "PASS").otherwise("FAIL"))
+
+
+def load_log(frames: dict[str, DataFrame], ts: dict[str, str], run_id: str) -> DataFrame:
+    """One row a table: run, rows and high-water mark (the latest value of its ``ts`` column)."""
+    one = lambda t: frames[t].agg(F.lit(run_id).alias("run_id"), F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.max(ts[t]).cast("timestamp").alias("high_water"))
+    return reduce(DataFrame.unionByName, map(one, frames))
+
+
+def period_range(as_of: Column, period: str, first: int = 1) -> tuple[Column, Column]:
+    """(first day, last day) of the month, quarter or year that holds the date; YTD ends at the date.
+    A year may begin at month ``first``."""
+    unit = {"MTH": "month", "QTR": "qtr", "YTD": "year", "YR": "year"}[period]
+    return dates.intnx(unit, as_of, 0, "B", first), as_of if period == "YTD" else dates.intnx(unit, as_of, 0, "E", first)
+
+
+def for_each_group(df: DataFrame, keys: list[str], measures: dict[str, Column]) -> DataFrame:
+    """What a loop over the values of ``keys`` would make, in one pass."""
+    return df.groupBy(*keys).agg(*(e.alias(n) for n, e in measures.items()))
+
+
+def stamp(df: DataFrame, **literals) -> DataFrame:
+    """Constant columns such as a load time and a run number, which the caller gives."""
+    return df.withColumns({k: F.lit(v) for k, v in literals.items()})

@@ -57,9 +57,15 @@ def range_join(a: DataFrame, b: DataFrame, value: str, lo: str, hi: str, width:
 
 
 def window_join(a: DataFrame, b: DataFrame, key: str, ta: str, tb: str, max_days: int) -> DataFrame:
-    """Rows of b for the same key that follow a row of a within ``max_days`` days."""
-    right = b.withColumnRenamed(key, "_k")
-    return a.join(right, (a[key] == right["_k"]) & (F.col(tb) >= F.col(ta)) & (F.col(tb) <= F.col(ta) + F.make_dt_interval(days=F.lit(max_days)))).drop("_k")
+    """Rows of b for the same key that follow a row of a within ``max_days`` days.
+
+    Both sides meet in bins of ``max_days``: a row of a in its own bin and the next, so a
+    key of very many rows is dealt over its bins and only rows near in time are paired."""
+    bin_of = lambda ts: F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (max(max_days, 1) * 86_400_000_000))
+    left = a.withColumn("_w", F.explode(F.array(bin_of(ta), bin_of(ta) + 1)))
+    right = b.withColumnRenamed(key, "_k").withColumn("_wr", bin_of(tb))
+    near = (F.col(tb) >= F.col(ta)) & (F.col(tb) <= F.col(ta) + F.make_dt_interval(days=F.lit(max_days)))
+    return left.join(right, (left[key] == right["_k"]) & (left["_w"] == right["_wr"]) & near).drop("_k", "_w", "_wr")
 
 
 def vs_group_mean(df: DataFrame, keys: list[str], value: str, k: float = 1.0) -> DataFrame:
@@ -99,3 +105,27 @@ def yoy_join(df: DataFrame, entity: str, period: str, value: str) -> DataFrame:
 
 def any_of(*conds: Column) -> Column:
     return reduce(lambda x, y: x | y, conds)
+
+
+def merge_many(driver: DataFrame, others: list[tuple[DataFrame, list[str]]], by: list[str]) -> DataFrame:
+    """The rows of ``driver`` with the named columns of the others, which have one row a key."""
+    return reduce(lambda x, y: x.join(y[0].select(*by, *y[1]), by, "left"), others, driver)
+
+
+def convert_currency(df: DataFrame, rates: DataFrame, amount: str, currency: str, base: str, on_missing: float | None = None, out: str = "amount_base") -> DataFrame:
+    """Amounts in the base currency; ``rates`` has one row (currency, rate) each, the base's rate is 1."""
+    one = rates.groupBy(F.col(currency)).agg(F.max("rate").alias("_r"))
+    rate = F.when(F.col(currency) == base, 1.0).otherwise(F.coalesce("_r", F.lit(on_missing)))
+    return df.join(one, currency, "left").withColumn(out, F.col(amount) * rate).drop("_r")
+
+
+def tolerance_join(pred: DataFrame, gold: DataFrame, keys: list[str], cols: list[str], tol: int, gold_id: str, pred_id: str) -> DataFrame:
+    """For each gold row the first predicted row (smallest id) of the same keys all of whose ``cols`` are within ``tol``.
+
+    The first column is dealt into bins a little wider than ``tol``, so rows far apart never meet."""
+    width = 2 * tol + 1
+    p = pred.select(*keys, *(F.col(c).alias(f"_p_{c}") for c in cols), F.col(pred_id), F.floor(F.col(cols[0]) / width).alias("_bin"))
+    own = F.floor(F.col(cols[0]) / width)
+    g = gold.withColumn("_bin", F.explode(F.array(own - 1, own, own + 1)))
+    near = reduce(lambda x, y: x & y, (F.abs(F.col(c) - F.col(f"_p_{c}")) <= tol for c in cols))
+    return g.join(p, [*keys, "_bin"]).where(near).groupBy(gold_id).agg(F.min(pred_id).alias(pred_id))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.operators.cut import cut
+
 
 def overlap(a: Column, b: Column) -> Column:
     """Share of positions at which two strings have the same character, of the longer one's length."""
@@ -31,11 +31,20 @@ def fuzzy_match(a: DataFrame, b: DataFrame, block_on: list[str], score: Column,
 
 
 def nearest_match(treated: DataFrame, control: DataFrame, keys: list[str], value: str, t_id: str, c_id: str) -> DataFrame:
-    """The control of each treated row within ``keys`` whose value is nearest, ties to the smaller id."""
-    c = control.select(*keys, F.col(c_id).alias("match_id"), F.col(value).alias("_v"))
-    j = treated.join(c, keys).withColumn("gap", F.abs(F.col(value) - F.col("_v")))
-    best = F.min(F.struct("gap", "match_id")).alias("m")
-    return j.groupBy(t_id).agg(best).select(t_id, "m.match_id", "m.gap")
+    """The control of each treated row within ``keys`` whose value is nearest, ties to the smaller id.
+
+    Both sides are sorted together and each treated row looks at the last control value
+    before it and the first one after it, so no pairs are formed; treated rows without
+    a value, and those of keys without controls, have no match."""
+    ctl = control.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.min(c_id).alias("_c"))
+    own = treated.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(t_id).alias("_t"))
+    both = own.unionByName(ctl, allowMissingColumns=True)
+    seen = F.when(F.col("_c").isNotNull(), F.struct("_v", "_c"))
+    w = Window.partitionBy(*keys).orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*keys).orderBy(F.desc("_v")).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_b", F.max(seen).over(w)).withColumn("_a", F.min(seen).over(up)).where("_t is not null")
+    gap = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}._v") - F.col("_v")).alias("gap"), F.col(f"{s}._c").alias("match_id")))
+    return both.select(F.col("_t").alias(t_id), F.least(gap("_a"), gap("_b")).alias("m")).where("m is not null").select(t_id, "m.match_id", "m.gap")
 
 
 def golden(records: DataFrame, cluster: list[str], order: list[Column], fields: list[str]) -> DataFrame:
@@ -54,14 +63,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's folder, or in one of its own where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (src, dst) connect it with, for every node of an edge.
 
@@ -76,3 +77,91 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
         if new.where("component <> was").isEmpty():
             return labels
+
+
+def closure_step(edges: DataFrame, label: str) -> DataFrame:
+    """(node, the least label among the nodes that reach it along ``edges``), stored round by round."""
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    labels = cut(nodes.withColumn(label, F.col("node")))
+    while True:
+        came = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(label).alias("_m"))
+        new = cut(labels.join(came, "node", "left").select("node", F.col(label).alias("_was"), F.least(label, "_m").alias(label)))
+        labels = new.select("node", label)
+        if new.where(F.col("_was") != F.col(label)).isEmpty():
+            return labels
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, scc): the smallest node of each strongly connected component of edges (src, dst).
+
+    Each round labels nodes with the least node that reaches them and with the least
+    that they reach; where both agree that node's component is found.  Its members
+    leave, and so do edges between different labels."""
+    live = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    nodes = live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).distinct()
+    found = []
+    while not live.isEmpty():
+        ahead = closure_step(live, "f")
+        back = closure_step(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "b")
+        both = cut(ahead.join(back, "node"))
+        found.append(both.where("f = b").select("node", F.col("f").alias("scc")))
+        rest = both.where("f <> b")
+        ends = lambda c: rest.select(F.col("node").alias(c), F.struct("f", "b").alias(f"_{c}"))  # noqa: B023, E731
+        live = cut(live.join(ends("src"), "src").join(ends("dst"), "dst").where("_src = _dst").select("src", "dst"))
+    out = nodes.select("node", F.lit(None).cast(nodes.schema["node"].dataType).alias("scc"))
+    for f in found:
+        out = out.unionByName(f)
+    return out.groupBy("node").agg(F.coalesce(F.min("scc"), F.first("node")).alias("scc"))
+
+
+def standardize(df: DataFrame, names: list[str] = (), phones: list[str] = (), emails: list[str] = (), addresses: list[str] = ()) -> DataFrame:
+    """Names and addresses in capitals with single blanks and without marks, street words
+    shortened; the last ten digits of phones; e-mails in small letters, null if they are none."""
+    streets = {"STREET": "ST", "AVENUE": "AVE", "ROAD": "RD", "BOULEVARD": "BLVD", "DRIVE": "DR", "LANE": "LN", "SUITE": "STE", "APARTMENT": "APT"}
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), "[^A-Z0-9 ]", " "), " +", " "))
+
+    def address(c: str) -> Column:
+        out = plain(c)
+        for long, short in streets.items():
+            out = F.regexp_replace(out, rf"\b{long}\b", short)
+        return out
+
+    mail = lambda c: F.when(F.lower(F.trim(c)).rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lower(F.trim(c)))
+    digits = lambda c: F.nullif(F.right(F.regexp_replace(c, "[^0-9]", ""), F.lit(10)), F.lit(""))
+    return df.withColumns({**{c: plain(c) for c in names}, **{c: digits(c) for c in phones}, **{c: mail(c) for c in emails}, **{c: address(c) for c in addresses}})
+
+
+def exact_match(a: DataFrame, b: DataFrame, keys: list[str], id_a: str, id_b: str) -> DataFrame:
+    """Pairs that agree on all ``keys``; blank and null keys match nothing."""
+    filled = lambda df, i: df.where(" and ".join(f"trim(`{k}`) <> ''" for k in keys)).select(*keys, i)
+    return filled(a, id_a).join(filled(b, id_b), keys).select(id_a, id_b)
+
+
+def match_report(records: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """Records, matched and unmatched ones, and the match rate in percent."""
+    hit = pairs.select(key).distinct().withColumn("_m", F.lit(1))
+    row = records.select(key).distinct().join(hit, key, "left").agg(F.count(F.lit(1)).alias("n_records"), F.count("_m").alias("matched"))
+    return row.withColumn("unmatched", F.col("n_records") - F.col("matched")).withColumn("match_rate", 100 * F.try_divide("matched", "n_records"))
+
+
+def dedup_jaccard(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
+    """(key, component, kept): rows whose token sets are alike by at least ``threshold``.
+
+    Two such sets share one of the rarest tokens of the smaller one (its prefix), so only
+    rows with a common prefix token are compared; sets that are equal are one class from
+    the start.  Empty sets are linked with nothing."""
+    sets = df.select(key, F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull()))).alias("_s"))
+    classes = cut(sets.where(F.size("_s") > 0).groupBy("_s").agg(F.min(key).alias("id")))
+    each = classes.select("id", F.size("_s").alias("n"), F.explode("_s").alias("t"))
+    common = each.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "t"))
+    prefix = each.join(common, "t").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).where("c > 1").select("t", "id", "n")
+    other = prefix.select("t", F.col("id").alias("b"), F.col("n").alias("nb"))
+    near = (F.col("id") < F.col("b")) & (F.least("n", "nb") >= threshold * F.greatest("n", "nb"))
+    pairs = prefix.join(other, "t").where(near).select(F.col("id").alias("a"), "b").distinct()
+    side = lambda i, s: classes.select(F.col("id").alias(i), F.col("_s").alias(s))
+    links = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    comp = components(links).select(F.col("node").alias("id"), "component")
+    named = classes.join(comp, "id", "left").select("_s", F.coalesce("component", "id").alias("component"))
+    out = sets.join(named, "_s", "left").select(key, F.coalesce("component", F.col(key)).alias("component"))
+    return out.withColumn("kept", F.col(key) == F.col("component"))

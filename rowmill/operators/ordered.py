@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rowmill.operators.cut import cut
+
 
 def win(by: list[str], order: list) -> WindowSpec:
     return Window.partitionBy(*by).orderBy(*order)
@@ -21,44 +23,81 @@ def running_sum(df: DataFrame, value: Column, by: list[str], order: list, out: s
     return df.withColumn(out, F.sum(F.coalesce(value, F.lit(0))).over(_to_here(by, order)))
 
 
-def _number(df: DataFrame, col: str) -> Column:
-    kind = dict(df.dtypes)[col]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    return (F.unix_date(col) if kind == "date" else F.col(col)).cast("double")
+def bucketed(df: DataFrame, order: list) -> DataFrame:
+    """``df``, stored, with a bucket number _b that rises in ``order``: for global order without one task.
 
+    Buckets are the parts of a range partitioning by all order columns, so rows with
+    equal first columns are dealt too; they are stored because bounds are sampled
+    anew whenever a plan runs again."""
+    return cut(df.repartitionByRange(*order).withColumn("_b", F.spark_partition_id()))
 
-def bucketed(df: DataFrame, order: str, rows_per_bucket: int = 200_000) -> tuple[DataFrame, int]:
-    """``df`` with a column _b that is rising in ``order``: for global order without one task.
 
-    Bounds come from approximate quantiles, so equal values share a bucket."""
-    n = df.count()
-    k = max(1, n // rows_per_bucket)
-    cuts = sorted(set(df.select(_number(df, order).alias("o")).approxQuantile("o", [i / k for i in range(1, k)], 0.001))) if k > 1 else []
-    b = F.lit(0)
-    for i, c in enumerate(cuts):
-        b = F.when(_number(df, order) > c, i + 1).otherwise(b)
-    return df.withColumn("_b", b), len(cuts) + 1
+def _totals(df: DataFrame, total: Column) -> DataFrame:
+    """_b and _o, what ``total`` (an aggregate) adds up to in the buckets before: one row a bucket."""
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return df.groupBy("_b").agg(total.alias("_t")).select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
 
 
-def global_running_sum(df: DataFrame, value: Column, order: list[str], out: str, rows_per_bucket: int = 200_000) -> DataFrame:
-    """Running total over the whole frame: per bucket of the first order column, plus the
-    totals of the buckets before.  Only one row a bucket meets in one place."""
-    df, _ = bucketed(df.withColumn("_v", F.coalesce(value, F.lit(0))), order[0], rows_per_bucket)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("_b").agg(F.sum("_v").alias("_t")).select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+def global_running_sum(df: DataFrame, value: Column, order: list, out: str) -> DataFrame:
+    """Running total over the whole frame: within a bucket, plus the totals of the buckets before."""
+    df = bucketed(df.withColumn("_v", F.coalesce(value, F.lit(0))), order)
     inner = df.withColumn("_s", F.sum("_v").over(_to_here(["_b"], order)))
-    return inner.join(F.broadcast(totals), "_b").withColumn(out, F.col("_s") + F.col("_o")).drop("_b", "_v", "_s", "_o")
+    return inner.join(_totals(df, F.sum("_v")), "_b").withColumn(out, F.col("_s") + F.col("_o")).drop("_b", "_v", "_s", "_o")
+
+
+def add_sequence(df: DataFrame, order: list, out: str, start: int = 1) -> DataFrame:
+    """Numbers without gaps in ``order``, from ``start``."""
+    df = bucketed(df, order)
+    inner = df.withColumn("_n", F.row_number().over(win(["_b"], order)))
+    return inner.join(_totals(df, F.count(F.lit(1))), "_b").withColumn(out, F.col("_n") + F.col("_o") + (start - 1)).drop("_b", "_n", "_o")
 
 
-def global_lag(df: DataFrame, col: str, order: list[str], out: str, rows_per_bucket: int = 200_000) -> DataFrame:
+def pct_position(df: DataFrame, order: list, out: str) -> DataFrame:
+    """The place of each row in ``order`` as a share of all rows."""
+    n = df.agg(F.count(F.lit(1)).alias("_all"))
+    return add_sequence(df, order, "_seq").join(F.broadcast(n)).withColumn(out, F.col("_seq") / F.col("_all")).drop("_seq", "_all")
+
+
+def global_lag(df: DataFrame, col: str, order: list, out: str) -> DataFrame:
     """The value of the row before, over the whole frame: windows a bucket, and the last row of the bucket before."""
-    df, _ = bucketed(df, order[0], rows_per_bucket)
-    tail = df.groupBy("_b").agg(F.max_by(F.struct(col), F.struct(*order)).alias("_x"))
-    tail = tail.select("_b", F.lag("_x").over(Window.orderBy("_b")).alias("_p"))
+    df = bucketed(df, order)
     w = win(["_b"], order)
+    tail = df.withColumn("_z", F.lead(F.lit(1)).over(w)).where("_z is null")
+    tail = tail.select("_b", F.lag(F.struct(col)).over(Window.orderBy("_b")).alias("_p"))
     lagged = df.withColumn("_l", F.lag(col).over(w)).withColumn("_n", F.row_number().over(w))
-    return lagged.join(F.broadcast(tail), "_b").withColumn(out, F.when(F.col("_n") == 1, F.col(f"_p.{col}")).otherwise(F.col("_l"))).drop("_b", "_l", "_n", "_p")
+    return lagged.join(tail, "_b").withColumn(out, F.when(F.col("_n") == 1, F.col(f"_p.{col}")).otherwise(F.col("_l"))).drop("_b", "_l", "_n", "_p")
+
+
+def dif(df: DataFrame, col: str, n: int, by: list[str], order: list, out: str) -> DataFrame:
+    """The value less that n rows before in the group; null where either is missing."""
+    return df.withColumn(out, F.col(col) - F.lag(col, n).over(win(by, order)))
+
+
+def first_in_group(df: DataFrame, cols: list[str], by: list[str], order: list) -> DataFrame:
+    """first_c for each column: the value of the group's first row, null or not."""
+    return df.withColumns({f"first_{c}": F.first(c).over(_to_here(by, order)) for c in cols})
+
+
+def keep_first_last(df: DataFrame, by: list[str], order: list, which: str = "both") -> DataFrame:
+    """The first rows of groups, the last, or both (a row that is both comes once)."""
+    desc = [F.desc(o) if isinstance(o, str) else o.desc() for o in order]
+    flags = df.withColumn("_f", F.row_number().over(win(by, order)) == 1).withColumn("_l", F.row_number().over(win(by, desc)) == 1)
+    cond = {"first": F.col("_f"), "last": F.col("_l"), "both": F.col("_f") | F.col("_l")}[which]
+    return flags.where(cond).drop("_f", "_l")
+
+
+def row_cumulative(df: DataFrame, key: str, cols: list[str], cost: str) -> DataFrame:
+    """key, the running totals of the columns less ``cost``, and the number of the first that is 0 or more."""
+    runs = [sum((F.coalesce(c, F.lit(0)) for c in cols[: i + 1]), F.lit(0)) - F.col(cost) for i in range(len(cols))]
+    first = F.coalesce(*(F.when(r >= 0, i + 1) for i, r in enumerate(runs)))
+    return df.select(key, *(r.alias(f"cum_{c}") for r, c in zip(runs, cols, strict=True)), first.alias("break_even"))
+
+
+def ytd_vs_budget(df: DataFrame, by: list[str], year: str, month: str, actual: str, budget: str) -> DataFrame:
+    """Running total in the year, the share of the year's budget that is due, and the variance."""
+    run = F.sum(F.coalesce(actual, F.lit(0))).over(_to_here([*by, year], [month]))
+    due = F.col(budget) * F.col(month) / 12
+    return df.withColumn("ytd", run).withColumn("ytd_budget", due).withColumn("variance", F.col("ytd") - F.col("ytd_budget"))
 
 
 def running_balance(df: DataFrame, by: list[str], order: list, kind: str, quantity: str, signs: dict[str, int], out: str = "balance") -> DataFrame:
@@ -150,17 +189,22 @@ def proc_rank(df: DataFrame, col: str, groups: int, out: str, by: list[str] | No
     The distinct values are counted first, so ranks are taken over values, not rows."""
     by = by or []
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy(F.desc(col) if descending else F.asc(col))
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rank = upto - F.col("_c") + (F.col("_c") + 1) / 2
-    n = F.sum("_c").over(Window.partitionBy(*by))
-    ranks = counts.select(*by, col, F.floor(rank * groups / (n + 1)).alias(out))
+    order = [F.desc(col) if descending else F.asc(col)]
+    if by:
+        upto = counts.withColumn("_u", F.sum("_c").over(_to_here(by, order))).withColumn("_all", F.sum("_c").over(Window.partitionBy(*by)))
+    else:
+        upto = global_running_sum(counts, F.col("_c"), order, "_u").join(F.broadcast(counts.agg(F.sum("_c").alias("_all"))))
+    rank = F.col("_u") - F.col("_c") + (F.col("_c") + 1) / 2
+    ranks = upto.select(*by, col, F.floor(rank * groups / (F.col("_all") + 1)).alias(out))
     return df.join(ranks, [*by, col], "left")
 
 
 def cum_share(df: DataFrame, value: str, order: list, out: str, by: list[str] | None = None) -> DataFrame:
-    by = by or []
-    return df.withColumn(out, F.try_divide(F.sum(value).over(_to_here(by, order)), F.sum(value).over(Window.partitionBy(*by))))
+    """Running total as a share of the total; ``order`` must settle ties."""
+    if by:
+        return df.withColumn(out, F.try_divide(F.sum(value).over(_to_here(by, order)), F.sum(value).over(Window.partitionBy(*by))))
+    total = df.agg(F.sum(value).alias("_all"))
+    return global_running_sum(df, F.col(value), order, "_run").join(F.broadcast(total)).withColumn(out, F.try_divide("_run", "_all")).drop("_run", "_all")
 
 
 def streak(df: DataFrame, by: list[str], newest_first: list, cond: Column) -> DataFrame:

@@ -58,3 +58,21 @@ def validate_rows(df: DataFrame, rules: list[tuple[str, Column]], sep: str = ";"
     """Messages of all failed rules, joined, and the status."""
     df = df.withColumn("error_fields", F.concat_ws(sep, *(F.when(c, n) for n, c in rules)))
     return df.withColumn("status", F.when(F.col("error_fields") == "", "VALID").otherwise("INVALID"))
+
+
+def case_struct(df: DataFrame, branches: list[tuple[Column, dict]], default: dict) -> DataFrame:
+    """Several columns at once from the first branch that holds."""
+    made = lambda values: F.struct(*(F.lit(values.get(k)).alias(k) for k in default))
+    picked = df.withColumn("_case", case_chain([(c, made(v)) for c, v in branches], made(default)))
+    return picked.withColumns({k: F.col(f"_case.{k}") for k in default}).drop("_case")
+
+
+def format_from_table(df: DataFrame, col: str, labels: DataFrame, start: str, label: str, other: str | None, out: str) -> DataFrame:
+    """Labels from a table of (start, label), one a value; Spark broadcasts it where its size allows."""
+    one = labels.groupBy(F.col(start).alias(col)).agg(F.min(label).alias("_l"))
+    return df.join(one, col, "left").withColumn(out, F.coalesce("_l", F.lit(other))).drop("_l")
+
+
+def map_columns(df: DataFrame, cols: list[str], fn) -> DataFrame:
+    """The same expression over several columns."""
+    return df.withColumns({c: fn(F.col(c)) for c in cols})

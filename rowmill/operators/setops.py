@@ -55,3 +55,25 @@ def transpose(df: DataFrame, by: list[str], ident: str, var: str, values: list,
 
 def untranspose(df: DataFrame, ids: list[str], cols: list[str], name: str = "name", value: str = "value") -> DataFrame:
     return df.unpivot(ids, cols, name, value)
+
+
+def noduprec(df: DataFrame) -> DataFrame:
+    return df.dropDuplicates()
+
+
+def head(df: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in ``order``, which must settle ties."""
+    return df.orderBy(*ordering(order)).limit(n)
+
+
+def union(a: DataFrame, b: DataFrame, all_rows: bool = True) -> DataFrame:
+    both = a.unionByName(b)
+    return both if all_rows else both.distinct()
+
+
+def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.intersect(b)
+
+
+def except_(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.subtract(b)

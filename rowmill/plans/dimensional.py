@@ -176,7 +176,15 @@ def fk_check(spark, d):
     return recon.fk_check(read(spark, d, "lineitem"), read(spark, d, "supplier").where("s_suppkey % 8 <> 0"), "l_suppkey", "s_suppkey").select("l_orderkey", "l_suppkey")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*)::BIGINT AS n_rows, count(*) FILTER ({c} IS NULL)::BIGINT AS nulls, count(DISTINCT {c})::BIGINT AS distinct_values FROM customer" for c, t in (("c_custkey", "bigint"), ("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double"), ("c_mktsegment", "string"))))
+def _disc(c, q):
+    return f"quantile_disc({c}, {q})::DOUBLE"
+
+
+def _none(c, q):
+    return "NULL::DOUBLE"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*)::BIGINT AS n_rows, count(*) FILTER ({c} IS NULL)::BIGINT AS nulls, count(DISTINCT {c})::BIGINT AS distinct_values, {q(c, 0.25)} AS q25, {q(c, 0.5)} AS q50, {q(c, 0.75)} AS q75 FROM customer" for c, t, q in (("c_custkey", "bigint", _disc), ("c_name", "string", _none), ("c_nationkey", "int", _disc), ("c_acctbal", "double", _disc), ("c_mktsegment", "string", _none))))
 def profile_table(spark, d):
     return recon.profile(read(spark, d, "customer"))
 

@@ -26,13 +26,13 @@ def running_total_by(spark, d):
 @query("SELECT event_id, round(sum(value) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING),2) AS running FROM events")
 def running_total_global(spark, d):
     df = read(spark, d, "events").select("event_id", "ts", "value")
-    return rounded(ordered.global_running_sum(df, F.col("value"), ["ts", "event_id"], "running", 2000).select("event_id", "running"), 2)
+    return rounded(ordered.global_running_sum(df, F.col("value"), ["ts", "event_id"], "running").select("event_id", "running"), 2)
 
 
 @query("SELECT event_id, lag(value) OVER (ORDER BY ts, event_id) AS before FROM events")
 def lag_global(spark, d):
     df = read(spark, d, "events").select("event_id", "ts", "value")
-    return ordered.global_lag(df, "value", ["ts", "event_id"], "before", 2000).select("event_id", "before")
+    return ordered.global_lag(df, "value", ["ts", "event_id"], "before").select("event_id", "before")
 
 
 @query(f"""SELECT o_orderkey, round(sum(CASE o_orderstatus WHEN 'O' THEN o_totalprice WHEN 'F' THEN -o_totalprice ELSE 0 END) OVER {W[:-1]} ROWS UNBOUNDED PRECEDING),3) AS balance,

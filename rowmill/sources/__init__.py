@@ -68,7 +68,7 @@ def append(base: DataFrame, data: DataFrame, force: bool = True) -> DataFrame:
 def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """path, size, sha256 and lines of every file below ``root``."""
     files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(root)
-    body = F.decode("content", F.lit("UTF-8"))
+    body = F.decode("content", "UTF-8")
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), (F.regexp_count(body, F.lit("\n")) + F.when(F.col("length") > 0, 1).otherwise(0) - F.when(body.endswith("\n"), 1).otherwise(0)).alias("lines"))
 
 

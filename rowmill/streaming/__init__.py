@@ -34,6 +34,6 @@ def stream_route(df: DataFrame, score: str, edges: list[tuple[float, str]], defa
     return df.withColumn("queue", out)
 
 
-def run_batches(df: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> None:
+def run_batches(df: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Apply ``step`` to every micro-batch that is there, then stop; it resumes at the checkpoint."""
-    df.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

