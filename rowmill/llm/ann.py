@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD, BLOCK, SAMPLE = 8192, 16_384, 20_000
-TREES, BITS, SHARE, FOUND, LEAST = 256, 16, 32.0, 46 / 256, 400
+TREES, BITS, SHARE, FOUND, LEAST = 128, 16, 16.0, 22 / 128, 400
 
 
 def hash_strings(x: np.ndarray, centre: np.ndarray, trees: int, bits: int) -> np.ndarray:

@@ -288,9 +288,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     drop(members)
     drop(texts)
 
-    joined = sets.agg(F.min("id").alias("component"))
+    joined = sets.agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("c"))
     if known is not None:
-        joined = joined.join(known.withColumnRenamed("component", "far"), joined.component == known.id, "left").select("s1", "s2", F.coalesce("far", "component").alias("component"))
-    out = prints.select("id", "n", "s1", "s2").join(joined, ["s1", "s2"], "left")
+        joined = joined.join(known.withColumnRenamed("component", "far"), joined.component == known.id, "left").select("s1", "s2", "c", F.coalesce("far", "component").alias("component"))
+    joined = stored(joined)
+    # classes of very many copies are few: they are sent to the rows, which are not brought together
+    hot, cold = (joined.where(x).drop("c") for x in (F.col("c") > PAIRS, F.col("c") <= PAIRS))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    rows = prints.select("id", "n", "s1", "s2")
+    full = rows.where("s1 is not null")
+    out = full.join(hot, ["s1", "s2"]).unionByName(full.join(hot, ["s1", "s2"], "left_anti").join(cold, ["s1", "s2"], "left")).unionByName(rows.where("s1 is null").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
