@@ -91,7 +91,8 @@ def train(sample: DataFrame, bits: int = BITS, shards: int = SHARDS, epochs: int
         w = ftrl([made[i] for i in order], bits, epochs)
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "n": pa.array([len(y)], pa.int64()), "w": pa.array([w.astype("<f4").tobytes()], pa.binary())})
 
-    rows = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards))).groupBy("shard").applyInArrow(fit, "shard long, n long, w binary").orderBy("shard").collect()
+    rows = sample.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards))).groupBy("shard").applyInArrow(fit, "shard long, n long, w binary").collect()
+    rows.sort(key=lambda r: r.shard)
     if not rows:
         return np.zeros((1 << bits) + 1, np.float32)
     n = np.array([r.n for r in rows], float)
