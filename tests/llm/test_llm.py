@@ -8,11 +8,13 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rowmill.llm import ann, html_main, language, mixing, near_dup, packing, quality_model, quality_rules, toxicity, url_filter
+from rowmill.llm import oracle_sql, queries
 from rowmill.llm.queries import URL_RULES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +77,17 @@ def test_near_duplicates_against_all_pairs(docs, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_against_their_sql(spark, docs, tmp_path):
+    """The given documents, and the awkward ones under ids of their own (a null id has no SQL)."""
+    odd = docs.where("doc_id is not null").select((F.col("doc_id") + 10**6).alias("doc_id"), "text")
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()["op8_near_dup"](spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(oracle_sql()["op8_near_dup"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and not all(r.kept for r in got)
+
+
 def test_near_duplicates_between_texts_that_are_never_centres(spark):
     """The exact join for what stars leave: every near pair among texts that share a passage."""
     rng = np.random.default_rng(4)
