@@ -89,6 +89,38 @@ def block_features(docs: DataFrame, key: str, text: str, patterns: dict[str, str
     return docs.select(key, *(e.alias(k) for k, e in base.items()), *(n(p).alias(f"n_{k}") for k, p in patterns.items()))
 
 
+def nesting(text: Column, opens: str, closes: str) -> Column:
+    """The deepest nesting over a text's lines: a line's openers count before its closers, and depth stays at 0 or above."""
+    n = lambda line, p: F.regexp_count(line, F.lit(p))
+
+    def step(acc: Column, line: Column) -> Column:
+        now = acc["now"] + n(line, opens)
+        return F.struct(F.greatest(now - n(line, closes), F.lit(0)).alias("now"), F.greatest(acc["top"], now).alias("top"))
+
+    return F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda acc: acc["top"])
+
+
+def block_vector(docs: DataFrame, key: str, text: str, kind: Column, ambiguous: Column, marks: tuple[str, str], refs: str, branch: str, flags: dict[str, str], kind_weights: dict[str, float], macro: str = "%", macro_cap: float = 3.0) -> DataFrame:
+    """The feature vector of a block: lines / 200, deepest nesting / 5, macro marks a line (``macro_cap`` at
+    most), the weight of its kind (1 if unlisted), whether it is ambiguous, different names it refers to / 5
+    (1.5 at most), branches a line (1 at most), and a 0/1 flag for each pattern.  Null texts have null features."""
+    lines = F.size(F.split(F.col(text), "\n"))
+    n = lambda p: F.regexp_count(text, F.lit(p))
+    names = F.size(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(refs), F.lit(1)), F.lower)))
+    weight = case_chain([(kind == k, w) for k, w in kind_weights.items()], 1.0)
+    made = {
+        "line_count_norm": lines / 200,
+        "nesting_norm": nesting(F.col(text), *marks) / 5,
+        "macro_pct": F.least(n(macro) / lines, F.lit(macro_cap)),
+        "type_weight": weight.cast("double"),
+        "is_ambiguous": F.coalesce(ambiguous, F.lit(False)).cast("double"),
+        "dataset_count_norm": F.least(names / 5, F.lit(1.5)),
+        "conditional_density": F.least(n(branch) / lines, F.lit(1.0)),
+        **{f"has_{k}": F.col(text).rlike(p).cast("double") for k, p in flags.items()},
+    }
+    return docs.select(key, *((c if k in ("type_weight", "is_ambiguous") else F.when(F.col(text).isNotNull(), c)).alias(k) for k, c in made.items()))
+
+
 def risk_rules(features: DataFrame, rules: list[tuple[Column, str, float]], default: tuple[str, float]) -> DataFrame:
     """Risk tier and confidence of the first trigger that holds."""
     made = lambda tier, conf: F.struct(F.lit(tier).alias("risk"), F.lit(conf).alias("confidence"))

@@ -162,6 +162,21 @@ def pct_change(df: DataFrame, value: str, by: list[str], order: list, out: str)
     return df.withColumn(out, 100 * F.try_divide(F.col(value) - before, before))
 
 
+def gap_velocity(df: DataFrame, key: str, ts: str, value: str, hours: list[int], tie: str) -> DataFrame:
+    """The accumulating form of velocity: for each limit, count, sum and maximum over the key's rows so far
+    that came within so many hours (hour marks crossed) of the row before them.  Nothing leaves again, and a
+    key's first row has no row before it."""
+    w = Window.partitionBy(key).orderBy(ts, tie)
+    hour = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 3600)
+    since = df.withColumn("_gap", hour - F.lag(hour).over(w))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    near = lambda h, x: F.when(F.col("_gap") <= h, x)
+    made = {}
+    for h in hours:
+        made |= {f"n_{h}h": F.count(near(h, F.lit(1))).over(upto), f"sum_{h}h": F.coalesce(F.sum(near(h, F.col(value))).over(upto), F.lit(0.0)), f"max_{h}h": F.max(near(h, F.col(value))).over(upto)}
+    return since.withColumns(made).drop("_gap")
+
+
 def velocity(df: DataFrame, key: str, ts: str, value: str, hours: list[int]) -> DataFrame:
     """Count, sum and maximum of a key's rows in the last h hours, itself included."""
     df = df.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))

@@ -120,6 +120,22 @@ def cluster_tree(df: DataFrame, key: str, vec: str, dim: int, fan: int = 8, dept
     return out
 
 
+def flat_index(tree: DataFrame) -> DataFrame:
+    """The leaves of a cluster tree alone: its rows of level 0."""
+    return tree.where("level = 0")
+
+
+def cluster_summary(df: DataFrame, by: list[str], text: str, constructs: dict[str, str], tiers: tuple[int, int] = (50, 200)) -> DataFrame:
+    """For each cluster: texts, lines, the constructs that any of its texts has (in order of name,
+    'general' without one), and a tier by lines.  One pass; nothing of the texts is gathered."""
+    names = sorted(constructs)
+    has = [F.coalesce(F.bool_or(F.col(text).rlike(constructs[n])), F.lit(False)).alias(f"_h{i}") for i, n in enumerate(names)]
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.regexp_count(text, F.lit("\n")) + 1).alias("n_lines"), *has)
+    found = F.concat_ws(", ", *(F.when(F.col(f"_h{i}"), n) for i, n in enumerate(names)))
+    tier = F.when(F.col("n_lines") < tiers[0], "LOW").when(F.col("n_lines") < tiers[1], "MODERATE").otherwise("HIGH")
+    return g.select(*by, "n_blocks", "n_lines", F.when(found == "", "general").otherwise(found).alias("constructs"), tier.alias("tier"))
+
+
 def lsh_top(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, width: float = 1.6, tables: int = 12, seed: int = 1) -> DataFrame:
     """(query_id, id, score, rank): approximate top-k by bucketed random projections of unit vectors, ranked exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH

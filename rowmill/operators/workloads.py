@@ -25,6 +25,13 @@ def returns(df: DataFrame, by: list[str], order: str, value: str, limit: float)
     return df.withColumn("simple", ratio - 1).withColumn("log_return", F.ln(ratio)).withColumn("extreme", F.coalesce(F.abs(ratio - 1) > limit, F.lit(False)))
 
 
+def weights(df: DataFrame, value: str, large: float = 0.05, medium: float = 0.02) -> DataFrame:
+    """Each row's share of the whole, and the size class of its position; null shares where the whole is 0."""
+    whole = df.agg(F.sum(value).alias("_all"))
+    w = df.join(F.broadcast(whole)).withColumn("weight", F.try_divide(value, F.col("_all"))).drop("_all")
+    return w.withColumn("position", F.when(F.col("weight") >= large, "LARGE").when(F.col("weight") >= medium, "MEDIUM").otherwise("SMALL"))
+
+
 def historical_var(df: DataFrame, by: list[str], value: str, level: float) -> DataFrame:
     """The loss that ``level`` of the values do not pass, and the mean of those at or beyond it."""
     cut = df.groupBy(*by).agg(F.percentile(value, F.lit(1 - level)).alias("_q"))
@@ -98,6 +105,14 @@ def followup(df: DataFrame, key: str, date: str, event: Column, study_end: str)
     return g.withColumn("censored", F.col("event_date").isNull()).withColumn("days", F.date_diff(F.coalesce("event_date", F.lit(study_end).cast("date")), "entry"))
 
 
+def hazard(followed: DataFrame, early: int = 90) -> DataFrame:
+    """Events a person-year, null without time at risk, and a risk category for rows of ``followup``."""
+    happened = (~F.col("censored")).cast("int")
+    rate = F.when(F.col("days") > 0, happened / (F.col("days") / 365.25))
+    risk = F.when(F.col("censored"), "CENSORED").when(F.col("days") <= early, "HIGH").otherwise("MODERATE")
+    return followed.withColumn("hazard_rate", rate).withColumn("risk", risk)
+
+
 def failure_categories(df: DataFrame, text: str, rules: dict[str, str]) -> DataFrame:
     """Rows by the first category whose keyword the text has."""
     c = F.lit("other")

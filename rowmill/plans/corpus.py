@@ -39,7 +39,7 @@ def resolve_references(spark, d):
     p = read(spark, d, "pages")
     host = F.regexp_extract("url", r"://([^/?#]*)", 1)
     refs = p.select("page_id", host.alias("folder"), F.explode(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))).alias("ref"))
-    files = p.select(F.concat(host, F.lit("/"), F.regexp_extract("url", r"://[^/?#]*/([^?#]*)", 1)).alias("path")).unionByName(p.limit(1).select(F.lit("about").alias("path")))
+    files = p.select(F.concat(host, F.lit("/"), F.regexp_extract("url", r"://[^/?#]*/([^?#]*)", 1)).alias("path")).unionByName(spark.createDataFrame([("about",)], "path string"))
     out = corpus.resolve_refs(refs, files, "folder", "ref", "path")
     return out.agg(F.count(F.lit(1)).alias("n_refs"), F.count_if("resolved").alias("resolved"), F.count_distinct("page_id").alias("pages"))
 
@@ -97,6 +97,20 @@ def document_features(spark, d):
     return rounded(f.drop("nesting"), 6)
 
 
+PAGE_FLAGS = {"script": "(?i)<script", "form": "(?i)<form", "table": "(?i)<table"}
+PAGE_WEIGHTS = {"http": 1.0, "https": 0.5}
+
+
+@query(r"""WITH p AS (SELECT page_id, html, regexp_extract(url, '^([a-z]+)://', 1) AS kind, len(string_split(html, chr(10))) AS n, len(list_distinct(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: lower(x)))) AS refs, len(regexp_extract_all(html, '<p>')) AS ps FROM pages)
+SELECT page_id, n / 200 AS line_count_norm, round(least(3.0, len(regexp_extract_all(html, '%')) / n), 8) AS macro_pct, CASE kind WHEN 'http' THEN 1.0 WHEN 'https' THEN 0.5 ELSE 1.0 END::DOUBLE AS type_weight, (html NOT LIKE '%</html>%')::INT::DOUBLE AS is_ambiguous, round(least(refs / 5, 1.5), 8)::DOUBLE AS dataset_count_norm, round(least(ps / n, 1.0), 8)::DOUBLE AS conditional_density,
+ regexp_matches(html, '(?i)<script')::INT::DOUBLE AS has_script, regexp_matches(html, '(?i)<form')::INT::DOUBLE AS has_form, regexp_matches(html, '(?i)<table')::INT::DOUBLE AS has_table FROM p""")
+def block_vectors(spark, d):
+    """Pages as blocks; nesting is held against brute force in the tests, as it is no plain SQL."""
+    p = read(spark, d, "pages").withColumn("kind", F.regexp_extract("url", "^([a-z]+)://", 1)).withColumn("odd", ~F.col("html").contains("</html>"))
+    v = corpus.block_vector(p, "page_id", "html", F.col("kind"), F.col("odd"), ("<(div|ul|nav)\\b", "</(div|ul|nav)>"), 'href="([^"]*)"', "<p>", PAGE_FLAGS, PAGE_WEIGHTS)
+    return rounded(v.drop("nesting_norm"), 8)
+
+
 @query(r"""WITH f AS (SELECT doc_id, lang, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS w, len(regexp_extract_all(text, '!')) AS x FROM documents), r AS (SELECT *, CASE WHEN x > 20 THEN 'HIGH' WHEN w > 400 THEN 'MODERATE' ELSE 'LOW' END AS risk, CASE WHEN x > 20 THEN 0.9 WHEN w > 400 THEN 0.7 ELSE 0.8 END::DOUBLE AS confidence FROM f)
 SELECT doc_id, risk, confidence, CASE WHEN risk = 'HIGH' THEN 'MANUAL_REVIEW' WHEN lang IN ('en') AND risk = 'LOW' THEN 'RULES' WHEN risk = 'LOW' THEN 'DIRECT' ELSE 'ASSISTED' END AS strategy FROM r""")
 def risk_and_strategy(spark, d):
@@ -106,9 +120,9 @@ def risk_and_strategy(spark, d):
     return r.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "risk", "confidence", corpus.strategy(F.col("risk"), F.col("lang"), ["en"]).alias("strategy"))
 
 
-@query(r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b(the|and|license|idiot)\b', 1)) AS name FROM documents WHERE lang = 'en'), c AS (SELECT name, doc_id, count(*) AS c FROM e GROUP BY 1, 2) SELECT name, count(*)::BIGINT AS documents, sum(c)::BIGINT AS uses FROM c GROUP BY 1""")
+@query(r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b(the|and|license|idiot)\b', 1)) AS name FROM documents), c AS (SELECT name, doc_id, count(*) AS c FROM e GROUP BY 1, 2) SELECT name, count(*)::BIGINT AS documents, sum(c)::BIGINT AS uses FROM c GROUP BY 1""")
 def function_usage(spark, d):
-    return corpus.function_usage(read(spark, d, "documents").where("lang = 'en'"), "doc_id", "text", ["the", "and", "license", "idiot"])
+    return corpus.function_usage(read(spark, d, "documents"), "doc_id", "text", ["the", "and", "license", "idiot"])
 
 
 @query(r"""WITH s AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS p, lag(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),

@@ -65,14 +65,14 @@ def append_aligned(spark, d):
     return sources.append(base, data)
 
 
-@query("SELECT count(*)::BIGINT AS n_files, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents WHERE text <> '' AND doc_id < 40 AND NOT contains(text, chr(13)) AND right(text, 1) <> chr(10)")
+@query("SELECT count(DISTINCT doc_id // 500)::BIGINT AS n_files, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents WHERE text IS NOT NULL")
 def file_scan(spark, d):
-    """Documents as files of a tree, found again with size, sha-256 and lines.  One file a document, so a few."""
+    """Documents as files of a tree, 500 ids to a file, found again with size, sha-256 and lines."""
     path = fresh_path(spark)
-    docs = read(spark, d, "documents").where("text <> '' and doc_id < 40 and not contains(text, '\r') and right(text, 1) <> '\n'")
-    docs.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").option("lineSep", "\u0001").text(path)
+    docs = read(spark, d, "documents").where("text is not null").select(F.expr("doc_id div 500").alias("part"), F.col("text").alias("value"))
+    docs.repartition("part").write.partitionBy("part").option("lineSep", "\n").text(path)
     got = sources.scan_files(spark, path, "*.txt")
-    return got.agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.col("size") - 1).alias("bytes"), F.sum("lines").alias("lines"))
+    return got.agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes"), F.sum("lines").alias("lines"))
 
 
 @query("SELECT conv_id, turn, role, text, part FROM (SELECT *, CASE WHEN conv_id % 10 < 9 THEN 'train' ELSE 'validation' END AS part FROM conversations)")

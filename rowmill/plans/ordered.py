@@ -106,6 +106,13 @@ def top_k_by_group(spark, d):
     return setops.top_k(_orders(spark, d), 3, ["-o_totalprice", "o_orderkey"], BY).select("o_custkey", "o_orderkey", "rank")
 
 
+@query("""WITH g AS (SELECT *, floor(epoch(ts) / 3600) - lag(floor(epoch(ts) / 3600)) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, count(*) FILTER (gap <= 1) OVER v AS n_1h, round(coalesce(sum(value) FILTER (gap <= 1) OVER v, 0), 6) AS sum_1h, max(value) FILTER (gap <= 1) OVER v AS max_1h, count(*) FILTER (gap <= 24) OVER v AS n_24h, round(coalesce(sum(value) FILTER (gap <= 24) OVER v, 0), 6) AS sum_24h, max(value) FILTER (gap <= 24) OVER v AS max_24h FROM g WINDOW v AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def velocity_gap(spark, d):
+    out = ordered.gap_velocity(read(spark, d, "events"), "user_id", "ts", "value", [1, 24], "event_id")
+    return rounded(out.select("event_id", *(f"{k}_{h}h" for h in (1, 24) for k in ("n", "sum", "max"))), 6, ("max_1h", "max_24h"))
+
+
 @query("""SELECT event_id, count(*) OVER w AS cnt_24h, round(sum(value) OVER w,4) AS sum_24h, max(value) OVER w AS max_24h FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)""")
 def velocity_windows(spark, d):
     return rounded(ordered.velocity(read(spark, d, "events"), "user_id", "ts", "value", [24]).select("event_id", "cnt_24h", "sum_24h", "max_24h"), 4)

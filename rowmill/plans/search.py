@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import search
+from rowmill.operators import analytics, search
 from rowmill.plans.summaries import rounded
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -32,10 +32,10 @@ def adaptive_k(spark, d):
 VOCABULARY = ["the", "and", "of", "to", "in"]
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda v: v IN ('the','and','of','to','in')) AS ws FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, [len(list_filter(ws, lambda v: v = 'the')), len(list_filter(ws, lambda v: v = 'and')), len(list_filter(ws, lambda v: v = 'of')), len(list_filter(ws, lambda v: v = 'to')), len(list_filter(ws, lambda v: v = 'in'))]::DOUBLE[] AS k FROM w),
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda v: v IN ('the','and','of','to','in')) AS ws FROM documents), c AS (SELECT doc_id, [len(list_filter(ws, lambda v: v = 'the')), len(list_filter(ws, lambda v: v = 'and')), len(list_filter(ws, lambda v: v = 'of')), len(list_filter(ws, lambda v: v = 'to')), len(list_filter(ws, lambda v: v = 'in'))]::DOUBLE[] AS k FROM w),
 n AS (SELECT doc_id, k, sqrt(list_dot_product(k, k)) AS z FROM c) SELECT doc_id, round(CASE WHEN z > 0 THEN k[1] / z ELSE 0 END, 8) AS k0, round(CASE WHEN z > 0 THEN k[2] / z ELSE 0 END, 8) AS k1, round(CASE WHEN z > 0 THEN k[5] / z ELSE 0 END, 8) AS k4 FROM n""")
 def keyword_vectors(spark, d):
-    v = read(spark, d, "documents").where("lang = 'en'").select("doc_id", search.keyword_vector(F.col("text"), VOCABULARY).alias("v"))
+    v = read(spark, d, "documents").select("doc_id", search.keyword_vector(F.col("text"), VOCABULARY).alias("v"))
     return v.select("doc_id", *(F.round(F.col("v")[i], 8).alias(f"k{i}") for i in (0, 1, 4)))
 
 
@@ -83,14 +83,14 @@ def contrastive_pairs(spark, d):
     return search.contrastive_pairs(read(spark, d, "embeddings").withColumn("broad", F.col("label") % 3), "vec_id", "label", "broad")
 
 
-@query(f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS same, round({COS}, 10) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 7 = b.vec_id % 7 WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p), q AS (SELECT query_id, max(score) AS best, min(CASE WHEN same THEN rank END) AS f FROM r WHERE rank <= 5 GROUP BY 1)
+@query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS same, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p), q AS (SELECT query_id, max(score) AS best, min(CASE WHEN same THEN rank END) AS f FROM r WHERE rank <= 5 GROUP BY 1)
 SELECT count(*)::BIGINT AS n, round(avg(coalesce((f = 1)::INT, 0)), 6) AS top1, round(avg((f IS NOT NULL)::INT), 6) AS topk, round(avg(coalesce(1 / f, 0)), 6) AS mrr, round(avg((best < 0.55)::INT), 6) AS below FROM q""")
 def label_retrieval(spark, d):
     """Leave one out: whether the nearest rows carry the row's label."""
-    e = read(spark, d, "embeddings").withColumn("g", F.col("vec_id") % 7)
-    s = search.by_group(e.where("vec_id % 20 = 0"), e, "g", "vec_id", "embedding").withColumn("score", F.round("score", 10))
+    e = read(spark, d, "embeddings")
+    near = analytics.knn(e.where("vec_id % 20 = 0"), e, 5, "vec_id", "embedding")
     lab = lambda c, n: e.select(F.col("vec_id").alias(c), F.col("label").alias(n))
-    r = search.top(s, "query_id", "score", "id", 5).join(lab("query_id", "la"), "query_id").join(lab("id", "lb"), "id")
+    r = near.withColumnsRenamed({"q_id": "query_id", "b_id": "id"}).join(lab("query_id", "la"), "query_id").join(lab("id", "lb"), "id")
     q = r.groupBy("query_id").agg(F.max("score").alias("best"), F.min(F.when(F.col("la") == F.col("lb"), F.col("rank"))).alias("f"))
     hit = lambda x: F.avg(F.coalesce(x.cast("double"), F.lit(0.0)))
     return rounded(q.agg(F.count(F.lit(1)).alias("n"), hit(F.col("f") == 1).alias("top1"), hit(F.col("f").isNotNull()).alias("topk"), hit(1 / F.col("f")).alias("mrr"), hit(F.col("best") < 0.55).alias("below")), 6)
@@ -106,6 +106,22 @@ def cluster_tree(spark, d):
     return search.cluster_tree(read(spark, d, "embeddings"), "vec_id", "embedding", 64)
 
 
+@query("SELECT 0 AS level, vec_id AS node FROM embeddings")
+def leaf_index(spark, d):
+    """The leaves of the tree of clusters, as a flat index."""
+    tree = search.cluster_tree(read(spark, d, "embeddings"), "vec_id", "embedding", 64)
+    return search.flat_index(tree).select("level", "node")
+
+
+MARKS = {"code": "[{}]", "digits": "[0-9]{4}", "table": r"\|"}
+
+
+@query(r"""WITH g AS (SELECT lang, source, count(*)::BIGINT AS n_blocks, sum(len(regexp_extract_all(text, '\n')) + 1)::BIGINT AS n_lines, bool_or(regexp_matches(text, '[{}]')) AS c, bool_or(regexp_matches(text, '[0-9]{4}')) AS d, bool_or(contains(text, '|')) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)
+SELECT lang, source, n_blocks, n_lines, CASE WHEN c OR d OR t THEN concat_ws(', ', CASE WHEN c THEN 'code' END, CASE WHEN d THEN 'digits' END, CASE WHEN t THEN 'table' END) ELSE 'general' END AS constructs, CASE WHEN n_lines < 50 THEN 'LOW' WHEN n_lines < 200 THEN 'MODERATE' ELSE 'HIGH' END AS tier FROM g""")
+def cluster_summary(spark, d):
+    return search.cluster_summary(read(spark, d, "documents").where("text is not null"), ["lang", "source"], "text", MARKS)
+
+
 @query()
 def lsh_neighbours(spark, d):
     e = read(spark, d, "embeddings")

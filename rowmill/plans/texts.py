@@ -30,12 +30,13 @@ def link_lineage(spark, d):
     return analytics.links(read(spark, d, "pages"), "page_id", "html")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity > 49 UNION SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 49),
-k AS (SELECT 1::BIGINT AS node, 0 AS hops UNION SELECT e.dst, k.hops+1 FROM k JOIN e ON e.src=k.node WHERE k.hops < 3) SELECT node, min(hops)::INT AS hops FROM k GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000000000 AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey + 1000000000000, l_partkey FROM lineitem),
+k AS (SELECT min(l_partkey) AS node, 0 AS hops FROM lineitem UNION SELECT e.dst, k.hops+1 FROM k JOIN e ON e.src=k.node WHERE k.hops < 3) SELECT node, min(hops)::INT AS hops FROM k GROUP BY 1""")
 def khop(spark, d):
-    pairs = read(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return analytics.khop(edges, spark.createDataFrame([(1,)], "node long"), 3)
+    """Parts and suppliers within three steps of the smallest part key."""
+    pairs = read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1_000_000_000_000).alias("dst")).distinct()
+    edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return analytics.khop(edges, pairs.agg(F.min("src").alias("node")).dropna(), 3)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
@@ -46,11 +47,11 @@ def khop_all(spark, d):
     return analytics.khop(edges, pairs.where("src % 20 = 0").select(F.col("src").alias("node")), 3)
 
 
-@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE vec_id < 20), s AS (SELECT q.vec_id AS q_id, b.vec_id AS b_id, list_cosine_similarity(q.e, b.embedding::DOUBLE[]) AS score FROM q JOIN embeddings b ON b.vec_id <> q.vec_id)
-SELECT q_id, b_id, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, b_id)::INT AS rank FROM s) WHERE rank <= 5""")
+@query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS q_id, b.vec_id AS b_id, list_cosine_similarity(q.e, b.embedding::DOUBLE[]) AS score FROM q JOIN embeddings b ON b.vec_id <> q.vec_id)
+SELECT q_id, b_id, round(score,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, b_id)::INT AS rank FROM s) WHERE rank <= 10""")
 def knn_cosine(spark, d):
     e = read(spark, d, "embeddings")
-    return rounded(analytics.knn(e.where("vec_id < 20"), e, 5, "vec_id", "embedding"), 6)
+    return rounded(analytics.knn(e.where("vec_id % 20 = 0"), e, 10, "vec_id", "embedding"), 6)
 
 
 @query("""WITH q AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q.vec_id AS q_id, b.vec_id AS b_id, list_cosine_similarity(q.e, b.embedding::DOUBLE[]) AS score FROM q JOIN embeddings b ON b.vec_id <> q.vec_id)

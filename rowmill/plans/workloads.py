@@ -11,11 +11,12 @@ from rowmill.plans.summaries import rounded
 END = "2001-08-01"
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'P'||l_partkey AS a, 'S'||l_suppkey AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.reach=u.a) SELECT node, min(reach) AS component FROM r GROUP BY 1""")
+@query("""WITH RECURSIVE e AS (SELECT 'O'||o_orderkey AS a, 'C'||o_custkey AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION (SELECT u.a, min(r.component) FROM r JOIN u ON r.node=u.b JOIN recurring.r AS o ON o.node=u.a GROUP BY u.a HAVING min(r.component) < min(o.component))) SELECT node, component FROM r""")
 def graph_components(spark, d):
-    top = read(spark, d, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1")
-    return matching.components(top.select(F.concat(F.lit("P"), "l_partkey").alias("src"), F.concat(F.lit("S"), "l_suppkey").alias("dst")))
+    """Orders and customers: many components, one of each customer with orders."""
+    o = read(spark, d, "orders")
+    return matching.components(o.select(F.concat(F.lit("O"), "o_orderkey").alias("src"), F.concat(F.lit("C"), "o_custkey").alias("dst")))
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT 'P'||l_partkey AS a, 'S'||l_suppkey AS b FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -160,6 +161,20 @@ def cohort_followup(spark, d):
     return workloads.followup(read(spark, d, "orders"), "o_custkey", "o_orderdate", F.col("o_orderstatus") == "P", END)
 
 
+@query(f"""WITH f AS (SELECT o_custkey, min(o_orderdate)::DATE AS entry, (min(o_orderdate) FILTER (o_orderstatus='P'))::DATE AS event_date FROM orders GROUP BY 1), x AS (SELECT o_custkey, event_date IS NULL AS censored, date_diff('day', entry, coalesce(event_date, DATE '{END}')) AS days FROM f)
+SELECT o_custkey, round(CASE WHEN days > 0 THEN (NOT censored)::INT / (days / 365.25) END, 6) AS hazard_rate, CASE WHEN NOT censored AND days <= 90 THEN 'HIGH' WHEN NOT censored THEN 'MODERATE' ELSE 'CENSORED' END AS risk FROM x""")
+def hazard_indicators(spark, d):
+    f = workloads.followup(read(spark, d, "orders"), "o_custkey", "o_orderdate", F.col("o_orderstatus") == "P", END)
+    return rounded(workloads.hazard(f).select("o_custkey", "hazard_rate", "risk"), 6)
+
+
+@query("""WITH p AS (SELECT c_nationkey, sum(o_totalprice) AS v FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1) SELECT c_nationkey, round(v / (SELECT sum(v) FROM p), 8) AS weight, CASE WHEN v / (SELECT sum(v) FROM p) >= 0.05 THEN 'LARGE' WHEN v / (SELECT sum(v) FROM p) >= 0.02 THEN 'MEDIUM' ELSE 'SMALL' END AS position FROM p""")
+def position_weights(spark, d):
+    j = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    held = j.groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("v"))
+    return rounded(workloads.weights(held, "v").drop("v"), 8)
+
+
 @query("SELECT CASE WHEN contains(lower(text),'error') THEN 'error' WHEN contains(lower(text),'the') THEN 'article' WHEN contains(lower(text),'ing') THEN 'suffix' ELSE 'other' END AS category, count(*)::BIGINT AS n FROM documents GROUP BY 1")
 def failure_categories(spark, d):
     return workloads.failure_categories(read(spark, d, "documents"), "text", {"error": "error", "article": "the", "suffix": "ing"})
