@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.operators.quantiles import exact_quantiles
+
 #: Levels that a sparse table may have in its second column.
 MAX_LEVELS = 10_000
 #: Statistic -> aggregate of a column.
@@ -19,13 +22,34 @@ STATS = {
     "max": F.max,
     "std": F.stddev_samp,
     "stderr": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)),
-    "median": lambda c: F.percentile(c, F.lit(0.5)),
-    **{f"p{p}": (lambda c, p=p: F.percentile(c, F.lit(p / 100))) for p in (1, 5, 10, 25, 75, 90, 95, 99)},
 }
+#: Quantile statistic -> its place.
+QUANTILES = {"median": 0.5, **{f"p{p}": p / 100 for p in (1, 5, 10, 25, 75, 90, 95, 99)}}
 
 
 def _measures(variables, stats) -> list[Column]:
-    return [STATS[s](v).alias(f"{v}_{s}") for v in variables for s in stats]
+    return [STATS[s](v).alias(f"{v}_{s}") for v in variables for s in stats if s not in QUANTILES]
+
+
+def _with_quantiles(df: DataFrame, made: DataFrame, by: list[str], variables: list[str], stats: tuple[str, ...], types: list[int]) -> DataFrame:
+    """``made`` (rows of class summaries) with the quantiles asked for, each class subset for itself."""
+    probs = [s for s in stats if s in QUANTILES]
+    if not probs:
+        return made
+    kinds = dict(df.dtypes)
+    for v in variables:
+        parts = []
+        for t in types:
+            kept = [c for i, c in enumerate(by) if t >> (len(by) - 1 - i) & 1]
+            q = exact_quantiles(df, kept, v, {f"{v}_{s}": QUANTILES[s] for s in probs})
+            keys = [(F.col(c) if c in kept else F.lit(None).cast(kinds[c])).alias(f"_q{i}") for i, c in enumerate(by)]
+            parts.append(q.select(F.lit(t).cast("long").alias("_qt"), *keys, *(f"{v}_{s}" for s in probs)))
+        every = reduce(DataFrame.unionByName, parts)
+        same = F.col("_type_") == F.col("_qt")
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_q{i}"))
+        made = made.join(every, same, "left").drop("_qt", *(f"_q{i}" for i in range(len(by))))
+    return made.select(*by, "_type_", "_freq_", *(f"{v}_{s}" for v in variables for s in stats))
 
 
 def proc_means(df: DataFrame, by: list[str], variables: list[str], stats: tuple[str, ...] = ("n", "mean", "std", "min", "max"), nway: bool = True) -> DataFrame:
@@ -33,10 +57,12 @@ def proc_means(df: DataFrame, by: list[str], variables: list[str], stats: tuple[
     with ``nway=False`` for every subset of the classes, down to the grand total."""
     freq, full = F.count(F.lit(1)).alias("_freq_"), (1 << len(by)) - 1
     if not by:
-        return df.agg(F.lit(0).cast("long").alias("_type_"), freq, *_measures(variables, stats))
-    if nway:
-        return df.groupBy(*by).agg(F.lit(full).cast("long").alias("_type_"), freq, *_measures(variables, stats))
-    return df.cube(*by).agg((F.lit(full) - F.grouping_id()).cast("long").alias("_type_"), freq, *_measures(variables, stats))
+        made = df.agg(F.lit(0).cast("long").alias("_type_"), freq, *_measures(variables, stats))
+    elif nway:
+        made = df.groupBy(*by).agg(F.lit(full).cast("long").alias("_type_"), freq, *_measures(variables, stats))
+    else:
+        made = df.cube(*by).agg((F.lit(full) - F.grouping_id()).cast("long").alias("_type_"), freq, *_measures(variables, stats))
+    return _with_quantiles(df, made, by, variables, stats, [full] if nway else list(range(full + 1)))
 
 
 def proc_freq(df: DataFrame, col: str, missing: bool = False, digits: int = 2, order: str | None = None) -> DataFrame:

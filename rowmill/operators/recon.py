@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.operators.quantiles import exact_quantiles
+
 
 def count_reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
     n = a.agg(F.count(F.lit(1)).alias("rows_a")).join(F.broadcast(b.agg(F.count(F.lit(1)).alias("rows_b"))))
@@ -90,8 +92,9 @@ def validity(df: DataFrame, rules: dict[str, str], threshold: float) -> DataFram
 
 
 def outlier_bounds(df: DataFrame, cols: list[str], lo: float, hi: float) -> DataFrame:
-    row = df.agg(*(F.struct(F.percentile(c, F.lit(lo)).alias("lo"), F.percentile(c, F.lit(hi)).alias("hi")).alias(f"_{i}") for i, c in enumerate(cols)))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"_{i}.lo").alias("lower"), F.col(f"_{i}.hi").alias("upper")) for i, c in enumerate(cols)))).alias("p")).select("p.*")
+    """Lower and upper bound by column: the exact quantiles at ``lo`` and ``hi``."""
+    each = [exact_quantiles(df, [], c, {"lower": lo, "upper": hi}).select(F.lit(c).alias("column"), "lower", "upper") for c in cols]
+    return reduce(DataFrame.unionByName, each)
 
 
 def frame_diff(a: DataFrame, b: DataFrame, keys: list[str], tol: float = 1e-4) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.operators.quantiles import exact_quantiles
+
 
 def actual_vs_expected(df: DataFrame, by: list[str], actual: str, expected: str, bands: tuple[float, float] = (0.9, 1.1)) -> DataFrame:
     """Sums, their ratio and an alert band by group."""
@@ -34,8 +36,8 @@ def weights(df: DataFrame, value: str, large: float = 0.05, medium: float = 0.02
 
 def historical_var(df: DataFrame, by: list[str], value: str, level: float) -> DataFrame:
     """The loss that ``level`` of the values do not pass, and the mean of those at or beyond it."""
-    cut = df.groupBy(*by).agg(F.percentile(value, F.lit(1 - level)).alias("_q"))
-    tail = df.join(F.broadcast(cut), by).where(F.col(value) <= F.col("_q"))
+    cut = exact_quantiles(df, by, value, {"_q": 1 - level})
+    tail = df.join(cut, by).where(F.col(value) <= F.col("_q"))
     return tail.groupBy(*by).agg((-F.first("_q")).alias("var"), (-F.avg(value)).alias("cvar"), F.count(F.lit(1)).alias("n_tail"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
 from rowmill.operators import etl, matching, recon
+from rowmill.operators.quantiles import exact_quantiles
 from rowmill.plans.summaries import rounded
 
 
@@ -139,7 +140,7 @@ SELECT p_partkey, round(coalesce(price, med), 6) AS price, coalesce(brand, 'UNKN
 def impute(spark, d):
     k = F.col("p_partkey")
     x = read(spark, d, "part").select("p_partkey", F.when(k % 7 != 0, F.col("p_retailprice")).alias("price"), F.when(k % 5 != 0, F.col("p_brand")).alias("brand"))
-    x = x.join(F.broadcast(x.agg(F.percentile("price", F.lit(0.5)).alias("med"))))
+    x = x.join(F.broadcast(exact_quantiles(x, [], "price", {"med": 0.5})))
     return rounded(recon.impute(x, {"price": F.col("med"), "brand": F.lit("UNKNOWN")}).drop("med"), 6)
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rowmill.operators import corpus, models, ordered, search, workloads
+from rowmill.operators import agg, corpus, models, ordered, search, workloads
+from rowmill.operators.quantiles import exact_quantiles
 
 
 def newton(x, y):
@@ -166,3 +167,36 @@ def test_hazard_and_weights(spark):
     assert got == {1: (pytest.approx(0.96), "LARGE"), 2: (pytest.approx(0.03), "MEDIUM"), 3: (pytest.approx(0.01), "SMALL"), 4: (None, "SMALL")}
     assert math.isclose(sum(x[0] or 0 for x in got.values()), 1)
     assert workloads.weights(w.limit(0), "v").count() == 0
+
+
+def test_exact_quantiles_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    groups = [None, "a", "b", "hot"]
+    rows = [(groups[3 if i % 2 else i // 2 % 4], None if i % 17 == 0 else float(rng.integers(0, 40)) if i % 3 else float(rng.normal())) for i in range(3000)]
+    rows += [("none", None), ("one", 4.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = {"q0": 0.0, "q1": 0.01, "q2": 0.37, "q3": 0.5, "q4": 0.95, "q5": 1.0}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = {r.g: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {g: tuple(np.quantile([v for h, v in rows if h == g and v is not None], list(probs.values()))) for g in [*groups, "one"]}
+    assert set(got) == set(want)
+    for g in want:
+        assert got[g] == pytest.approx(want[g])
+    every = exact_quantiles(df, [], "v", {"m": 0.5}).collect()
+    assert [tuple(r) for r in every] == [(pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.5)),)]
+    assert [tuple(r) for r in exact_quantiles(df.limit(0), [], "v", {"m": 0.5}).collect()] == [(None,)]
+    assert exact_quantiles(df.limit(0), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_means_quantiles_of_every_class_level(spark):
+    rows = [(a, b, None if i % 5 == 0 else float(i * 7 % 23)) for i, (a, b) in enumerate([("x", 1), ("x", 2), ("y", None), ("y", 2), (None, 1)] * 8)]
+    df = spark.createDataFrame(rows, "a string, b int, v double")
+    got = {(r._type_, r.a, r.b): (r._freq_, r.v_median, r.v_n, r.v_p90) for r in agg.proc_means(df, ["a", "b"], ["v"], ("median", "n", "p90"), nway=False).collect()}
+    want = {}
+    for t, key in ((0, lambda r: (None, None)), (1, lambda r: (None, r[1])), (2, lambda r: (r[0], None)), (3, lambda r: r[:2])):
+        for k in {key(r) for r in rows}:
+            vs = [r[2] for r in rows if key(r) == k]
+            some = [v for v in vs if v is not None]
+            want[t, *k] = (len(vs), pytest.approx(np.quantile(some, 0.5)) if some else None, len(some), pytest.approx(np.quantile(some, 0.9)) if some else None)
+    assert got == want
