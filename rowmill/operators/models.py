@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.operators.rows import case_chain
+from rowmill.operators.search import hash_split
+
 
 def gram(df: DataFrame, xs: list[str], y: str) -> tuple[int, np.ndarray]:
     """(n, cross products of 1, xs and y) over the rows without a missing value, in one aggregate."""
@@ -111,16 +114,75 @@ def proc_tree(df: DataFrame, y: Column, xs: list[str], classes: list[str], depth
     return model.transform(rows).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy")).withColumns({"n_nodes": F.lit(model.numNodes), "depth": F.lit(model.depth)})
 
 
-def calibrated(df: DataFrame, score: str, y: Column) -> DataFrame:
-    """``df`` with Platt's probability for a score: a logistic curve of one variable."""
+def platt(df: DataFrame, score: str, y: Column) -> tuple[float, float]:
+    """Intercept and slope of the logistic curve of one score."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     rows = VectorAssembler(inputCols=[score], outputCol="features").transform(df.withColumn("label", y.cast("double")))
     m = LogisticRegression(maxIter=50).fit(rows)
-    return df.withColumn("probability", 1 / (1 + F.exp(-(F.lit(float(m.intercept)) + float(m.coefficients[0]) * F.col(score)))))
+    return float(m.intercept), float(m.coefficients[0])
+
+
+def calibrated(df: DataFrame, score: str, y: Column) -> DataFrame:
+    """``df`` with Platt's probability for a score: a logistic curve of one variable."""
+    a, b = platt(df, score, y)
+    return df.withColumn("probability", 1 / (1 + F.exp(-(F.lit(a) + b * F.col(score)))))
 
 
 def macro(fn: Callable[..., DataFrame], **fixed) -> Callable[[DataFrame], DataFrame]:
     """A table transform with its parameters filled in, for ``df.transform``."""
     return lambda df: fn(df, **fixed)
+
+
+def mixture_fit(df: DataFrame, vec: str, ks: list[int], dims: int | None = None, seed: int = 1) -> DataFrame:
+    """(k, log_likelihood, bic) of Gaussian mixtures with so many parts, two at least: the least criterion is
+    the best fit.  With ``dims`` the vectors go by so many principal components first."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.where(F.col(vec).isNotNull()).select(array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"), F.size(vec).alias("_d"))
+    row = rows.agg(F.count(F.lit(1)).alias("n"), F.max("_d").alias("d")).head()
+    d = dims or row.d
+    if dims:
+        rows = PCA(k=dims, inputCol="features", outputCol="_f").fit(rows).transform(rows).select(F.col("_f").alias("features"))
+    made = []
+    for k in ks:
+        like = float(GaussianMixture(k=k, seed=seed, maxIter=20).fit(rows).summary.logLikelihood)
+        # weights, means and the upper triangles of the covariances
+        free = k - 1 + k * d + k * d * (d + 1) / 2
+        made.append((k, like, free * math.log(row.n) - 2 * like))
+    return df.sparkSession.createDataFrame(made, "k int, log_likelihood double, bic double")
+
+
+def risk_model(df: DataFrame, key: str, label: str, xs: list[str], percent: int = 80, bins: int = 10) -> DataFrame:
+    """(part, n, accuracy, ece): a logistic model of a risk label that weighs classes alike, calibrated one
+    class against the rest, on the rows it learned from and on those held out.
+
+    Rows are dealt by a hash of their key, so every label is held out in proportion.  Labels are few; rows
+    with a missing feature or label are left out."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    full = hash_split(df.dropna(subset=[key, label, *xs]), key, percent, 5)
+    rows = VectorAssembler(inputCols=xs, outputCol="features").transform(full)
+    names = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
+    rows = names.transform(rows)
+    seen = {r["label"]: r["n"] for r in rows.where("part = 'TRAIN'").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = case_chain([(F.col("label") == c, sum(seen.values()) / (len(seen) * n)) for c, n in sorted(seen.items())], 1.0)
+    rows = rows.withColumn("_w", weight.cast("double"))
+    model = LogisticRegression(weightCol="_w", maxIter=50).fit(rows.where("part = 'TRAIN'"))
+    scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
+    curves = []
+    for i in range(len(names.labels)):
+        one = scored.where("part = 'TRAIN'").select(F.col("_p")[i].alias("_s"), (F.col("label") == i).alias("_y"))
+        m = platt(one, "_s", F.col("_y"))
+        curves.append(1 / (1 + F.exp(-(m[0] + m[1] * F.col("_p")[i]))))
+    each = scored.select("part", "label", F.array(*curves).alias("_c"))
+    best = F.array_position("_c", F.array_max("_c")) - 1
+    accuracy = each.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg((best == F.col("label")).cast("double")).alias("accuracy"))
+    flat = each.select("part", "label", F.posexplode("_c").alias("_i", "_q")).groupBy("part", F.least(F.floor(F.col("_q") * bins), F.lit(bins - 1)).alias("_b"))
+    gaps = flat.agg(F.count(F.lit(1)).alias("_m"), F.abs(F.avg("_q") - F.avg((F.col("_i") == F.col("label")).cast("double"))).alias("_g"))
+    return accuracy.join(gaps.groupBy("part").agg((F.sum(F.col("_m") * F.col("_g")) / F.sum("_m")).alias("ece")), "part")

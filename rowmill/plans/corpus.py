@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import analytics, corpus, matching
+from rowmill.operators import analytics, corpus, matching, models
 from rowmill.plans.summaries import rounded
 
 
@@ -120,6 +120,15 @@ def risk_and_strategy(spark, d):
     return r.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", "risk", "confidence", corpus.strategy(F.col("risk"), F.col("lang"), ["en"]).alias("strategy"))
 
 
+@query()
+def risk_model(spark, d):
+    """Learns the tiers that the rules give from the features of the texts."""
+    f = corpus.block_features(read(spark, d, "documents"), "doc_id", "text", PATTERNS)
+    tiers = corpus.risk_rules(f, [(F.col("n_exclaim") > 20, "HIGH", 0.9), (F.col("n_words") > 400, "MODERATE", 0.7)], ("LOW", 0.8))
+    x = tiers.withColumns({f"log_{c}": F.log1p(F.col(c).cast("double")) for c in ("n_words", "n_exclaim", "n_lines")})
+    return rounded(models.risk_model(x, "doc_id", "risk", ["log_n_words", "log_n_exclaim", "log_n_lines", "digit_share"]), 6)
+
+
 @query(r"""WITH e AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\b(the|and|license|idiot)\b', 1)) AS name FROM documents), c AS (SELECT name, doc_id, count(*) AS c FROM e GROUP BY 1, 2) SELECT name, count(*)::BIGINT AS documents, sum(c)::BIGINT AS uses FROM c GROUP BY 1""")
 def function_usage(spark, d):
     return corpus.function_usage(read(spark, d, "documents"), "doc_id", "text", ["the", "and", "license", "idiot"])

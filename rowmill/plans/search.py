@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import analytics, search
+from rowmill.operators import analytics, models, search
 from rowmill.plans.summaries import rounded
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -101,6 +101,12 @@ def soft_clusters(spark, d):
     return search.soft_clusters(read(spark, d, "embeddings"), "vec_id", "embedding", 4)
 
 
+@query()
+def mixture_fit(spark, d):
+    """How well two to eight clusters fit the vectors, by a criterion that charges for parameters."""
+    return models.mixture_fit(read(spark, d, "embeddings"), "embedding", [2, 4, 8], 8)
+
+
 @query()
 def cluster_tree(spark, d):
     return search.cluster_tree(read(spark, d, "embeddings"), "vec_id", "embedding", 64)

@@ -200,3 +200,24 @@ def test_means_quantiles_of_every_class_level(spark):
             some = [v for v in vs if v is not None]
             want[t, *k] = (len(vs), pytest.approx(np.quantile(some, 0.5)) if some else None, len(some), pytest.approx(np.quantile(some, 0.9)) if some else None)
     assert got == want
+
+
+def test_mixture_fit_prefers_the_true_number(blobs):
+    v, df = blobs
+    rows = {r.k: r for r in models.mixture_fit(df, "v", [2, 4], seed=3).collect()}
+    for k, r in rows.items():
+        assert r.bic == pytest.approx((k - 1 + 4 * k + 10 * k) * math.log(120) - 2 * r.log_likelihood)
+    # four equal parts, each a normal law at its own moments
+    part = lambda x: -0.5 * len(x) * (4 * math.log(2 * math.pi) + math.log(np.linalg.det(np.cov(x.T, bias=True))) + 4)
+    assert rows[4].log_likelihood == pytest.approx(sum(part(v[b::4]) for b in range(4)) + 120 * math.log(0.25), rel=0.02)
+    assert rows[4].bic < rows[2].bic
+
+
+def test_risk_model_holds_out_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2))
+    kind = np.where(x[:, 0] > 0.8, "HIGH", np.where(x[:, 1] > 0, "LOW", "MODERATE"))
+    df = spark.createDataFrame([(i, str(k), float(a), float(b)) for i, (k, (a, b)) in enumerate(zip(kind, x))] + [(900, None, 1.0, 1.0), (901, "LOW", None, 0.0)], "id long, risk string, a double, b double")
+    got = {r.part: r for r in models.risk_model(df, "id", "risk", ["a", "b"]).collect()}
+    assert got["TRAIN"].n + got["VALID"].n == 600 and 80 < got["VALID"].n < 160
+    assert got["VALID"].accuracy > 0.85 and got["VALID"].ece < 0.2 and 0 <= got["TRAIN"].ece <= got["TRAIN"].n
