@@ -213,7 +213,10 @@ def match_report(spark, d):
     return rounded(matching.match_report(read(spark, d, "customer"), pairs, "c_custkey"), 6)
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT o_orderdate, min(o_custkey) AS dst FROM orders GROUP BY 1), e AS (SELECT DISTINCT o_custkey AS a, dst AS b FROM orders JOIN f USING (o_orderdate) WHERE o_custkey <> dst), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION (SELECT u.a, min(r.component) FROM r JOIN u ON r.node=u.b JOIN recurring.r AS o ON o.node=u.a GROUP BY u.a HAVING min(r.component) < min(o.component))),
+c AS (SELECT coalesce(r.component, c_custkey) AS component, c_custkey, c_name, c_mktsegment FROM customer LEFT JOIN r ON r.node = c_custkey)
+SELECT component, count(*)::BIGINT AS n_records, arg_min(c_name, c_custkey) FILTER (trim(c_name) <> '') AS c_name, arg_min(c_mktsegment, c_custkey) FILTER (trim(c_mktsegment) <> '') AS c_mktsegment FROM c GROUP BY 1""")
 def golden_of_clusters(spark, d):
     """Clusters of matched pairs (customers that ordered on one day), and one golden record for each."""
     o = read(spark, d, "orders")
