@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import ann, html_main, language, mixing, near_dup, packing, quality_model, quality_rules, samples, toxicity, url_filter
+from rowmill.llm import ann, exact_dedup, html_main, language, mixing, near_dup, packing, quality_model, quality_rules, samples, toxicity, url_filter
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
@@ -67,6 +67,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_quality_rules, op3_quality_model, op4_language, op5_toxicity, op6_main_text, op7_mixing, op8_near_dup, op9_packing, op10_neighbours, pipeline)
+    ops = (op1_url_filter, op2_quality_rules, op3_quality_model, op4_language, op5_toxicity, op6_main_text, op7_mixing, op8_near_dup, op9_packing, op10_neighbours, op11_exact_dedup, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -103,9 +107,18 @@ FROM sets t LEFT JOIN classes k ON t.s = k.s LEFT JOIN component c ON c.rep = k.
 """
 
 
+#: Groups of equal texts; of rows equal in id and text, any one stays.
+EXACT_DEDUP_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+WINDOW w AS (PARTITION BY t)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op8's result is exact, and has SQL.  The others are not plain SQL: models are
     trained, draws are made, or neighbours are approximate.  tests/llm hold op1, op2,
     op6, op7, op8, op9, op10 and run() of the pipeline against brute force, op3's
     updates against plain Python, and op3, op4 and op5 against held-out labels."""
-    return {"op8_near_dup": NEAR_DUP_SQL}
+    return {"op8_near_dup": NEAR_DUP_SQL, "op11_exact_dedup": EXACT_DEDUP_SQL}
