@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import ann, exact_dedup, html_main, language, mixing, near_dup, packing, quality_model, quality_rules, samples, toxicity, trie, url_filter
+from rowmill.llm import ann, codebooks, exact_dedup, html_main, language, mixing, near_dup, packing, quality_model, quality_rules, samples, toxicity, trie, url_filter
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
@@ -71,6 +71,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.rebuilt_trie(_read(spark, sf_dir, "conversations"))
 
@@ -82,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_url_filter, op2_quality_rules, op3_quality_model, op4_language, op5_toxicity, op6_main_text, op7_mixing, op8_near_dup, op9_packing, op10_neighbours, op11_exact_dedup, op13_conversation_trie, pipeline)
+    ops = (op1_url_filter, op2_quality_rules, op3_quality_model, op4_language, op5_toxicity, op6_main_text, op7_mixing, op8_near_dup, op9_packing, op10_neighbours, op11_exact_dedup, op12_vector_codes, op13_conversation_trie, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -120,6 +124,43 @@ WINDOW w AS (PARTITION BY t)
 """
 
 
+#: One round of k-means: assignment a{t} by codebook b{t}, then codebook b{t + 1}.
+CODES_ROUND = """
+a{t} AS MATERIALIZED (
+  SELECT rid, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
+  FROM (SELECT p.rid, p.part, b.entry, p.pp - 2 * list_inner_product(p.p, b.p) + list_inner_product(b.p, b.p) AS d FROM parts p JOIN b{t} b USING (part))
+  GROUP BY rid, part),
+m{t} AS (
+  SELECT part, entry, list(m ORDER BY pos) AS p
+  FROM (SELECT part, entry, pos, floor(sum(x) / count(*)) AS m
+    FROM (SELECT part, a.entry, unnest(p.p) AS x, unnest(range(len(p.p))) AS pos FROM parts p JOIN a{t} a USING (rid, part)) GROUP BY part, entry, pos)
+  GROUP BY part, entry),
+b{u} AS MATERIALIZED (SELECT part, entry, coalesce(m.p, b.p) AS p FROM b{t} b LEFT JOIN m{t} m USING (part, entry)),
+"""
+CODES_SQL = (
+    """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT *, list_inner_product(p, p) AS pp
+  FROM (SELECT rid, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS p FROM kept, range(4) r(part))),
+b0 AS MATERIALIZED (SELECT part, rid AS entry, p FROM parts WHERE rid < 256),
+"""
+    + "".join(CODES_ROUND.format(t=t, u=t + 1) for t in range(codebooks.ROUNDS))
+    + """
+last AS (
+  SELECT rid, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
+  FROM (SELECT p.rid, p.part, b.entry, p.pp - 2 * list_inner_product(p.p, b.p) + list_inner_product(b.p, b.p) AS d FROM parts p JOIN b{t} b USING (part))
+  GROUP BY rid, part),
+coded AS (
+  SELECT rid, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY part) AS code, sum(d) AS error FROM last GROUP BY rid),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(p, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS sha FROM b{t})
+SELECT vec_id, code, error::BIGINT AS error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
+FROM kept JOIN coded USING (rid), book
+""".format(t=codebooks.ROUNDS)
+)
+
 #: Prefixes as lists of turns.  The first list_reduce computes crc32 bit by bit.
 TRIE_SQL = r"""
 WITH ordered AS (
@@ -158,4 +199,4 @@ def oracle_sql() -> dict[str, str]:
     trained, draws are made, or neighbours are approximate.  tests/llm hold op1, op2,
     op6, op7, op8, op9, op10 and run() of the pipeline against brute force, op3's
     updates against plain Python, and op3, op4 and op5 against held-out labels."""
-    return {"op8_near_dup": NEAR_DUP_SQL, "op11_exact_dedup": EXACT_DEDUP_SQL, "op13_conversation_trie": TRIE_SQL}
+    return {"op8_near_dup": NEAR_DUP_SQL, "op11_exact_dedup": EXACT_DEDUP_SQL, "op12_vector_codes": CODES_SQL, "op13_conversation_trie": TRIE_SQL}
