@@ -14,12 +14,13 @@ def statements(docs: DataFrame, key: str, text: str, end: str = ";") -> DataFram
     """One row a statement: number, line of its last character, its text, and whether its end is missing.
 
     A statement runs up to the next ``end`` mark; blank ones at the end are dropped."""
-    parts = F.split(text, f"[{end}]")
-    each = docs.select(key, F.size(parts).alias("_n"), F.posexplode(parts).alias("_i", "_s"))
-    lines = F.size(F.split("_s", "\n")) - 1
+    # the array and its size in a select of their own: what is kept beside an exploded array is the size, not the text
+    cut_up = docs.select(key, F.split(text, f"[{end}]").alias("_parts")).select(key, F.size("_parts").alias("_n"), "_parts")
+    each = cut_up.select(key, "_n", F.posexplode("_parts").alias("_i", "_s"))
+    each = each.select(key, "_n", "_i", (F.length("_s") - F.length(F.translate("_s", "\n", ""))).alias("_l"), F.trim(F.regexp_replace("_s", r"\s+", " ")).alias("body"))
     w = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    out = each.withColumn("line_end", F.sum(lines).over(w) + 1).where((F.trim(F.regexp_replace("_s", r"\s+", " ")) != "") | (F.col("_i") < F.col("_n") - 1))
-    return out.select(key, (F.col("_i") + 1).alias("statement"), F.col("line_end").cast("long").alias("line_end"), F.trim(F.regexp_replace("_s", r"\s+", " ")).alias("body"), (F.col("_i") == F.col("_n") - 1).alias("incomplete"))
+    out = each.withColumn("line_end", F.sum("_l").over(w) + 1).where((F.col("body") != "") | (F.col("_i") < F.col("_n") - 1))
+    return out.select(key, (F.col("_i") + 1).alias("statement"), F.col("line_end").cast("long").alias("line_end"), "body", (F.col("_i") == F.col("_n") - 1).alias("incomplete"))
 
 
 def block_spans(rows: DataFrame, by: list[str], order: list, opens: Column, closes: Column, line: Column) -> DataFrame:

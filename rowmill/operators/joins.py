@@ -79,16 +79,6 @@ def attach_latest(df: DataFrame, other: DataFrame, keys: list[str], ts: str) ->
     return df.join(newest, keys, "left")
 
 
-def match_one_to_one(a: DataFrame, b: DataFrame, ref: str, amount: str, id_a: str, id_b: str, tol: float) -> DataFrame:
-    """Pairs of the n-th amounts of each reference; no row is used twice.
-    status: EXACT, TOLERANCE, OUT_OF_TOLERANCE, ONLY_A or ONLY_B."""
-    side = lambda df, i, t: df.select(F.col(ref), F.col(i), F.col(amount).alias(f"amount_{t}"), F.row_number().over(Window.partitionBy(ref).orderBy(amount, i)).alias("_n"))
-    m = side(a, id_a, "a").join(side(b, id_b, "b"), [ref, "_n"], "full").drop("_n")
-    gap = F.abs(F.col("amount_a") - F.col("amount_b"))
-    status = F.when(F.col("amount_b").isNull(), "ONLY_A").when(F.col("amount_a").isNull(), "ONLY_B").when(gap == 0, "EXACT").when(gap <= tol, "TOLERANCE").otherwise("OUT_OF_TOLERANCE")
-    return m.withColumn("status", status)
-
-
 def semi(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other, keys, "left_semi")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import etl, joins, recon, setops
+from rowmill.operators import etl, joins, pairing, recon, setops
 from rowmill.plans.summaries import rounded
 
 
@@ -61,15 +61,29 @@ def yoy_join(spark, d):
     return rounded(joins.yoy_join(m, "o_orderstatus", "month", "revenue"), 2)
 
 
-@query("""WITH a AS (SELECT o_custkey AS ref, o_orderkey AS ia, o_totalprice AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) n FROM orders),
-b0 AS (SELECT o_custkey AS ref, o_orderkey AS ib, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1000 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 0.005 ELSE o_totalprice END AS amount FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY amount, ib) n FROM b0)
-SELECT coalesce(a.ref,b.ref) AS ref, ia, ib, a.amount AS amount_a, b.amount AS amount_b, CASE WHEN b.amount IS NULL THEN 'ONLY_A' WHEN a.amount IS NULL THEN 'ONLY_B' WHEN abs(a.amount-b.amount)=0 THEN 'EXACT' WHEN abs(a.amount-b.amount)<=0.01 THEN 'TOLERANCE' ELSE 'OUT_OF_TOLERANCE' END AS status FROM a FULL JOIN b ON a.ref=b.ref AND a.n=b.n""")
+ONE_TO_ONE = """WITH RECURSIVE a0 AS (SELECT o_custkey AS ref, o_orderkey AS id, o_totalprice AS amount FROM orders),
+b0 AS (SELECT o_custkey + CASE WHEN o_orderkey % 13 = 0 THEN 1000000 ELSE 0 END AS ref, o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1000 WHEN o_orderkey % 7 = 0 THEN o_totalprice + 0.005 WHEN o_orderkey % 17 = 0 THEN o_totalprice - 900 ELSE o_totalprice END AS amount FROM orders WHERE o_orderkey % 11 <> 0),
+x AS (SELECT ref, amount, a.id AS ia, b.id AS ib FROM (SELECT *, row_number() OVER (PARTITION BY ref, amount ORDER BY id) AS n FROM a0) a FULL JOIN (SELECT *, row_number() OVER (PARTITION BY ref, amount ORDER BY id) AS n FROM b0) b USING (ref, amount, n)),
+l AS (SELECT ref, list({'x': amount, 'id': ia} ORDER BY amount, ia) FILTER (ib IS NULL) AS la, list({'x': amount, 'id': ib} ORDER BY amount, ib) FILTER (ia IS NULL) AS lb FROM x WHERE ia IS NULL OR ib IS NULL GROUP BY ref),
+s AS (SELECT ref, coalesce(la, []) AS la, coalesce(lb, []) AS lb, 1 AS i, 1 AS j, NULL::BIGINT AS ia, NULL::BIGINT AS ib, NULL::DOUBLE AS xa, NULL::DOUBLE AS xb FROM l
+ UNION ALL SELECT ref, la, lb, i + (t <> 'b')::INT, j + (t <> 'a')::INT, CASE WHEN t <> 'b' THEN la[i].id END, CASE WHEN t <> 'a' THEN lb[j].id END, CASE WHEN t <> 'b' THEN la[i].x END, CASE WHEN t <> 'a' THEN lb[j].x END
+ FROM (SELECT *, CASE WHEN j > len(lb) THEN 'a' WHEN i > len(la) THEN 'b' WHEN abs(la[i].x - lb[j].x) <= 1000 THEN 'both' WHEN la[i].x < lb[j].x THEN 'a' ELSE 'b' END AS t FROM s WHERE i <= len(la) OR j <= len(lb))),
+m AS (SELECT ref, ia, ib, xa, xb FROM s WHERE ia IS NOT NULL OR ib IS NOT NULL)
+SELECT ref, ia, ib, amount AS amount_a, amount AS amount_b, 'EXACT' AS status, NULL AS reason FROM x WHERE ia IS NOT NULL AND ib IS NOT NULL
+UNION ALL SELECT ref, ia, ib, xa, xb, CASE WHEN ib IS NULL THEN 'ONLY_A' WHEN ia IS NULL THEN 'ONLY_B' ELSE 'TOLERANCE' END,
+ CASE WHEN ib IS NULL THEN CASE WHEN EXISTS (FROM b0 WHERE b0.ref = m.ref AND abs(b0.amount - xa) <= 1000) THEN 'USED' WHEN EXISTS (FROM b0 WHERE b0.ref = m.ref) THEN 'DIFFERENCE' ELSE 'NONE' END
+ WHEN ia IS NULL THEN CASE WHEN EXISTS (FROM a0 WHERE a0.ref = m.ref AND abs(a0.amount - xb) <= 1000) THEN 'USED' WHEN EXISTS (FROM a0 WHERE a0.ref = m.ref) THEN 'DIFFERENCE' ELSE 'NONE' END END FROM m"""
+
+
+@query(ONE_TO_ONE)
 def one_to_one_match(spark, d):
+    """Orders against a ledger of them that lacks some, moves some references and alters some amounts, within 1,000."""
     o = read(spark, d, "orders")
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     a = o.select(F.col("o_custkey").alias("ref"), k.alias("ia"), p.alias("amount"))
-    b = o.where(k % 11 != 0).select(F.col("o_custkey").alias("ref"), k.alias("ib"), F.when(k % 5 == 0, p + 1000).when(k % 7 == 0, p + 0.005).otherwise(p).alias("amount"))
-    return joins.match_one_to_one(a, b, "ref", "amount", "ia", "ib", 0.01)
+    altered = F.when(k % 5 == 0, p + 1000).when(k % 7 == 0, p + 0.005).when(k % 17 == 0, p - 900).otherwise(p)
+    b = o.where(k % 11 != 0).select((F.col("o_custkey") + F.when(k % 13 == 0, 1_000_000).otherwise(0)).alias("ref"), k.alias("ib"), altered.alias("amount"))
+    return pairing.match_one_to_one(a, b, "ref", "amount", "ia", "ib", 1000.0)
 
 
 @query("SELECT o_orderkey, round(m,7) AS group_mean FROM (SELECT o_orderkey, o_totalprice, avg(o_totalprice) OVER (PARTITION BY o_custkey) m FROM orders) WHERE o_totalprice > 1.2*m")
