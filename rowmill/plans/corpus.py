@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import analytics, corpus, matching, models
+from rowmill.operators import analytics, corpus, matching, models, spans
 from rowmill.plans.summaries import rounded
 
 
@@ -25,6 +25,39 @@ def block_spans(spark, d):
     return corpus.block_spans(c, ["conv_id"], ["turn", "role", "text"], F.col("role") == "user", F.col("role") == "assistant", F.col("turn"))
 
 
+def _sentences(spark, d, ends, key):
+    """Sentences as spans of lines, their kind by what they hold; detected ones also end at ! and ?."""
+    from pyspark.sql import Window
+
+    s = corpus.statements(read(spark, d, "documents"), "doc_id", "text", ends)
+    kind = F.when(F.col("body").rlike("[0-9]"), "number").when(F.length("body") > 60, "long").otherwise("short")
+    start = F.coalesce(F.lag("line_end").over(Window.partitionBy("doc_id").orderBy("statement")), F.lit(1))
+    return s.select(F.col("doc_id").alias("file"), kind.alias("kind"), start.alias("start"), F.col("line_end").alias("end"), (F.col("doc_id") * 1_000_000 + F.col("statement")).alias(key))
+
+
+SPANS = "WITH " + ", ".join(
+    rf"""{t}1 AS (SELECT doc_id, string_split_regex(text, '{ends}') AS ps FROM documents), {t}2 AS (SELECT doc_id, len(ps) AS n, unnest(range(len(ps))) AS i, unnest(ps) AS s FROM {t}1),
+{t}3 AS (SELECT *, (sum(len(string_split(s, chr(10))) - 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) + 1)::BIGINT AS line_end, trim(regexp_replace(s, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM {t}2),
+{t} AS (SELECT doc_id AS file, CASE WHEN regexp_matches(body, '[0-9]') THEN 'number' WHEN length(body) > 60 THEN 'long' ELSE 'short' END AS kind, coalesce(lag(line_end) OVER (PARTITION BY doc_id ORDER BY i), 1) AS s, line_end AS e, doc_id * 1000000 + i + 1 AS id FROM {t}3 WHERE body <> '' OR i < n - 1)"""
+    for t, ends in (("g", "[.]"), ("p", "[.!?,]"))
+) + """, m AS (SELECT g.*, (SELECT min(p.id) FROM p WHERE p.file = g.file AND p.kind = g.kind AND abs(p.s - g.s) <= 1 AND abs(p.e - g.e) <= 1) AS pid FROM g)
+"""
+
+
+@query(SPANS + """SELECT file, detected, coalesce(gold, 0) AS gold, coalesce(correct, 0) AS correct, round(correct / gold, 4) AS accuracy
+FROM (SELECT file, count(*) AS detected FROM p GROUP BY 1) LEFT JOIN (SELECT file, count(*) AS gold, count(pid) AS correct FROM m GROUP BY 1) USING (file)""")
+def span_files(spark, d):
+    pred = _sentences(spark, d, ".!?,", "pid")
+    return spans.span_files(pred, spans.match_spans(pred, _sentences(spark, d, ".", "gid"), 1))
+
+
+@query(SPANS + """, n AS (SELECT m.id, m.kind, arg_min(p.kind, abs(p.s - m.s) * 1000000000000 + p.id) AS taken_for FROM m JOIN p USING (file) WHERE pid IS NULL GROUP BY 1, 2)
+SELECT taken_for, kind, count(*) AS missed FROM n GROUP BY 1, 2""")
+def span_confusion(spark, d):
+    pred = _sentences(spark, d, ".!?,", "pid")
+    return spans.span_confusion(spans.match_spans(pred, _sentences(spark, d, ".", "gid"), 1))
+
+
 @query("""WITH r AS (SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id % 3 = 0 GROUP BY 2), f AS (SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY 2)
 SELECT doc_id, content_hash FROM r UNION ALL SELECT doc_id, content_hash FROM f WHERE content_hash NOT IN (SELECT content_hash FROM r)""")
 def registry_upsert(spark, d):
