@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import analytics, corpus, matching, models, spans
+from rowmill.operators import analytics, corpus, lineage, matching, models, spans
 from rowmill.plans.summaries import rounded
 
 
@@ -101,6 +101,45 @@ def dependency_edges(spark, d):
     return corpus.dependency_edges(li.where("l_returnflag = 'N'"), li.where("l_returnflag = 'R'"), "l_partkey", "l_suppkey")
 
 
+#: Prose has no program keywords, so common words play the roles: what follows "the" is read, what follows "of" is written.
+PROSE_RULES = [lineage.Rule("READ", r"\bthe (\w+)"), lineage.Rule("WRITE", r"\bof (\w+)"), lineage.Rule("READ", r"^in (.+)$", many=True), lineage.Rule("DEFINE", r"\bthat (\w+)"), lineage.Rule("CALL", r"\band (\w+)")]
+
+
+def _symbol_uses(spark, d):
+    docs = read(spark, d, "documents").withColumn("text", lineage.blank_comments(F.col("text")))
+    return lineage.symbol_uses(corpus.statements(docs, "doc_id", "text", "."), "doc_id", PROSE_RULES, [])
+
+
+USES = r"""WITH c AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '(?s)(/\*.*?\*/|''[^'']*''|"[^"]*"|[^/''"]+|.)', 1),
+ lambda x: CASE WHEN length(x) > 3 AND starts_with(x, '/*') THEN regexp_replace(x, '[^\n]', ' ', 'g')
+ WHEN length(x) > 1 AND (starts_with(x, '''') OR starts_with(x, '"')) THEN x[1] || regexp_replace(x[2:-2], '[^\n]', ' ', 'g') || x[1] ELSE x END), '') AS text FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(string_split(text, '.')) + 1)) AS statement, lower(trim(regexp_replace(unnest(string_split(text, '.')), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS body FROM c),
+r AS (SELECT doc_id, statement, 'READ' AS role, unnest(regexp_extract_all(body, '\bthe ([A-Za-z0-9_]+)', 1)) AS name FROM s
+ UNION SELECT doc_id, statement, 'WRITE', unnest(regexp_extract_all(body, '\bof ([A-Za-z0-9_]+)', 1)) FROM s
+ UNION SELECT doc_id, statement, 'READ', unnest(regexp_extract_all(regexp_replace(substr(body, 4), '\([^()]*(?:\([^()]*\)[^()]*)*\)', ' ', 'g'), '([A-Za-z0-9_.]+)', 1)) FROM s WHERE regexp_matches(body, '^in .')
+ UNION SELECT doc_id, statement, 'DEFINE', unnest(regexp_extract_all(body, '\bthat ([A-Za-z0-9_]+)', 1)) FROM s
+ UNION SELECT doc_id, statement, 'CALL', unnest(regexp_extract_all(body, '\band ([A-Za-z0-9_]+)', 1)) FROM s),
+u AS MATERIALIZED (SELECT * FROM r WHERE name <> '' AND NOT starts_with(name, '_'))
+"""
+
+
+@query(USES + "SELECT doc_id, role, count(*) AS uses, count(DISTINCT name) AS names FROM u GROUP BY 1, 2")
+def symbol_uses(spark, d):
+    """Table-level reads and writes, definitions and calls of each document's statements."""
+    return _symbol_uses(spark, d).groupBy("doc_id", "role").agg(F.count(F.lit(1)).alias("uses"), F.count_distinct("name").alias("names"))
+
+
+PRODUCERS = USES + """, o AS (SELECT doc_id, statement, name, role IN ('DEFINE', 'CALL') AS macro, role IN ('WRITE', 'DEFINE') AS makes, {'d': doc_id, 's': statement} AS spot FROM u),
+l AS (SELECT *, last_value(CASE WHEN makes THEN spot END IGNORE NULLS) OVER (PARTITION BY macro, name ORDER BY doc_id, statement, makes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM o)
+SELECT doc_id, statement, name, m.d AS made_doc_id, m.s AS made_statement, CASE WHEN macro THEN 'macro_call' WHEN m.d = doc_id THEN 'dataset' ELSE 'cross_file' END AS kind
+FROM l WHERE NOT makes AND m IS NOT NULL"""
+
+
+@query(PRODUCERS)
+def producer_edges(spark, d):
+    return lineage.producer_edges(_symbol_uses(spark, d), "doc_id")
+
+
 @query()
 def strong_components(spark, d):
     """Strongly connected components of the whole graph; tests hold the operator against brute force."""
