@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import analytics, corpus, lineage, matching, models, spans
+from rowmill.operators import analytics, corpus, lineage, matching, models, spans, variables
 from rowmill.plans.summaries import rounded
 
 
@@ -140,6 +140,31 @@ def producer_edges(spark, d):
     return lineage.producer_edges(_symbol_uses(spark, d), "doc_id")
 
 
+#: In prose, "the" marks a reference, and a sentence that begins with "in" assigns what follows its next word to that word.
+IN_PROSE = r"(?i)^in (\w+) (.*)$"
+
+
+@query(r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(range(1, len(string_split(t, '.')) + 1)) AS statement, trim(regexp_replace(unnest(string_split(t, '.')), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM (SELECT doc_id, regexp_replace(replace(text, '&', ' '), '\bthe ', '&', 'g') AS t FROM documents)),
+a AS MATERIALIZED (SELECT doc_id, statement, lower(regexp_extract(body, '(?i)^in ([A-Za-z0-9_]+) (.*)$', 1)) AS name, regexp_extract(body, '(?i)^in ([A-Za-z0-9_]+) (.*)$', 2) AS value FROM s WHERE regexp_matches(body, '(?i)^in ([A-Za-z0-9_]+) (.*)$')),
+d AS (SELECT DISTINCT doc_id, statement, lower(unnest(regexp_extract_all(body, '&([A-Za-z0-9_]+)', 1))) AS name FROM s),
+n AS (SELECT * FROM d UNION SELECT n.doc_id, n.statement, lower(unnest(regexp_extract_all(a.value, '&([A-Za-z0-9_]+)', 1))) FROM n JOIN a ON a.doc_id = n.doc_id AND a.name = n.name AND a.statement = (SELECT max(b.statement) FROM a b WHERE b.doc_id = n.doc_id AND b.name = n.name AND b.statement < n.statement)),
+v AS MATERIALIZED (SELECT n.*, a.value FROM n LEFT JOIN a ON a.doc_id = n.doc_id AND a.name = n.name AND a.statement = (SELECT max(b.statement) FROM a b WHERE b.doc_id = n.doc_id AND b.name = n.name AND b.statement < n.statement)),
+e AS MATERIALIZED (SELECT DISTINCT doc_id, statement, name, lower(unnest(regexp_extract_all(value, '&([A-Za-z0-9_]+)', 1))) AS need FROM v),
+r AS (SELECT doc_id, statement, name, need FROM e UNION SELECT r.doc_id, r.statement, r.name, e.need FROM r JOIN e ON e.doc_id = r.doc_id AND e.statement = r.statement AND e.name = r.need),
+c AS (SELECT DISTINCT doc_id, statement, name FROM r WHERE name = need),
+bad AS (SELECT * FROM c UNION SELECT r.doc_id, r.statement, r.name FROM r JOIN c ON c.doc_id = r.doc_id AND c.statement = r.statement AND c.name = r.need),
+u AS (SELECT doc_id, statement, name FROM v WHERE value IS NULL UNION SELECT r.doc_id, r.statement, r.name FROM r JOIN v ON v.doc_id = r.doc_id AND v.statement = r.statement AND v.name = r.need WHERE v.value IS NULL),
+m AS MATERIALIZED (SELECT doc_id, statement, map_from_entries(list((name, value)) FILTER (value IS NOT NULL)) AS vals FROM v GROUP BY 1, 2),
+x AS (SELECT doc_id, statement, name, 0 AS round, coalesce(value, '&' || name) AS text, vals FROM v JOIN m USING (doc_id, statement) WHERE (doc_id, statement, name) NOT IN (FROM bad)
+ UNION ALL SELECT doc_id, statement, name, round + 1, array_to_string(list_transform(regexp_extract_all(text, '(?s)(&[A-Za-z0-9_]+\.?|[^&]+|&)', 1), lambda p: CASE WHEN regexp_matches(p, '^&[A-Za-z0-9_]') THEN coalesce(vals[lower(regexp_extract(p, '^&([A-Za-z0-9_]+)', 1))], p) ELSE p END), ''), vals FROM x WHERE round < 20 AND regexp_matches(text, '&[A-Za-z0-9_]'))
+SELECT v.doc_id, v.statement, v.name, d.name IS NOT NULL AS direct, md5(t.text) AS text_hash, CASE WHEN b.name IS NOT NULL THEN 'CYCLE' WHEN u.name IS NOT NULL THEN 'UNDEFINED' ELSE 'RESOLVED' END AS status
+FROM v LEFT JOIN d USING (doc_id, statement, name) LEFT JOIN bad b USING (doc_id, statement, name) LEFT JOIN u USING (doc_id, statement, name) LEFT JOIN (SELECT doc_id, statement, name, arg_max(text, round) AS text FROM x GROUP BY ALL) t USING (doc_id, statement, name)""")
+def variable_references(spark, d):
+    text = F.regexp_replace(F.replace("text", F.lit("&"), F.lit(" ")), r"\bthe ", "&")
+    s = corpus.statements(read(spark, d, "documents").withColumn("text", text), "doc_id", "text", ".")
+    return variables.references(s, "doc_id", IN_PROSE).select("doc_id", "statement", "name", "direct", F.md5("text").alias("text_hash"), "status")
+
+
 @query()
 def strong_components(spark, d):
     """Strongly connected components of the whole graph; tests hold the operator against brute force."""
