@@ -147,23 +147,3 @@ def lsh_top(queries: DataFrame, base: DataFrame, key: str, vec: str, k: int, wid
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(b)
     near = model.approxSimilarityJoin(q, b, 2.0, "distance").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"), dot("datasetA.query_id_v", "datasetB.id_v").alias("score"))
     return top(near.where("id <> query_id"), "query_id", "score", "id", k)
-
-
-def minhash_dedup(df: DataFrame, key: str, text: str, threshold: float = 0.8, perms: int = 128) -> DataFrame:
-    """(key, component, kept): texts whose word sets are alike by at least ``threshold``, found by
-    MinHash and confirmed on the sets' hashed vectors; the smallest key of a component is kept."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    from rowmill.operators.cut import cut
-    from rowmill.operators.matching import components
-
-    words = df.select(key, F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")).alias("w")).where(F.size("w") > 0)
-    # stored: the planner would hash a set before it drops the empty ones
-    classes = cut(words.groupBy(F.array_sort("w").alias("w")).agg(F.min(key).alias("id")))
-    x = HashingTF(inputCol="w", outputCol="features", numFeatures=1 << 20, binary=True).transform(classes).select("id", "features")
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=perms // 8, seed=1).fit(x)
-    pairs = model.approxSimilarityJoin(x, x, 1 - threshold, "d").where("datasetA.id < datasetB.id").select(F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst")).distinct()
-    comp = components(pairs).withColumnRenamed("node", "id")
-    named = classes.join(comp, "id", "left").select("w", F.coalesce("component", "id").alias("component"))
-    out = words.withColumn("w", F.array_sort("w")).join(named, "w").select(key, "component")
-    return df.select(key).join(out, key, "left").select(key, F.coalesce("component", F.col(key)).alias("component")).withColumn("kept", F.col(key) == F.col("component"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowmill.functions import numbers as num
-from rowmill.operators import analytics, corpus, domain, etl, joins, matching, models, ordered, recon, search
+from rowmill.operators import analytics, corpus, domain, etl, joins, matching, minhash, models, ordered, recon, search
 
 
 def test_row_hash_tells_fields_apart(spark):
@@ -103,7 +103,7 @@ def test_dedup_jaccard_against_all_pairs(spark):
 def test_minhash_finds_copies(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(0, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(f"v{i}" for i in range(60))), (4, None), (5, "")]
-    got = {r.id: r.component for r in search.minhash_dedup(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    got = {r.id: r.component for r in minhash.minhash_dedup(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
 
 
