@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import analytics, minhash, models, search
+from rowmill.operators import analytics, ivf, minhash, models, search
 from rowmill.plans.summaries import rounded
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -134,6 +134,13 @@ def lsh_neighbours(spark, d):
     return search.lsh_top(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
 
 
+@query()
+def ivf_neighbours(spark, d):
+    """Approximate neighbours through an inverted file; tests hold recall and the share of rows scored."""
+    e = read(spark, d, "embeddings")
+    return ivf.search(ivf.build(e, "vec_id", "embedding"), e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, 32)
+
+
 @query(r"""WITH RECURSIVE w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))) AS s FROM documents),
 k AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM w WHERE len(s) > 0 GROUP BY s), e AS (SELECT rep, n, unnest(s) AS x FROM k),
 l AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep <> b.rep AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))),
