@@ -87,39 +87,6 @@ def contrastive_pairs(df: DataFrame, key: str, label: str, broad: str, per_row:
     return same.unionByName(half).unionByName(none)
 
 
-def soft_clusters(df: DataFrame, key: str, vec: str, k: int, least: float = 0.72, seed: int = 1) -> DataFrame:
-    """(key, cluster, p): clusters of a Gaussian mixture with probability ``least`` or more, else the likeliest."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = df.select(key, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("features"))
-    p = GaussianMixture(k=k, seed=seed, maxIter=20).fit(rows).transform(rows).select(key, vector_to_array("probability").alias("p"))
-    best = F.array_max("p")
-    each = p.select(key, best.alias("_best"), F.posexplode("p").alias("cluster", "p"))
-    return each.where((F.col("p") >= least) | ((F.col("_best") < least) & (F.col("p") == F.col("_best")))).select(key, "cluster", "p")
-
-
-def cluster_tree(df: DataFrame, key: str, vec: str, dim: int, fan: int = 8, depth: int = 3, seed: int = 1) -> DataFrame:
-    """(level, node, parent): rows under clusters of their vectors, clusters under clusters of their
-    centres, until one level has a single node or ``depth`` levels are made."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    level, rows = 0, df.select(F.col(key).cast("long").alias("node"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
-    n, out = rows.count(), None
-    while n > 1 and level < depth:
-        k = max(1, min(round(n**0.5), n // 2)) if level < depth - 1 else 1
-        if k < fan:
-            k = 1
-        x = rows.withColumn("features", array_to_vector("v"))
-        made = KMeans(k=k, seed=seed, maxIter=10).fit(x).transform(x) if k > 1 else x.withColumn("prediction", F.lit(0))
-        part = made.select(F.lit(level).alias("level"), "node", F.col("prediction").cast("long").alias("parent"))
-        out = part if out is None else out.unionByName(part)
-        rows = made.groupBy(F.col("prediction").cast("long").alias("node")).agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dim))).alias("v"))
-        n, level = k, level + 1
-    return out
-
-
 def flat_index(tree: DataFrame) -> DataFrame:
     """The leaves of a cluster tree alone: its rows of level 0."""
     return tree.where("level = 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import analytics, ivf, minhash, models, search
+from rowmill.operators import analytics, hierarchy, ivf, minhash, models, search
 from rowmill.plans.summaries import rounded
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -98,7 +98,8 @@ def label_retrieval(spark, d):
 
 @query()
 def soft_clusters(spark, d):
-    return search.soft_clusters(read(spark, d, "embeddings"), "vec_id", "embedding", 4)
+    """Clusters of a mixture whose number of parts the information criterion chooses."""
+    return hierarchy.soft_clusters(read(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @query()
@@ -109,13 +110,13 @@ def mixture_fit(spark, d):
 
 @query()
 def cluster_tree(spark, d):
-    return search.cluster_tree(read(spark, d, "embeddings"), "vec_id", "embedding", 64)
+    return hierarchy.cluster_tree(read(spark, d, "embeddings"), "vec_id", "embedding")
 
 
 @query("SELECT 0 AS level, vec_id AS node FROM embeddings")
 def leaf_index(spark, d):
     """The leaves of the tree of clusters, as a flat index."""
-    tree = search.cluster_tree(read(spark, d, "embeddings"), "vec_id", "embedding", 64)
+    tree = hierarchy.cluster_tree(read(spark, d, "embeddings"), "vec_id", "embedding")
     return search.flat_index(tree).select("level", "node")
 
 

@@ -78,34 +78,6 @@ def blobs(spark):
     return v, spark.createDataFrame([(i, [float(c) for c in r], i % 4, i % 4 // 2) for i, r in enumerate(v)], "id long, v array<double>, label int, broad int").cache()
 
 
-def test_soft_clusters_part_the_blobs(blobs):
-    _, df = blobs
-    rows = search.soft_clusters(df, "id", "v", 4, seed=3).collect()
-    assert {r.id for r in rows} == set(range(120)) and all(0 < r.p <= 1 for r in rows)
-    sure = {}
-    for r in rows:
-        sure.setdefault(r.id, []).append((r.p, r.cluster))
-    # rows of one blob go one way, whichever cluster it is
-    for b in range(4):
-        best = [max(sure[i])[1] for i in range(b, 120, 4)]
-        assert max(best.count(c) for c in set(best)) >= 28
-
-
-def test_cluster_tree_has_one_parent_a_node(blobs):
-    _, df = blobs
-    rows = search.cluster_tree(df, "id", "v", 4).collect()
-    levels = {}
-    for r in rows:
-        levels.setdefault(r.level, []).append((r.node, r.parent))
-    assert sorted(n for n, _ in levels[0]) == list(range(120))
-    for lv, pairs in levels.items():
-        assert len({n for n, _ in pairs}) == len(pairs)
-        if lv + 1 in levels:
-            assert {p for _, p in pairs} == {n for n, _ in levels[lv + 1]}
-    assert len({p for _, p in levels[max(levels)]}) == 1
-    assert search.flat_index(search.cluster_tree(df, "id", "v", 4)).count() == 120
-
-
 def test_lsh_recall_against_all_pairs(blobs):
     v, df = blobs
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
