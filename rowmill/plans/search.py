@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import analytics, hierarchy, ivf, minhash, models, search
+from rowmill.operators import analytics, hierarchy, ivf, keywords, minhash, models, search
 from rowmill.plans.summaries import rounded
 
 COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
@@ -39,14 +39,37 @@ def keyword_vectors(spark, d):
     return v.select("doc_id", *(F.round(F.col("v")[i], 8).alias(f"k{i}") for i in (0, 1, 4)))
 
 
-@query(f"""WITH {SCORED}, h AS (SELECT query_id, id, score, CASE WHEN query_id % 4 = id % 4 THEN 1.0 ELSE 0.25 END AS kw FROM r WHERE rank <= 15), y AS (SELECT *, round(0.4 * kw + 0.6 * score, 8) AS hybrid FROM h WHERE score >= 0.1 AND 0.4 * kw + 0.6 * score >= 0.3), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, id) AS rank FROM y)
-SELECT query_id, id, hybrid::DOUBLE AS hybrid, rank::INT AS rank FROM z WHERE rank <= 5""")
+#: Words of the documents that have an embedding, by their share of the vector of counts.
+WORDS = r"""c AS (SELECT doc_id AS id, word, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) WHERE word <> '' GROUP BY 1, 2),
+x AS MATERIALIZED (SELECT id, word, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS w FROM c)"""
+
+
+def _texts(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id")
+    return read(spark, d, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left_semi").select("doc_id", "text")
+
+
+@query(f"""WITH {SCORED}, {WORDS}, h AS (SELECT query_id, id, score FROM r WHERE rank <= 15 AND score >= 0.1),
+k AS (SELECT h.*, round(coalesce((SELECT sum(a.w * b.w) FROM x a JOIN x b USING (word) WHERE a.id = h.query_id AND b.id = h.id), 0), 10) AS keyword FROM h),
+y AS (SELECT *, round(0.4 * keyword + 0.6 * score, 8) AS hybrid FROM k WHERE 0.4 * keyword + 0.6 * score >= 0.15), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, id) AS rank FROM y)
+SELECT query_id, id, round(keyword, 8)::DOUBLE AS keyword, hybrid::DOUBLE AS hybrid, rank::INT AS rank FROM z WHERE rank <= 5""")
 def hybrid_search(spark, d):
-    """Prefetch of 3k by meaning, then keyword and meaning together, floors before the final rank."""
-    pre = search.top(_scored(spark, d), "query_id", "score", "id", 15).drop("rank")
-    kw = F.when(F.col("query_id") % 4 == F.col("id") % 4, 1.0).otherwise(0.25)
-    both = pre.withColumn("hybrid", F.round(search.hybrid(kw, F.col("score"), 0.1, 0.3), 8)).where("hybrid is not null")
-    return search.top(both, "query_id", "hybrid", "id", 5).select("query_id", "id", "hybrid", "rank")
+    """Prefetch of 3k by meaning, then the words of the texts and meaning together, floors before the final rank."""
+    t = _texts(spark, d)
+    asked, index = keywords.keyword_index(t.where("doc_id % 20 = 0"), "doc_id", "text", "query_id"), keywords.keyword_index(t, "doc_id", "text")
+    out = keywords.hybrid_search(_scored(spark, d), asked, index, 5, 0.1, 0.15)
+    return out.select("query_id", "id", F.round("keyword", 8).alias("keyword"), "hybrid", "rank")
+
+
+@query(f"""WITH {WORDS}, f AS (SELECT word FROM x GROUP BY 1 HAVING count(*) <= 20),
+p AS (SELECT DISTINCT a.id AS query_id, b.id FROM x a JOIN x b USING (word) JOIN f USING (word) WHERE a.id % 20 = 0 AND a.id <> b.id),
+s AS (SELECT p.query_id, p.id, round(sum(a.w * b.w), 10) AS keyword FROM p JOIN x a ON a.id = p.query_id JOIN x b ON b.id = p.id AND b.word = a.word GROUP BY 1, 2),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword DESC, id) AS rank FROM s) SELECT query_id, id, round(keyword, 8)::DOUBLE AS keyword, rank::INT AS rank FROM z WHERE rank <= 5""")
+def keyword_search(spark, d):
+    """Nearest texts by their words, found through words that 20 texts or less have."""
+    t = _texts(spark, d)
+    out = keywords.keyword_search(t.where("doc_id % 20 = 0"), t, "doc_id", "text", 5, 20)
+    return out.select("query_id", "id", F.round("keyword", 8).alias("keyword"), "rank")
 
 
 @query(f"""WITH {SCORED}, t AS (SELECT query_id, label, (SELECT min(id) FROM s x WHERE x.query_id = q.query_id) AS id FROM (SELECT DISTINCT query_id, label FROM s) q), f AS (SELECT t.label, min(r.rank) AS r FROM t LEFT JOIN (SELECT * FROM r WHERE rank <= 10) r USING (query_id, id) GROUP BY t.label, t.query_id)
