@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowmill.catalog import query, read
-from rowmill.operators import matching, workloads
+from rowmill.operators import fuzzy, matching, workloads
 from rowmill.plans.summaries import rounded
 
 END = "2001-08-01"
@@ -37,6 +37,16 @@ def fuzzy_match(spark, d):
     return rounded(matching.fuzzy_match(c, s, ["nation", "last"], score, 0.6, 0.45).select("c_custkey", "s_suppkey", "score", "status"), 6)
 
 
+@query("""WITH s AS (SELECT c_custkey, s_suppkey, list_sum(list_transform(range(1,least(length(c_name),length(s_name))+1), lambda i: CASE WHEN substr(c_name,i,1)=substr(s_name,i,1) THEN 1 ELSE 0 END))/greatest(length(c_name),length(s_name)) AS overlap, (c_acctbal > 0)=(s_acctbal > 0) AS same FROM customer, supplier)
+SELECT c_custkey, s_suppkey, round(overlap,6) AS overlap, round(0.6*overlap + 0.4*same::INT,6) AS score, CASE WHEN 0.6*overlap + 0.4*same::INT >= 0.82 THEN 'FUZZY' ELSE 'REVIEW' END AS status FROM s WHERE 0.6*overlap + 0.4*same::INT >= 0.79""")
+def name_match(spark, d):
+    """Customers and suppliers of like names and the same sign of balance, over all pairs, without forming them."""
+    c, s = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), read(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    same = ((F.col("c_acctbal") > 0) == (F.col("s_acctbal") > 0)).cast("int")
+    out = fuzzy.match_names(c, s, "c_custkey", "c_name", "s_suppkey", "s_name", [(0.4, same)], 0.6, 0.82, 0.79)
+    return rounded(out.select("c_custkey", "s_suppkey", "overlap", "score", "status"), 6)
+
+
 @query("""SELECT o_orderkey, match_id, round(gap,4) AS gap FROM (SELECT t.o_orderkey, c.o_orderkey AS match_id, abs(t.o_totalprice-c.o_totalprice) AS gap, row_number() OVER (PARTITION BY t.o_orderkey ORDER BY abs(t.o_totalprice-c.o_totalprice), c.o_orderkey) n FROM orders t JOIN orders c ON t.o_custkey=c.o_custkey WHERE t.o_orderstatus='F' AND c.o_orderstatus='O') WHERE n=1""")
 def nearest_match(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
