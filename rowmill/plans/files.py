@@ -11,6 +11,7 @@ from rowmill.catalog import query, read
 from rowmill.functions import text
 from rowmill.operators.cut import fresh_path
 from rowmill.plans.summaries import rounded
+from rowmill.streaming import resume
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -180,3 +181,34 @@ def stream_quality(spark, d):
     streaming.run_batches(stream, at, step)
     last = spark.read.parquet(f"{keep}/v{step.last}")
     return last.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), (F.avg("value") < 55).alias("alert"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_resume(spark, d):
+    """A batch fails midway once; the stream is restarted at its checkpoint and no row is lost or counted twice."""
+    source, sink, at = fresh_path(spark), fresh_path(spark), fresh_path(spark)
+    rows = read(spark, d, "events").select("event_id", "event_type", "value")
+    rows.repartition(4, "event_id").write.parquet(source)
+    stream = sources.stream_files(spark, source, rows.schema, max_files=1)
+    failed = []
+
+    def step(batch, number):
+        if number == 1 and not failed:
+            failed.append(number)
+            return batch.withColumn("value", F.when(F.col("event_id") % 100 == 1, F.raise_error(F.lit("fails once"))).otherwise(F.col("value")))
+        return batch
+
+    resume.run_resumable(stream, sink, at, step)
+    out = resume.written(spark, sink, at, "event_id long, event_type string, value double")
+    return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT k) AS keys, round(sum(p), 2) AS total FROM (SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderkey >= 1000 AND o_orderstatus = 'F')")
+def database_table(spark, d):
+    """A table written to a database in the shared folder and read back in parts by key, its filter pushed down."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    url = sources.embedded_url(fresh_path(spark), create=True)
+    sources.write_jdbc(o, url, "ORDERS_COPY", mode="overwrite", createTableColumnTypes="o_orderstatus VARCHAR(8)")
+    lo, hi = o.agg(F.min("o_orderkey"), F.max("o_orderkey")).head()
+    back = sources.read_jdbc(spark, url, "ORDERS_COPY", "o_orderkey", lo or 0, (hi or 0) + 1, 4).where("o_orderkey >= 1000 AND o_orderstatus = 'F'")
+    return back.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("total"))

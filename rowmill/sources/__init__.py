@@ -57,6 +57,18 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_col: str, low
     return spark.read.jdbc(url, table, column=partition_col, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=options)
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "errorifexists", **options: str) -> None:
+    """Write a table of a database; every partition is a connection of its own."""
+    df.write.mode(mode).options(**options).jdbc(url, table)
+
+
+def embedded_url(path: str, create: bool = False) -> str:
+    """The URL of a database file that the tasks' own process opens, with the driver that Spark brings along.
+
+    It serves one process, so it is for a local master; on a cluster give the URL of a server."""
+    return f"jdbc:derby:{path.removeprefix('file:')}" + (";create=true" if create else "")
+
+
 def append(base: DataFrame, data: DataFrame, force: bool = True) -> DataFrame:
     """Rows of ``data`` under ``base``, in the columns of ``base``; without ``force`` columns must agree."""
     if not force:
