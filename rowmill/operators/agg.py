@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.quantiles import exact_quantiles
+from rowmill.operators.quantiles import exact_quantiles, melted
 
 #: Levels that a sparse table may have in its second column.
 MAX_LEVELS = 10_000
@@ -32,24 +31,22 @@ def _measures(variables, stats) -> list[Column]:
 
 
 def _with_quantiles(df: DataFrame, made: DataFrame, by: list[str], variables: list[str], stats: tuple[str, ...], types: list[int]) -> DataFrame:
-    """``made`` (rows of class summaries) with the quantiles asked for, each class subset for itself."""
-    probs = [s for s in stats if s in QUANTILES]
+    """``made`` (rows of class summaries) with the quantiles asked for.  Variables and class subsets are rows of one
+    search: values are counted by class once, and their counts stand for them in every subset."""
+    probs = {s: QUANTILES[s] for s in stats if s in QUANTILES}
     if not probs:
         return made
-    kinds = dict(df.dtypes)
-    for v in variables:
-        parts = []
-        for t in types:
-            kept = [c for i, c in enumerate(by) if t >> (len(by) - 1 - i) & 1]
-            q = exact_quantiles(df, kept, v, {f"{v}_{s}": QUANTILES[s] for s in probs})
-            keys = [(F.col(c) if c in kept else F.lit(None).cast(kinds[c])).alias(f"_q{i}") for i, c in enumerate(by)]
-            parts.append(q.select(F.lit(t).cast("long").alias("_qt"), *keys, *(f"{v}_{s}" for s in probs)))
-        every = reduce(DataFrame.unionByName, parts)
-        same = F.col("_type_") == F.col("_qt")
-        for i, c in enumerate(by):
-            same = same & F.col(c).eqNullSafe(F.col(f"_q{i}"))
-        made = made.join(every, same, "left").drop("_qt", *(f"_q{i}" for i in range(len(by))))
-    return made.select(*by, "_type_", "_freq_", *(f"{v}_{s}" for v in variables for s in stats))
+    keys = [f"_q{i}" for i in range(len(by))]
+    counts = melted(df, {k: F.col(c) for k, c in zip(keys, by, strict=True)}, variables).where("_x IS NOT NULL").groupBy(*keys, "_var", "_x").agg(F.count(F.lit(1)).alias("_times"))
+    kept = lambda t: [F.when(F.lit(bool(t >> (len(by) - 1 - i) & 1)), F.col(k)).alias(k) for i, k in enumerate(keys)]
+    levels = F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("_qt"), *kept(t)) for t in types))).alias("_level")
+    rows = counts.select(levels, "_var", "_x", "_times").select("_level.*", "_var", "_x", "_times")
+    found = exact_quantiles(rows, ["_qt", *keys, "_var"], "_x", probs, "_times")
+    wide = found.groupBy("_qt", *keys).agg(*(F.max(F.when(F.col("_var") == v, F.col(s))).alias(f"{v}_{s}") for v in variables for s in probs))
+    same = F.col("_type_") == F.col("_qt")
+    for k, c in zip(keys, by, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return made.join(wide, same, "left").select(*by, "_type_", "_freq_", *(f"{v}_{s}" for v in variables for s in stats))
 
 
 def proc_means(df: DataFrame, by: list[str], variables: list[str], stats: tuple[str, ...] = ("n", "mean", "std", "min", "max"), nway: bool = True) -> DataFrame:

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from rowmill.operators.ordered import bucketed
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """``by`` and one column a quantile, interpolated between neighbours, over the group's non-null values.
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float], times: str | None = None) -> DataFrame:
+    """``by`` and one column a quantile, interpolated between neighbours, over the group's non-null values;
+    with ``times``, a column of whole numbers, each row stands for so many.
 
     Different values are counted, dealt to stored range buckets and counted up bucket by bucket, so that
     only the buckets that hold a wanted place are read again; no task holds more than a bucket, whatever
     the size of its group.  Null is a group; a group without values has no row (without ``by``: a row of nulls)."""
     keys = [f"_k{i}" for i in range(len(by))]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(value).cast("double").alias("_x")).agg((F.sum(times) if times else F.count(F.lit(1))).alias("_c"))
     rows = bucketed(counts, [*keys, "_x"])
 
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -43,3 +44,9 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
         low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
         out.append(F.when(F.floor(x) == F.ceil(x), low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high).alias(name))
     return found.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), *out)
+
+
+def melted(df: DataFrame, keep: dict[str, Column], columns: list[str]) -> DataFrame:
+    """``keep``, and for each column a row with its name (_var) and value as double (_x): several columns as one."""
+    each = F.array(*(F.struct(F.lit(c).alias("_var"), F.col(c).cast("double").alias("_x")) for c in columns))
+    return df.select(*(c.alias(n) for n, c in keep.items()), F.explode(each).alias("_v")).select(*keep, "_v._var", "_v._x")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.operators.quantiles import exact_quantiles
+from rowmill.operators.quantiles import exact_quantiles, melted
 
 
 def count_reconcile(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -93,8 +93,9 @@ def validity(df: DataFrame, rules: dict[str, str], threshold: float) -> DataFram
 
 def outlier_bounds(df: DataFrame, cols: list[str], lo: float, hi: float) -> DataFrame:
     """Lower and upper bound by column: the exact quantiles at ``lo`` and ``hi``."""
-    each = [exact_quantiles(df, [], c, {"lower": lo, "upper": hi}).select(F.lit(c).alias("column"), "lower", "upper") for c in cols]
-    return reduce(DataFrame.unionByName, each)
+    found = exact_quantiles(melted(df, {}, cols), ["_var"], "_x", {"lower": lo, "upper": hi})
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(found, F.col("column") == F.col("_var"), "left").select("column", "lower", "upper")
 
 
 def frame_diff(a: DataFrame, b: DataFrame, keys: list[str], tol: float = 1e-4) -> DataFrame:
