@@ -1,6 +1,7 @@
 """Trained operators against plain Python, planted truths and held-out labels."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -212,35 +213,53 @@ def test_mix_is_replayed(spark):
     assert sorted(to) == list(range(1000)) and len(set(np.diff(to))) > 500
 
 
-def plain_read(page):
-    return html_main.read(page)
-
-
 def test_template_counts_against_plain_python(spark):
-    """Elements counted per host by hand: templates in and around an article fall, recurring words of its own do not."""
-    site = "<nav>Menu</nav><div class='wrap'><article><h1>Head {h}</h1><p>Own {i} words</p><div class='pitch'>Read our paper</div>{own}</article></div><section>Also on this site</section>"
-    rows = [(i, f"http://s{i % 3}.org/{i}", site.format(h=i // 4, i=i, own="<p>Same quote</p>" if i in (3, 30) else "")) for i in range(90)]
+    """Elements and layouts counted per host by hand: boxes of an article that recur and recurring layout around it fall,
+    headings and paragraphs of the articles stay, on however many pages they stand."""
+    site = "<nav>Menu</nav><div class='wrap'><article><h1>Head {h}</h1><p>Own {i} words</p><div class='pitch'>Read our paper</div>{own}</article></div><section><b>{i}</b> Also on this site {w}</section>"
+    own = lambda i: "<p>Same quote</p><h2>Same head</h2>" if i < 60 else ""
+    rows = [(i, f"http://s{i % 3}.org/{i}", site.format(h=i // 40, i=i, w="x" * i, own=own(i))) for i in range(90)]
+    # without an article, layout says nothing; on few pages neither
+    rows += [(100 + i, "http://plain.org/", f"<div class=text><p>Words {i}</p></div><div class=low>Low {i}</div>") for i in range(30)]
+    rows += [(200 + i, "http://few.org/", f"<article>Few {i}</article><div class=low>Low {i}</div>") for i in range(7)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     on, pages = Counter(), Counter()
-    for i, u, h in rows:
-        blocks, marks = plain_read(h)
+    for _, u, h in rows:
+        _, marks, layouts = html_main.read(h)
         pages[u.split("/")[2]] += 1
-        for m in {x for x in marks if x is not None}:
+        for m in {x for x in marks + layouts if x is not None}:
             on[u.split("/")[2], m] += 1
     want, deleted = {}, 0
     for i, u, h in rows:
-        blocks, marks = plain_read(h)
+        blocks, marks, layouts = html_main.read(h)
         host = u.split("/")[2]
-        cut = [m is not None and on[host, m] >= 8 and on[host, m] >= 0.05 * pages[host] for m in marks]
+        goes = lambda m, share: m is not None and on[host, m] >= 8 and on[host, m] >= share * pages[host]  # noqa: B023, E731
+        cut = [goes(m, 0.05) or goes(x, 0.5) for m, x in zip(marks, layouts, strict=True)]
         deleted += sum(cut)
-        want[i] = "\n\n".join(b for b, c in zip(blocks, cut) if not c)
-    assert deleted == 2 * 90 and want[3] == "Head 0\n\nOwn 3 words\n\nSame quote"
+        want[i] = "\n\n".join(b for b, c in zip(blocks, cut, strict=True) if not c)
+    assert deleted == 2 * 90 and want[3] == "Head 0\n\nOwn 3 words\n\nSame quote\n\nSame head"
+    assert want[105] == "Words 5\n\nLow 5" and want[203] == "Few 3\n\nLow 3"
     for limit in (10**6, 0):  # deletions sent to the tasks, and joined
         html_main.SENT_MARKS = limit
         assert {r.page_id: r.text for r in html_main.main_text(df).collect()} == want
     html_main.SENT_MARKS = 10**6
 
 
+def test_counting_alone_finds_the_furniture_of_the_given_pages(spark):
+    """With the lists of names off, on hosts with pages enough: what is deleted is furniture, and no text of an article."""
+    pages = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/pages.parquet")
+    by_lists = {r.page_id: r.text for r in html_main.main_text(pages).collect()}
+    alone = {r.page_id: r.text for r in html_main.main_text(pages, lists=False).collect()}
+    full = {r.page_id: "\n\n".join(html_main.read(r.html or "", lists=False)[0]) for r in pages.collect()}
+    furniture = {i: len(full[i].split("\n\n")) - len(by_lists[i].split("\n\n")) for i in full}
+    left = {i: len(alone[i].split("\n\n")) - len(by_lists[i].split("\n\n")) for i in full}
+    print(f"furniture {sum(furniture.values())}, left by counting alone {sum(left.values())}")
+    assert sum(left.values()) < 0.5 * sum(furniture.values())
+    articles = {r.page_id: [html_main.read(x)[0] for x in re.findall(r"<article>.*?</article>", r.html or "", re.S)] for r in pages.collect()}
+    lost = sum(b not in alone[i] or b not in by_lists[i] for i, parts in articles.items() for blocks in parts for b in blocks)
+    assert lost == 0
+
+
 def test_pages_of_awkward_kinds(spark):
     deep = "<div>" * 20_000 + "x" + "</b>" * 20_000
     rows = [(1, "http://a/", deep), (1, "http://a/", deep), (None, None, "<p>a"), (2, "http://a/", "<b>" * 20_000 + "<br>y" * 2_000), (3, "http://a/", "w " * 300_000)]
