@@ -19,12 +19,18 @@ def rfm(txn: DataFrame, key: str, date: str, amount: str, as_of: str, groups: in
 
 
 def lift_table(df: DataFrame, score: str, label: str, groups: int = 10) -> DataFrame:
-    """Decile table with cumulative gain and KS; decile 0 has the highest scores."""
+    """Decile table with cumulative gain, KS and lift over the baseline rate, and the Gini of the whole table
+    (twice the area under the curve of cumulative events over non-events, by trapezoids, less 1); decile 0 has the highest scores."""
     d = proc_rank(df, score, groups, "decile", descending=True).groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("events"))
     w, upto = Window.partitionBy(), Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0)
-    good = F.sum("events").over(upto) / F.sum("events").over(w)
-    bad = F.sum(F.col("n") - F.col("events")).over(upto) / F.sum(F.col("n") - F.col("events")).over(w)
-    return d.withColumn("cum_gain", good).withColumn("ks", F.abs(good - bad)).withColumn("lift", F.try_divide(F.col("events") / F.col("n"), F.sum("events").over(w) / F.sum("n").over(w)))
+    share = lambda x, over: F.try_divide(F.sum(x).over(over), F.sum(x).over(w))
+    good, bad = share(F.col("events"), upto), share(F.col("n") - F.col("events"), upto)
+    d = d.withColumn("cum_gain", good).withColumn("_bad", bad).withColumn("ks", F.abs(F.col("cum_gain") - F.col("_bad")))
+    d = d.withColumn("baseline", F.try_divide(F.sum("events").over(w), F.sum("n").over(w)))
+    d = d.withColumn("lift", F.try_divide(F.col("events") / F.col("n"), F.col("baseline")))
+    before = lambda c: F.coalesce(F.lag(c).over(Window.orderBy("decile")), F.lit(0.0))
+    d = d.withColumn("_area", (F.col("_bad") - before("_bad")) * (F.col("cum_gain") + before("cum_gain")) / 2)
+    return d.withColumn("gini", 2 * F.sum("_area").over(w) - 1).drop("_bad", "_area")
 
 
 def score_logit(coefs: dict[str, float], intercept: float) -> Column:
@@ -49,6 +55,31 @@ def ab_test(df: DataFrame, group: str, control: str, metric: str) -> DataFrame:
     return out.select(group, "n", "mean", "sd", (100 * F.try_divide(F.col("mean") - F.col("_m"), F.col("_m"))).alias("lift_pct"), F.try_divide(F.col("mean") - F.col("_m"), F.sqrt(F.col("sd") ** 2 / F.col("n") + F.col("_s") ** 2 / F.col("_n"))).alias("t"))
 
 
+def ab_decision(df: DataFrame, group: str, control: str, converted: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """One row a group other than ``control``: n, rate of ``converted`` (0 or 1) and its lift, the mean of ``value`` and its
+    lift, 95 % limits of the difference of the rates, Welch's t and its two-sided p, winner and decision, and the
+    effect that so many rows would detect with 80 % power.
+
+    A difference counts where p is below ``alpha``: TEST_WINS (LAUNCH) or CONTROL_WINS (REVERT), otherwise INCONCLUSIVE
+    (EXTEND_OR_STOP).  Null where a group has no spread to compare."""
+    from rowmill.functions.numbers import probt
+
+    y = F.col(converted).cast("double")
+    s = df.groupBy(group).agg(F.count(converted).alias("n"), F.avg(y).alias("rate"), F.stddev_samp(y).alias("_s"), F.avg(value).alias("mean"))
+    c = s.where(F.col(group) == control).select(F.col("n").alias("_n"), F.col("rate").alias("_r"), F.col("_s").alias("_c"), F.col("mean").alias("_m"))
+    out = s.where(F.col(group) != control).join(F.broadcast(c))  # one row
+    va, vb = F.col("_s") ** 2 / F.col("n"), F.col("_c") ** 2 / F.col("_n")
+    gap, se = F.col("rate") - F.col("_r"), F.sqrt(va + vb)
+    out = out.withColumns({"rate_lift": F.try_divide(gap, F.col("_r")), "value_lift": F.try_divide(F.col("mean") - F.col("_m"), F.col("_m")), "ci_lower": gap - 1.96 * se, "ci_upper": gap + 1.96 * se})
+    out = out.withColumn("t", F.try_divide(gap, se)).withColumn("df", F.try_divide((va + vb) ** 2, va**2 / (F.col("n") - 1) + vb**2 / (F.col("_n") - 1)))
+    out = out.withColumn("p", F.when(F.col("t").isNotNull(), 2 * (1 - probt(F.abs("t"), F.col("df")))))
+    sure = F.col("p") < alpha
+    out = out.withColumn("winner", F.when(sure & (gap > 0), "TEST_WINS").when(sure, "CONTROL_WINS").otherwise("INCONCLUSIVE"))
+    out = out.withColumn("decision", F.when(F.col("winner") == "TEST_WINS", "LAUNCH").when(F.col("winner") == "CONTROL_WINS", "REVERT").otherwise("EXTEND_OR_STOP"))
+    out = out.withColumn("detectable", 2.8 * F.sqrt(F.col("_r") * (1 - F.col("_r")) / F.col("n")))
+    return out.drop("_n", "_r", "_s", "_c", "_m")
+
+
 def ece(df: DataFrame, prob: Column, hit: Column, bins: int = 10) -> DataFrame:
     """Calibration by bin of probability: count, mean confidence, accuracy and the weighted gap."""
     b = df.select(F.least(F.floor(prob * bins), F.lit(bins - 1)).alias("bin"), prob.alias("p"), hit.cast("double").alias("y")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("confidence"), F.avg("y").alias("accuracy"))

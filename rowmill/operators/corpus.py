@@ -70,9 +70,15 @@ def hop_cap(edges: DataFrame, cap: int = 10) -> int:
 
 
 def members(scc: DataFrame, of: int) -> DataFrame:
+    """The nodes of a component."""
     return scc.where(F.col("scc") == of).select("node")
 
 
+def component_sizes(scc: DataFrame) -> DataFrame:
+    """scc with its number of nodes and its smallest one, of the components of several nodes."""
+    return scc.groupBy("scc").agg(F.count(F.lit(1)).alias("n_nodes"), F.min("node").alias("first")).where("n_nodes > 1")
+
+
 def graph_counts(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("src").alias("n")).unionByName(edges.select(F.col("dst").alias("n"))).distinct()
     return nodes.agg(F.count(F.lit(1)).alias("n_nodes")).join(F.broadcast(edges.distinct().agg(F.count(F.lit(1)).alias("n_edges"))))
@@ -101,21 +107,44 @@ def nesting(text: Column, opens: str, closes: str) -> Column:
     return F.aggregate(F.split(text, "\n"), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda acc: acc["top"])
 
 
-def block_vector(docs: DataFrame, key: str, text: str, kind: Column, ambiguous: Column, marks: tuple[str, str], refs: str, branch: str, flags: dict[str, str], kind_weights: dict[str, float], macro: str = "%", macro_cap: float = 3.0) -> DataFrame:
+# Scales and caps of a block's features, and the patterns of program text that they look for.
+LINES, NESTING, NAMES = 200, 5, 5
+PROGRAM_NESTING = (r"(?i)\b(?:DO\b|%DO\b|SELECT\b|IF\b.*\bTHEN\s+DO\b)", r"(?i)\bEND\b\s*;")
+PROGRAM_REFS = r"(?i)\b(?:DATA|SET|MERGE|FROM|INTO|UPDATE)\s+(\w+(?:\.\w+)?)"
+PROGRAM_NO_REFS = ["_null_", "work", "_last_", "_data_"]
+PROGRAM_BRANCH = r"(?i)\bIF\b.*\bTHEN\b"
+PROGRAM_FLAGS = {
+    "call_execute": r"(?i)\bCALL\s+EXECUTE\b",
+    "retain_first_last": r"(?i)\bRETAIN\b|\b(?:FIRST|LAST)\.\w+",
+    "merge_hash": r"(?i)\bMERGE\b\s+\w+|\bDECLARE\s+HASH\b|\b_new_\s*=\s*hash\b|\.define(?:key|data|done)\b",
+    "sql_subquery": r"(?i)\(\s*SELECT\b",
+    "array_loop": r"(?i)\bARRAY\s+\w+|%DO\b|\bDO\s+\w+\s*=",
+    "call_symput": r"(?i)\bCALL\s+SYMPUTX?\b",
+    "complex_proc": r"(?i)\bPROC\s+(?:TRANSPOSE|REPORT)\b",
+}
+
+
+def program_vector(docs: DataFrame, key: str, text: str, kind: Column, ambiguous: Column, kind_weights: dict[str, float]) -> DataFrame:
+    """``block_vector`` with the patterns of program text: 14 features."""
+    return block_vector(docs, key, text, kind, ambiguous, PROGRAM_NESTING, PROGRAM_REFS, PROGRAM_BRANCH, PROGRAM_FLAGS, kind_weights, no_refs=PROGRAM_NO_REFS)
+
+
+def block_vector(docs: DataFrame, key: str, text: str, kind: Column, ambiguous: Column, marks: tuple[str, str], refs: str, branch: str, flags: dict[str, str], kind_weights: dict[str, float], macro: str = "%", macro_cap: float = 1.5, no_refs: list[str] | None = None) -> DataFrame:
     """The feature vector of a block: lines / 200, deepest nesting / 5, macro marks a line (``macro_cap`` at
     most), the weight of its kind (1 if unlisted), whether it is ambiguous, different names it refers to / 5
     (1.5 at most), branches a line (1 at most), and a 0/1 flag for each pattern.  Null texts have null features."""
     lines = F.size(F.split(F.col(text), "\n"))
     n = lambda p: F.regexp_count(text, F.lit(p))
-    names = F.size(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(refs), F.lit(1)), F.lower)))
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(refs), F.lit(1)), F.lower))
+    names = F.size(F.filter(found, lambda x: ~x.isin(no_refs)) if no_refs else found)
     weight = case_chain([(kind == k, w) for k, w in kind_weights.items()], 1.0)
     made = {
-        "line_count_norm": lines / 200,
-        "nesting_norm": nesting(F.col(text), *marks) / 5,
+        "line_count_norm": lines / LINES,
+        "nesting_norm": nesting(F.col(text), *marks) / NESTING,
         "macro_pct": F.least(n(macro) / lines, F.lit(macro_cap)),
         "type_weight": weight.cast("double"),
         "is_ambiguous": F.coalesce(ambiguous, F.lit(False)).cast("double"),
-        "dataset_count_norm": F.least(names / 5, F.lit(1.5)),
+        "dataset_count_norm": F.least(names / NAMES, F.lit(1.5)),
         "conditional_density": F.least(n(branch) / lines, F.lit(1.0)),
         **{f"has_{k}": F.col(text).rlike(p).cast("double") for k, p in flags.items()},
     }

@@ -9,8 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.operators.ordered import add_sequence
 from rowmill.operators.rows import case_chain
-from rowmill.operators.search import hash_split
 
 
 def gram(df: DataFrame, xs: list[str], y: str) -> tuple[int, np.ndarray]:
@@ -156,17 +156,29 @@ def mixture_fit(df: DataFrame, vec: str, ks: list[int], dims: int | None = None,
     return df.sparkSession.createDataFrame(made, "k int, log_likelihood double, bic double")
 
 
+def stratified_split(df: DataFrame, key: str, label: str, percent: int, seed: int = 0, out: str = "part") -> DataFrame:
+    """TRAIN for ``percent`` of the rows of each label (rounded up), VALID for the rest, in the order of a hash of key and seed.
+
+    Places within a label come from numbers over all rows in order of label and hash, so no task holds a label."""
+    mixed = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    rows = add_sequence(df.withColumn("_h", mixed), [label, "_h", key], "_at", start=0)
+    sizes = rows.groupBy(F.col(label).alias("_l")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    place = rows.join(sizes, F.col(label).eqNullSafe(F.col("_l")))
+    train = F.col("_at") - F.col("_first") < F.ceil(F.col("_n") * percent / 100)
+    return place.withColumn(out, F.when(train, "TRAIN").otherwise("VALID")).drop("_h", "_at", "_l", "_first", "_n")
+
+
 def risk_model(df: DataFrame, key: str, label: str, xs: list[str], percent: int = 80, bins: int = 10) -> DataFrame:
     """(part, n, accuracy, ece): a logistic model of a risk label that weighs classes alike, calibrated one
     class against the rest, on the rows it learned from and on those held out.
 
-    Rows are dealt by a hash of their key, so every label is held out in proportion.  Labels are few; rows
+    Rows are dealt within each label, ``percent`` of a label's rows (rounded up) to learn from.  Labels are few; rows
     with a missing feature or label are left out."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    full = hash_split(df.dropna(subset=[key, label, *xs]), key, percent, 5)
+    full = stratified_split(df.dropna(subset=[key, label, *xs]), key, label, percent, 5)
     rows = VectorAssembler(inputCols=xs, outputCol="features").transform(full)
     names = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     rows = names.transform(rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,11 +69,13 @@ def preference_pairs(rejected: DataFrame, chosen: DataFrame, key: str, text: str
     return rejected.select(key, F.col(text).alias("rejected")).join(chosen.select(key, F.col(text).alias("chosen")), key).where("rejected <> chosen")
 
 
-def contrastive_pairs(df: DataFrame, key: str, label: str, broad: str, per_row: int = 2) -> DataFrame:
+def contrastive_pairs(df: DataFrame, key: str, label: str, broad: str, per_row: int = 2, partner: str | None = None, most: dict[float, int] | None = None) -> DataFrame:
     """(a, b, score): rows paired with their next ones in a hash order: within a label (1.0), within a
-    broad group but another label (0.5), and over all rows of other groups (0.0).
+    broad group but another label (0.5), and over all rows of other groups (0.0); with ``partner``, a column
+    that holds a row's own counterpart, each row with one is paired with itself (0.8).
 
-    Every row has ``per_row`` partners of each kind at most, so pairs grow with the rows."""
+    Every row has ``per_row`` partners of each kind at most, so pairs grow with the rows; ``most`` caps the
+    pairs of a score, which are then those first in the hash order."""
     mixed = F.md5(F.col(key).cast("string"))
 
     def near(parts: list[Column], want: Column, score: float) -> DataFrame:
@@ -81,10 +85,31 @@ def contrastive_pairs(df: DataFrame, key: str, label: str, broad: str, per_row:
         rows = df.select(key, label, broad, each.alias("_n")).select(key, label, broad, F.explode("_n").alias("p")).where("p.b is not null").where(want)
         return rows.select(F.col(key).alias("a"), F.col("p.b").alias("b"), F.lit(score).alias("score"))
 
-    same = near([F.col(label)], F.lit(True), 1.0)
-    half = near([F.col(broad)], F.col(label) != F.col("p.lb"), 0.5)
-    none = near([F.pmod(F.xxhash64(key), F.lit(64))], F.col(broad) != F.col("p.bb"), 0.0)
-    return same.unionByName(half).unionByName(none)
+    made = [
+        near([F.col(label)], F.lit(True), 1.0),
+        near([F.col(broad)], F.col(label) != F.col("p.lb"), 0.5),
+        near([F.conv(F.substring(mixed, -2, 2), 16, 10).cast("int") % 64], F.col(broad) != F.col("p.bb"), 0.0),
+    ]
+    if partner:
+        made.append(df.where(F.col(partner).isNotNull()).select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.8).alias("score")))
+    for i, score in enumerate((1.0, 0.5, 0.0, 0.8)[: len(made)]):
+        if score in (most or {}):
+            made[i] = made[i].orderBy(F.md5(F.concat_ws(":", "a", "b")), "a", "b").limit(most[score])
+    return reduce(DataFrame.unionByName, made)
+
+
+def retrieval_delta(a: DataFrame, b: DataFrame, tier: str) -> DataFrame:
+    """Two ``retrieval_eval`` tables side by side by tier, and how much better the first is; a last row, with a null
+    tier, is over all queries."""
+
+    def total(e: DataFrame) -> DataFrame:
+        n = F.sum("n_queries")
+        mean = lambda c: (F.sum(F.col(c) * F.col("n_queries")) / n).alias(c)
+        return e.unionByName(e.agg(n.alias("n_queries"), mean("hit_at_k"), mean("mrr")).select(F.lit(None).cast(e.schema[tier].dataType).alias(tier), "n_queries", "hit_at_k", "mrr"))
+
+    x, y = (total(e).select(F.col(tier).alias(f"_t{i}"), F.col("n_queries").alias(f"n_{i}"), F.col("hit_at_k").alias(f"hit_{i}"), F.col("mrr").alias(f"mrr_{i}")) for i, e in enumerate((a, b)))
+    out = x.join(y, F.col("_t0").eqNullSafe(F.col("_t1")), "full")
+    return out.select(F.coalesce("_t0", "_t1").alias(tier), F.coalesce("n_0", "n_1").alias("n_queries"), "hit_0", "hit_1", (F.col("hit_0") - F.col("hit_1")).alias("hit_gain"), (F.col("mrr_0") - F.col("mrr_1")).alias("mrr_gain"))
 
 
 def flat_index(tree: DataFrame) -> DataFrame:

@@ -176,6 +176,30 @@ def graph_counts(spark, d):
     return corpus.graph_counts(_two_way(spark, d))
 
 
+TRADE = """t AS (SELECT s_nationkey AS src, c_nationkey AS dst, sum(l_extendedprice) AS v FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
+e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY v DESC, dst) AS n FROM t) WHERE n <= 2)"""
+
+
+def _trade(spark, d):
+    """Each nation's suppliers lead to the two nations whose customers buy most from them."""
+    from pyspark.sql import Window
+
+    li, s, o, c = (read(spark, d, t) for t in ("lineitem", "supplier", "orders", "customer"))
+    j = li.join(s, li.l_suppkey == s.s_suppkey).join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    t = j.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.sum("l_extendedprice").alias("v"))
+    n = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("v"), "dst"))
+    return t.withColumn("n", n).where("n <= 2").select("src", "dst")
+
+
+@query("WITH RECURSIVE " + TRADE + """, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b), n AS (SELECT src AS v FROM e UNION SELECT dst FROM e),
+s AS (SELECT v AS node, least(v, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = v), v)) AS scc FROM n), g AS (SELECT scc, count(*) AS n_nodes FROM s GROUP BY 1 HAVING count(*) > 1)
+SELECT node, s.scc, n_nodes FROM s JOIN g USING (scc)""")
+def component_members(spark, d):
+    """The members of each strongly connected component of several nations, and their number."""
+    scc = matching.strong_components(_trade(spark, d))
+    return scc.join(corpus.component_sizes(scc).drop("first"), "scc").select("node", "scc", "n_nodes")
+
+
 @query()
 def condensed_depth(spark, d):
     """Edges between components, and the longest path over them, 10 at most."""
@@ -194,18 +218,19 @@ def document_features(spark, d):
     return rounded(f.drop("nesting"), 6)
 
 
-PAGE_FLAGS = {"script": "(?i)<script", "form": "(?i)<form", "table": "(?i)<table"}
+PAGE_FLAGS = {"script": "(?i)<script", "form": "(?i)<form", "table": "(?i)<table", "list": "(?i)<li>", "style": "(?i)<style", "bold": "(?i)<b>", "rule": "(?i)<hr|<br"}
 PAGE_WEIGHTS = {"http": 1.0, "https": 0.5}
 
 
-@query(r"""WITH p AS (SELECT page_id, html, regexp_extract(url, '^([a-z]+)://', 1) AS kind, len(string_split(html, chr(10))) AS n, len(list_distinct(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: lower(x)))) AS refs, len(regexp_extract_all(html, '<p>')) AS ps FROM pages)
-SELECT page_id, n / 200 AS line_count_norm, round(least(3.0, len(regexp_extract_all(html, '%')) / n), 8) AS macro_pct, CASE kind WHEN 'http' THEN 1.0 WHEN 'https' THEN 0.5 ELSE 1.0 END::DOUBLE AS type_weight, (html NOT LIKE '%</html>%')::INT::DOUBLE AS is_ambiguous, round(least(refs / 5, 1.5), 8)::DOUBLE AS dataset_count_norm, round(least(ps / n, 1.0), 8)::DOUBLE AS conditional_density,
- regexp_matches(html, '(?i)<script')::INT::DOUBLE AS has_script, regexp_matches(html, '(?i)<form')::INT::DOUBLE AS has_form, regexp_matches(html, '(?i)<table')::INT::DOUBLE AS has_table FROM p""")
+@query(r"""WITH p AS (SELECT page_id, html, regexp_extract(url, '^([a-z]+)://', 1) AS kind, len(string_split(html, chr(10))) AS n, len(list_distinct(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: lower(x)))) AS refs, len(regexp_extract_all(html, '<p>')) AS ps,
+ list_reduce(list_prepend({'o': 0, 'c': 0, 'now': 0, 'top': 0}, list_transform(string_split(html, chr(10)), lambda l: {'o': len(regexp_extract_all(l, '<(div|ul|nav)\b'))::INT, 'c': len(regexp_extract_all(l, '</(div|ul|nav)>'))::INT, 'now': 0, 'top': 0})), lambda a, x: {'o': 0, 'c': 0, 'now': greatest(a.now + x.o - x.c, 0)::INT, 'top': greatest(a.top, a.now + x.o)::INT}).top AS top FROM pages)
+SELECT page_id, n / 200 AS line_count_norm, top / 5 AS nesting_norm, round(least(1.5, len(regexp_extract_all(html, '%')) / n), 8)::DOUBLE AS macro_pct, CASE kind WHEN 'http' THEN 1.0 WHEN 'https' THEN 0.5 ELSE 1.0 END::DOUBLE AS type_weight, (html NOT LIKE '%</html>%')::INT::DOUBLE AS is_ambiguous, round(least(refs / 5, 1.5), 8)::DOUBLE AS dataset_count_norm, round(least(ps / n, 1.0), 8)::DOUBLE AS conditional_density,
+ regexp_matches(html, '(?i)<script')::INT::DOUBLE AS has_script, regexp_matches(html, '(?i)<form')::INT::DOUBLE AS has_form, regexp_matches(html, '(?i)<table')::INT::DOUBLE AS has_table, regexp_matches(html, '(?i)<li>')::INT::DOUBLE AS has_list, regexp_matches(html, '(?i)<style')::INT::DOUBLE AS has_style, regexp_matches(html, '(?i)<b>')::INT::DOUBLE AS has_bold, regexp_matches(html, '(?i)<hr|<br')::INT::DOUBLE AS has_rule FROM p""")
 def block_vectors(spark, d):
-    """Pages as blocks; nesting is held against brute force in the tests, as it is no plain SQL."""
+    """Pages as blocks, by all 14 features; the seven flags are of page text."""
     p = read(spark, d, "pages").withColumn("kind", F.regexp_extract("url", "^([a-z]+)://", 1)).withColumn("odd", ~F.col("html").contains("</html>"))
     v = corpus.block_vector(p, "page_id", "html", F.col("kind"), F.col("odd"), ("<(div|ul|nav)\\b", "</(div|ul|nav)>"), 'href="([^"]*)"', "<p>", PAGE_FLAGS, PAGE_WEIGHTS)
-    return rounded(v.drop("nesting_norm"), 8)
+    return rounded(v, 8)
 
 
 @query(r"""WITH f AS (SELECT doc_id, lang, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS w, len(regexp_extract_all(text, '!')) AS x FROM documents), r AS (SELECT *, CASE WHEN x > 20 THEN 'HIGH' WHEN w > 400 THEN 'MODERATE' ELSE 'LOW' END AS risk, CASE WHEN x > 20 THEN 0.9 WHEN w > 400 THEN 0.7 ELSE 0.8 END::DOUBLE AS confidence FROM f)

@@ -139,9 +139,10 @@ def rfm_segments(spark, d):
 
 
 @query("""WITH r AS (SELECT floor((rank() OVER (ORDER BY value DESC)+(count(*) OVER (PARTITION BY value)-1)/2.0)*10/(count(*) OVER ()+1))::BIGINT AS decile, (event_type='purchase')::INT AS y FROM events),
-g AS (SELECT decile, count(*)::BIGINT AS n, sum(y)::BIGINT AS events FROM r GROUP BY 1)
-SELECT decile, n, events, round(sum(events) OVER (ORDER BY decile)/sum(events) OVER (),6) AS cum_gain, round(abs(sum(events) OVER (ORDER BY decile)/sum(events) OVER () - sum(n-events) OVER (ORDER BY decile)/sum(n-events) OVER ()),6) AS ks,
- round((events/n)/(sum(events) OVER ()/sum(n) OVER ()),6) AS lift FROM g""")
+g AS (SELECT decile, count(*)::BIGINT AS n, sum(y)::BIGINT AS events FROM r GROUP BY 1),
+c AS (SELECT *, sum(events) OVER (ORDER BY decile)/sum(events) OVER () AS good, sum(n-events) OVER (ORDER BY decile)/sum(n-events) OVER () AS bad, sum(events) OVER ()/sum(n) OVER () AS baseline FROM g),
+a AS (SELECT *, (bad - coalesce(lag(bad) OVER (ORDER BY decile), 0)) * (good + coalesce(lag(good) OVER (ORDER BY decile), 0)) / 2 AS area FROM c)
+SELECT decile, n, events, round(good,6) AS cum_gain, round(abs(good - bad),6) AS ks, round(baseline,6) AS baseline, round((events/n)/baseline,6) AS lift, round(2 * sum(area) OVER () - 1,6) AS gini FROM a""")
 def lift_deciles(spark, d):
     df = read(spark, d, "events").select("value", (F.col("event_type") == "purchase").alias("y"))
     return rounded(analytics.lift_table(df, "value", "y"), 6)
@@ -166,6 +167,16 @@ def ab_test(spark, d):
     return rounded(analytics.ab_test(read(spark, d, "events"), "event_type", "view", "value"), 6)
 
 
+@query("""WITH e AS (SELECT event_type, (value > 60)::INT::DOUBLE AS y, value FROM events WHERE value IS NOT NULL), s AS (SELECT event_type, count(*) AS n, avg(y) AS rate, stddev_samp(y) AS sd, avg(value) AS mean FROM e GROUP BY 1), c AS (SELECT * FROM s WHERE event_type = 'view'),
+x AS (SELECT s.event_type, s.n, s.rate, s.mean, (s.rate - c.rate) / c.rate AS rate_lift, (s.mean - c.mean) / c.mean AS value_lift, s.rate - c.rate AS gap, sqrt(s.sd^2 / s.n + c.sd^2 / c.n) AS se, 2.8 * sqrt(c.rate * (1 - c.rate) / s.n) AS detectable FROM s, c WHERE s.event_type <> 'view')
+SELECT event_type, n, round(rate,6) AS rate, round(mean,6) AS mean, round(rate_lift,6) AS rate_lift, round(value_lift,6) AS value_lift, round(gap - 1.96*se,6) AS ci_lower, round(gap + 1.96*se,6) AS ci_upper, round(gap/se,6) AS t, round(detectable,6) AS detectable,
+ CASE WHEN abs(gap/se) > 1.96 THEN CASE WHEN gap > 0 THEN 'TEST_WINS' ELSE 'CONTROL_WINS' END ELSE 'INCONCLUSIVE' END AS winner, CASE WHEN abs(gap/se) > 1.96 THEN CASE WHEN gap > 0 THEN 'LAUNCH' ELSE 'REVERT' END ELSE 'EXTEND_OR_STOP' END AS decision FROM x""")
+def ab_decision(spark, d):
+    """The SQL decides by the normal limit, which the t distribution reaches at so many rows; tests hold p itself."""
+    e = read(spark, d, "events").where("value IS NOT NULL").select("event_type", (F.col("value") > 60).cast("int").alias("y"), "value")
+    return rounded(analytics.ab_decision(e, "event_type", "view", "y", "value").drop("df", "p"), 6)
+
+
 @query("""SELECT event_id, (value>50)::INT AS hit_big, (event_type='purchase')::INT AS hit_sale, least((value>50)::INT*30+(event_type='purchase')::INT*80, 100)::INT AS points, ((value>50)::INT+(event_type='purchase')::INT)::INT AS hits FROM events""")
 def rule_engine(spark, d):
     df = read(spark, d, "events").select("event_id", "value", "event_type")

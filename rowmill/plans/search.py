@@ -101,9 +101,33 @@ def preference_pairs(spark, d):
     return p.select("conv_id", F.md5("rejected").alias("rejected"), F.md5("chosen").alias("chosen"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id AS k, label AS l, label % 3 AS g, md5(vec_id::VARCHAR) AS h FROM embeddings), p AS (SELECT *, ('0x' || substr(h, 31, 2))::INT % 64 AS part FROM e),
+x AS (SELECT k AS a, unnest([lead(k, 1) OVER w, lead(k, 2) OVER w]) AS b, 1.0 AS score FROM p WINDOW w AS (PARTITION BY l ORDER BY h, k)),
+y AS (SELECT k AS a, unnest([lead({'k': k, 'l': l}, 1) OVER w, lead({'k': k, 'l': l}, 2) OVER w]) AS b, l FROM p WINDOW w AS (PARTITION BY g ORDER BY h, k)),
+z AS (SELECT k AS a, unnest([lead({'k': k, 'g': g}, 1) OVER w, lead({'k': k, 'g': g}, 2) OVER w]) AS b, g FROM p WINDOW w AS (PARTITION BY part ORDER BY h, k)),
+c AS (SELECT a, b.k AS b, 0.0 AS score FROM z WHERE b IS NOT NULL AND g <> b.g)
+SELECT a, b, score::DOUBLE AS score FROM (SELECT * FROM x WHERE b IS NOT NULL UNION ALL SELECT a, b.k, 0.5 FROM y WHERE b IS NOT NULL AND l <> b.l UNION ALL (SELECT * FROM c ORDER BY md5(concat_ws(':', a, b)), a, b LIMIT 150) UNION ALL SELECT vec_id, vec_id, 0.8 FROM embeddings SEMI JOIN documents ON vec_id = doc_id)""")
 def contrastive_pairs(spark, d):
-    return search.contrastive_pairs(read(spark, d, "embeddings").withColumn("broad", F.col("label") % 3), "vec_id", "label", "broad")
+    """Embeddings by label and group; a row's own counterpart is the document of its id, and pairs of score 0 are capped."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("own"))
+    e = read(spark, d, "embeddings").withColumn("broad", F.col("label") % 3).join(docs, "vec_id", "left")
+    return search.contrastive_pairs(e, "vec_id", "label", "broad", partner="own", most={0.0: 150})
+
+
+@query(f"""WITH {SCORED}, f0 AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label, round({COS}, 10) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f0), t AS (SELECT query_id, label, id FROM r WHERE rank = 1),
+p AS (SELECT t.label, t.query_id, max(r.rank) FILTER (r.rank <= 10) AS ra, max(f.rank) FILTER (f.rank <= 10) AS rb FROM t LEFT JOIN r USING (query_id, id) LEFT JOIN f USING (query_id, id) GROUP BY 1, 2),
+e AS (SELECT label, count(*) AS n, avg(coalesce((ra <= 5)::INT, 0)) AS ha, avg(coalesce(1 / ra, 0)) AS ma, avg(coalesce((rb <= 5)::INT, 0)) AS hb, avg(coalesce(1 / rb, 0)) AS mb FROM p GROUP BY ROLLUP (label))
+SELECT label, n AS n_queries, round(ha, 6)::DOUBLE AS hit_0, round(hb, 6)::DOUBLE AS hit_1, round(ha - hb, 6)::DOUBLE AS hit_gain, round(ma - mb, 6)::DOUBLE AS mrr_gain FROM e""")
+def retrieval_compare(spark, d):
+    """An index that filters by label first against a flat one: how often each ranks the nearest row of the query's label."""
+    e = read(spark, d, "embeddings")
+    filtered = search.top(_scored(spark, d), "query_id", "score", "id", 10)
+    flat = analytics.knn(e.where("vec_id % 20 = 0"), e, 20, "vec_id", "embedding").withColumnsRenamed({"q_id": "query_id", "b_id": "id"}).drop("rank").withColumn("score", F.round("score", 10))
+    flat = search.top(flat, "query_id", "score", "id", 10)
+    truth = filtered.where("rank = 1").select("query_id", "id").join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    of = lambda hits: search.retrieval_eval(hits, truth, "query_id", "id", "label", 5)
+    return rounded(search.retrieval_delta(of(filtered), of(flat), "label"), 6)
 
 
 @query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS same, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM p), q AS (SELECT query_id, max(score) AS best, min(CASE WHEN same THEN rank END) AS f FROM r WHERE rank <= 5 GROUP BY 1)
