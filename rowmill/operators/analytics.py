@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmill.operators.cut import cut
-
-from rowmill.operators.ordered import proc_rank
+from rowmill.operators.ordered import proc_rank, proc_rank_many
 
 
 def rfm(txn: DataFrame, key: str, date: str, amount: str, as_of: str, groups: int = 5) -> DataFrame:
     """Recency, frequency, monetary value, their rank groups (high is good) and the cell."""
     m = txn.groupBy(key).agg(F.date_diff(F.lit(as_of).cast("date"), F.max(date)).alias("recency"), F.count(F.lit(1)).alias("frequency"), F.sum(amount).alias("monetary"))
-    for c, down in (("recency", True), ("frequency", False), ("monetary", False)):
-        m = proc_rank(m, c, groups, f"{c[0]}_score", descending=down)
+    m = proc_rank_many(cut(m), {"recency": ("r_score", True), "frequency": ("f_score", False), "monetary": ("m_score", False)}, groups)
     return m.withColumn("cell", F.concat(*((F.col(f"{c}_score") + 1).cast("string") for c in "rfm")))
 
 

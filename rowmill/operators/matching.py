@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowmill.operators.cut import cut
+from rowmill.operators.cut import cut, drop
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -68,25 +68,28 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours, then that label's own label."""
     e = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src is not null and dst is not null").distinct())
-    labels = cut(e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    labels = old = cut(e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = e.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("l"))
         jump = labels.select(F.col("node").alias("l"), F.col("component").alias("far"))
         new = cut(step.join(jump, "l").select("node", "was", F.least("l", "far").alias("component")))
-        labels = new.select("node", "component")
+        drop(old)
+        labels, old = new.select("node", "component"), new
         if new.where("component <> was").isEmpty():
+            drop(e)
             return labels
 
 
 def closure_step(edges: DataFrame, label: str) -> DataFrame:
     """(node, the least label among the nodes that reach it along ``edges``), stored round by round."""
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    labels = cut(nodes.withColumn(label, F.col("node")))
+    labels = old = cut(nodes.withColumn(label, F.col("node")))
     while True:
         came = edges.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(label).alias("_m"))
         new = cut(labels.join(came, "node", "left").select("node", F.col(label).alias("_was"), F.least(label, "_m").alias(label)))
-        labels = new.select("node", label)
+        drop(old)
+        labels, old = new.select("node", label), new
         if new.where(F.col("_was") != F.col(label)).isEmpty():
             return labels
 

@@ -214,6 +214,32 @@ def proc_rank(df: DataFrame, col: str, groups: int, out: str, by: list[str] | No
     return df.join(ranks, [*by, col], "left")
 
 
+def proc_rank_many(df: DataFrame, cols: dict[str, tuple[str, bool]], groups: int) -> DataFrame:
+    """``proc_rank`` of several columns, taken as doubles, over the whole frame: {column: (out, descending)}.
+
+    Different values of all columns are counted and ordered together; only the ranges of values of the
+    groups, so many a column, go back to the rows, so no value is joined."""
+    values = F.array(*(F.struct(F.lit(c).alias("v"), F.col(c).cast("double").alias("x")) for c in cols))
+    counts = df.select(F.explode(values).alias("p")).where("p.x IS NOT NULL").groupBy(F.col("p.v").alias("v"), F.col("p.x").alias("x")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = global_running_sum(counts, F.col("_c"), ["v", "x"], "_u")
+    sizes = counts.groupBy("v").agg(F.sum("_c").alias("_all"))
+    first = sizes.select(F.col("v"), "_all", (F.sum("_all").over(Window.orderBy("v")) - F.col("_all")).alias("_before"))  # a row a column
+    at = upto.join(F.broadcast(first), "v").withColumn("_u", F.col("_u") - F.col("_before"))
+    down = F.col("v").isin([c for c, (_, descending) in cols.items() if descending])
+    rank = F.when(down, F.col("_all") - F.col("_u")).otherwise(F.col("_u") - F.col("_c")) + (F.col("_c") + 1) / 2
+    ranges = at.groupBy("v", F.floor(rank * groups / (F.col("_all") + 1)).alias("g")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    one = ranges.agg(F.collect_list(F.struct("v", "g", "lo", "hi")).alias("_ranges"))
+    out = df.join(F.broadcast(one))
+    for c, (name, _) in cols.items():
+        x = F.col(c).cast("double")
+        out = out.withColumn(name, F.get(F.filter("_ranges", _holds(c, x)), F.lit(0))["g"])
+    return out.drop("_ranges")
+
+
+def _holds(column: str, x: Column):
+    return lambda r: (r["v"] == column) & (r["lo"] <= x) & (x <= r["hi"])
+
+
 def cum_share(df: DataFrame, value: str, order: list, out: str, by: list[str] | None = None) -> DataFrame:
     """Running total as a share of the total; ``order`` must settle ties."""
     if by:

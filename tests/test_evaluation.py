@@ -80,3 +80,16 @@ def test_members_of_a_component(spark):
     scc = matching.strong_components(edges)
     assert sorted(r.node for r in corpus.members(scc, 1).collect()) == [1, 2, 3]
     assert sorted(map(tuple, corpus.component_sizes(scc).collect())) == [(1, 3, 1), (4, 2, 4)]
+
+
+def test_ranks_of_many_columns_equal_those_of_each(spark):
+    from rowmill.operators import ordered
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, *range(12)]), rng.choice([1.5, 1.5, 1.5, float("inf"), -2.0, rng.random()])) for i in range(700)]
+    df = spark.createDataFrame(rows, "i long, a int, b double")
+    got = {r.i: (r.x, r.y) for r in ordered.proc_rank_many(df, {"a": ("x", True), "b": ("y", False)}, 5).collect()}
+    one = {r.i: r.x for r in ordered.proc_rank(df, "a", 5, "x", descending=True).collect()}
+    two = {r.i: r.y for r in ordered.proc_rank(df, "b", 5, "y").collect()}
+    assert got == {i: (one[i], two[i]) for i in one}
+    assert ordered.proc_rank_many(df.limit(0), {"a": ("x", True)}, 5).count() == 0
