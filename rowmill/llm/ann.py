@@ -5,9 +5,10 @@ tree holds a sorted array of long hash strings (signs of random projections of
 the centred vectors, one bit each).  A query descends each tree to the rows with
 the longest common prefix, then ascends in all trees together, one bit at a
 time, until the prefix groups of all trees hold ``SHARE`` times the shard's rows.
-Rows found in ``FOUND`` of the trees or more are candidates (the ``LEAST`` most
-often found, ties included, if these are fewer) and are scored exactly on the
-original vectors.  The best k of all shards are the result.
+Rows found in ``FOUND`` of the trees or more are candidates and are scored exactly on the
+original vectors; where these are fewer than ``LEAST`` times the neighbours asked for, the most
+often found ones are (ties included).  The best k of all shards are the result.  A table of
+fewer rows than that is scored whole.
 
 Queries are a stated set; they meet every shard in blocks of ``BLOCK``, so a
 task holds one shard and one block.  The centre is fitted on a sample of at most
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD, BLOCK, SAMPLE = 8192, 16_384, 20_000
-TREES, BITS, SHARE, FOUND, LEAST = 128, 16, 16.0, 22 / 128, 400
+TREES, BITS, SHARE, FOUND, LEAST = 128, 16, 16.0, 22 / 128, 20
 
 
 def hash_strings(x: np.ndarray, centre: np.ndarray, trees: int, bits: int) -> np.ndarray:
@@ -44,8 +45,8 @@ def hash_strings(x: np.ndarray, centre: np.ndarray, trees: int, bits: int) -> np
     return out
 
 
-def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, centre: np.ndarray, trees: int, bits: int, share: float, found_in: float, least: int):
-    """(query row, id, score) of the k best candidates of each query in one shard."""
+def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, centre: np.ndarray, trees: int, bits: int, share: float, found_in: float, least: int, tally: list[int] | None = None):
+    """(query row, id, score) of the k best candidates of each query in one shard; ``tally`` gets the number of rows scored."""
     n = len(ids)
     keys, asked = hash_strings(x, centre, trees, bits), hash_strings(q, centre, trees, bits)
     order = np.argsort(keys, axis=1, kind="stable").astype(np.int32)
@@ -64,9 +65,11 @@ def search(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: i
         times = np.bincount(np.concatenate([order[t, a:b] for t, (a, b) in enumerate(zip(lo[level[j], :, j].tolist(), hi[level[j], :, j].tolist(), strict=True))]), minlength=n)
         times[ids == qids[j]] = -1
         few = max(found_in * trees, 1)
-        if (times >= few).sum() < least:
-            few = np.partition(times, n - least)[n - least] if n > least else 0
+        if (times >= few).sum() < least * k:
+            few = np.partition(times, n - least * k)[n - least * k] if n > least * k else 0
         cand = np.flatnonzero(times >= max(few, 0))
+        if tally is not None:
+            tally.append(len(cand))
         if not len(cand):
             continue
         near = x[cand] @ q[j]
