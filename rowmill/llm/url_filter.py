@@ -4,9 +4,11 @@ One smoothed variable-order Markov model is counted over accepted URLs and one
 over rejected URLs.  The probability of a byte interpolates its orders: each
 order's counts are joined with a fixed weight of the next shorter order's
 probability, down to an even one, so rare long contexts fall back on short ones.
-A URL's score is the log-likelihood difference of the models per byte; a logistic
-curve fitted on labelled URLs that the models have not counted calibrates it to a
-probability of acceptance.
+A URL's score is the log-likelihood difference of the models per byte.
+
+URLs are dealt by hash to two folds, and each fold is scored by the models of the other, so
+no URL is judged by its own label: what others like it were decides.  A logistic
+curve fitted on all labelled URLs calibrates these scores to a probability of acceptance.
 
 Counts are exact and kept in Spark: a byte with the ORDER bytes before it is one
 64-bit number, so nothing collides and the tables grow with the corpus.  The
@@ -96,36 +98,38 @@ def windows_of():
 
 
 def window_scores(counted: DataFrame, order: int = ORDER, pull: float = PULL) -> DataFrame:
-    """w, n and score (log of accepted over rejected probability of its last byte) for
-    the rows w, n (in all URLs), a and r (in accepted and rejected examples)."""
+    """w, n and score_0, score_1 (log of accepted over rejected probability of its last byte, for URLs of that fold, from
+    the counts of the other) for the rows w, n (in all URLs), a_0, r_0, a_1, r_1 (in accepted and rejected examples of the folds)."""
     short = lambda w, k: F.col(w).bitwiseAND((1 << WIDE * (k + 1)) - 1)
-    sums = (F.sum("a").alias("a"), F.sum("r").alias("r"))
-    level = {order: counted.select("w", "a", "r")}
+    of = ("a_0", "r_0", "a_1", "r_1")
+    level = {order: counted.select("w", *of)}
     for k in range(order - 1, -1, -1):
-        level[k] = level[k + 1].groupBy(short("w", k).alias("w")).agg(*sums)
+        level[k] = level[k + 1].groupBy(short("w", k).alias("w")).agg(*(F.sum(c).alias(c) for c in of))
     prob = None
     for k in range(order + 1):
         own = level[k].withColumn("ctx", F.shiftright("w", WIDE))
-        total = own.groupBy("ctx").agg(F.sum("a").alias("ta"), F.sum("r").alias("tr"))
+        total = own.groupBy("ctx").agg(*(F.sum(c).alias(f"t{c}") for c in of))
         # tables of longer windows grow with the corpus: they meet by sorting, however small
         met = (lambda df: df.hint("merge")) if k > 1 else (lambda df: df)
         own = own.join(met(total), "ctx")
         if prob is None:
-            own = own.withColumns({"pa": F.lit(1 / 256), "pr": F.lit(1 / 256)})
+            own = own.withColumns({f"p{c}": F.lit(1 / 256) for c in of})
         else:
             own = own.withColumn("s", short("w", k - 1)).join(met(prob.withColumnRenamed("w", "s")), "s")
-        prob = own.select("w", ((F.col("a") + pull * F.col("pa")) / (F.col("ta") + pull)).alias("pa"), ((F.col("r") + pull * F.col("pr")) / (F.col("tr") + pull)).alias("pr"))
-    return counted.select("w", "n").join(prob.hint("merge"), "w").select("w", "n", (F.ln("pa") - F.ln("pr")).alias("score"))
+        prob = own.select("w", *(((F.col(c) + pull * F.col(f"p{c}")) / (F.col(f"t{c}") + pull)).alias(f"p{c}") for c in of))
+    score = [(F.ln(f"pa_{1 - f}") - F.ln(f"pr_{1 - f}")).alias(f"score_{f}") for f in (0, 1)]
+    return counted.select("w", "n").join(prob.hint("merge"), "w").select("w", "n", *score)
 
 
 def url_scores(rows: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFrame:
-    """``rows`` (id, url and others) with their score per byte, from window scores."""
+    """``rows`` (id, url, fold and others) with their score per byte, from window scores."""
     total = scores.agg(F.sum("n")).head()[0] or 0
-    common = scores.where(F.col("n") * hot >= total).select("w", "score").orderBy("w").toArrow()
-    known, value = common.column("w").to_numpy(), common.column("score").to_numpy()
+    common = scores.where(F.col("n") * hot >= total).select("w", "score_0", "score_1").orderBy("w").toArrow()
+    known, values = common.column("w").to_numpy(), [common.column(f"score_{f}").to_numpy() for f in (0, 1)]
 
     @F.arrow_udf("struct<sum: double, n: bigint, rest: array<bigint>>")
-    def split(col: pa.Array) -> pa.Array:
+    def split(col: pa.Array, fold: pa.Array) -> pa.Array:
+        second = np.asarray(fold) == 1
         n, sums, size, rest = np.zeros(len(col), np.int64), np.zeros(len(col)), np.zeros(len(col) + 1, np.int64), [np.zeros(0, np.int64)]
         for lo, view, offs in T.views(col):
             m = len(offs) - 1
@@ -133,15 +137,16 @@ def url_scores(rows: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFrame:
             at = np.searchsorted(known, w)
             found = known[np.minimum(at, len(known) - 1)] == w if len(known) else np.zeros(len(w), bool)
             n[lo : lo + m] = np.diff(offs)
-            sums[lo : lo + m] = T.per_row(row[found], m, value[at[found]])
+            value = np.where(second[lo : lo + m][row[found]], values[1][at[found]], values[0][at[found]])
+            sums[lo : lo + m] = T.per_row(row[found], m, value)
             size[lo + 1 : lo + 1 + m] = T.per_row(row[~found], m)
             rest.append(w[~found])
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(size).astype(np.int32)), pa.array(np.concatenate(rest)))
         return pa.StructArray.from_arrays([pa.array(sums), pa.array(n), lists], ["sum", "n", "rest"])
 
-    parts = rows.withColumn("_s", split("url"))
-    rare = parts.select("id", F.explode("_s.rest").alias("w")).join(scores.where(F.col("n") * hot < total).select("w", "score").hint("merge"), "w")
-    rare = rare.groupBy("id").agg(F.sum("score").alias("_r"))
+    parts = rows.withColumn("_s", split("url", "fold"))
+    rare = parts.select("id", "fold", F.explode("_s.rest").alias("w")).join(scores.where(F.col("n") * hot < total).drop("n").hint("merge"), "w")
+    rare = rare.groupBy("id").agg(F.sum(F.when(F.col("fold") == 1, F.col("score_1")).otherwise(F.col("score_0"))).alias("_r"))
     whole = F.col("_s.sum") + F.coalesce("_r", F.lit(0.0))
     return parts.join(rare.hint("merge"), "id", "left").withColumn("score", F.round(F.coalesce(F.try_divide(whole, F.col("_s.n")), F.lit(0.0)), 12)).drop("_s", "_r")
 
@@ -165,23 +170,22 @@ def calibrate(scored: DataFrame, bins: int = 200, reach: float = 4.0) -> tuple[f
 def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", url: str = "url", spam=spam_like, threshold: float = 0.5) -> DataFrame:
     """key, host, path, rule, verdict, score and accept (its calibrated probability) of every row.
 
-    ``spam`` makes, from the host column, the condition for rejected examples.  A
-    quarter of the examples, by hash of the URL, is left to the calibration."""
+    ``spam`` makes, from the host column, the condition for rejected examples."""
     rows = pages.select(F.col(key).alias("key"), F.coalesce(url, F.lit("")).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     said = F.create_map(*(F.lit(x) for kv in rules.items() for x in kv))[F.col("rule")] if rules else F.lit(None).cast("string")
     rows = rows.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("said", said)
     label = F.when(F.coalesce(F.col("said") == "block", F.lit(False)), None).when(spam(F.col("host")), 0).otherwise(1)
-    rows = rows.withColumn("label", label).withColumn("part", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(4)))
+    rows = rows.withColumn("label", label).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(2)).cast("int"))
     rows = stored(rows.withColumn("id", F.monotonically_increasing_id()))
 
-    learns = F.col("part") != 0
-    counted = rows.select(F.explode(windows_of()("url")).alias("w"), (learns & (F.col("label") == 1)).alias("a"), (learns & (F.col("label") == 0)).alias("r"))
-    counted = stored(counted.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("a"), F.count_if("r").alias("r")))
+    each = rows.select(F.explode(windows_of()("url")).alias("w"), "fold", "label")
+    count = lambda y, f: F.count_if((F.col("label") == y) & (F.col("fold") == f)).alias(f"{'ra'[y]}_{f}")
+    counted = stored(each.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *(count(y, f) for f in (0, 1) for y in (1, 0))))
     scores = stored(window_scores(counted))
     scored = stored(url_scores(rows, scores))
     for x in (rows, counted, scores):
         drop(x)
-    a, b = calibrate(scored.where("part = 0 and label is not null").select("score", F.col("label").alias("y")))
+    a, b = calibrate(scored.where("label is not null").select("score", F.col("label").alias("y")))
     accept = 1 / (1 + F.exp(-(a + b * F.col("score"))))
     out = scored.withColumn("accept", accept)
     return out.select(F.col("key").alias(key), "host", "path", "rule", F.coalesce("said", F.when(F.col("accept") >= threshold, "allow").otherwise("block")).alias("verdict"), "score", "accept")

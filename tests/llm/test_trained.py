@@ -144,34 +144,34 @@ def test_url_likelihood_against_plain_python(spark):
     df = spark.createDataFrame([(i, u, 1.0) for i, u in enumerate([*urls, urls[10], None])], "page_id long, url string, score double")
     got = url_filter.filter_urls(df, URL_RULES)
     rows = {r.page_id: r for r in got.collect()}
-    part = {r.url: r.p for r in df.select(F.coalesce("url", F.lit("")).alias("url")).distinct().select("url", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(4)).alias("p")).collect()}
+    part = {r.url: r.p for r in df.select(F.coalesce("url", F.lit("")).alias("url")).distinct().select("url", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(2)).alias("p")).collect()}
     low = lambda u: bytes(b + 32 if 65 <= b <= 90 else b for b in (u or "").encode())
     pad = lambda u: [256] * 5 + list(low(u))
-    wins = {0: [Counter() for _ in range(6)], 1: [Counter() for _ in range(6)]}
-    ctxs = {0: [Counter() for _ in range(6)], 1: [Counter() for _ in range(6)]}
+    wins = {(y, f): [Counter() for _ in range(6)] for y in (0, 1) for f in (0, 1)}
+    ctxs = {(y, f): [Counter() for _ in range(6)] for y in (0, 1) for f in (0, 1)}
     for i, u in enumerate([*urls, urls[10], None]):
-        if part[u or ""] == 0 or rows[i].rule in ("net/es/", "net/fr/", "example.com/en/"):
+        if rows[i].rule in ("net/es/", "net/fr/", "example.com/en/"):
             continue
         host = rows[i].host
         y = 0 if any(x in host for x in ("win-cash", "win-big", "cash-now", "big-spam", "spam-site")) else 1
         g = pad(u)
         for t in range(5, len(g)):
             for k in range(6):
-                wins[y][k][tuple(g[t - k : t + 1])] += 1
-                ctxs[y][k][tuple(g[t - k : t])] += 1
+                wins[y, part[u or ""]][k][tuple(g[t - k : t + 1])] += 1
+                ctxs[y, part[u or ""]][k][tuple(g[t - k : t])] += 1
     for i, u in enumerate(urls):
-        g, total = pad(u), 0.0
+        g, total, f = pad(u), 0.0, 1 - part[u or ""]  # the other fold's counts
         for t in range(5, len(g)):
             p = {0: 1 / 256, 1: 1 / 256}
             for k in range(6):
                 for y in (0, 1):
-                    p[y] = (wins[y][k][tuple(g[t - k : t + 1])] + 2 * p[y]) / (ctxs[y][k][tuple(g[t - k : t])] + 2)
+                    p[y] = (wins[y, f][k][tuple(g[t - k : t + 1])] + 2 * p[y]) / (ctxs[y, f][k][tuple(g[t - k : t])] + 2)
             total += math.log(p[1]) - math.log(p[0])
         assert rows[i].score == pytest.approx(total / max(len(g) - 5, 1), abs=1e-9), u
         assert rows[i].rule or rows[i].verdict == ("allow" if rows[i].accept >= 0.5 else "block")
     # rare windows go by the join, common ones in the task: both give one result
-    scored = df.select(F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"))
-    w = scored.select(F.explode(url_filter.windows_of()("url")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("a"), F.lit(1).alias("r"))
+    scored = df.select(F.col("page_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), (F.col("page_id") % 2).cast("int").alias("fold"))
+    w = scored.select(F.explode(url_filter.windows_of()("url")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("a_0"), F.lit(1).alias("r_0"), F.lit(1).alias("a_1"), F.count(F.lit(1)).alias("r_1"))
     s = url_filter.window_scores(w)
     few, all_ = ({r.id: r.score for r in url_filter.url_scores(scored, s, h).collect()} for h in (20, 10**9))
     assert few == pytest.approx(all_)
@@ -180,6 +180,23 @@ def test_url_likelihood_against_plain_python(spark):
     assert {r.h: r.s for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", url_filter.spam_like(F.col("h")).alias("s")).collect()} == hosts
 
 
+def test_verdicts_go_beyond_the_marks_of_hosts(spark):
+    """Spam hosts without any mark are blocked, and clean hosts with dashes are allowed: each by what other URLs of its kind were."""
+    rng = np.random.default_rng(1)
+    good = "garden river letter history museum school bridge forest weather market recipe travel science music paper harbor village library".split()
+    bad = "casino jackpot viagra poker bonus loan pills slots betting cheap".split()
+    pick = lambda words: str(rng.choice(words))
+    urls = [(f"http://{pick(good)}{pick(good)}.org/{pick(good)}/{pick(good)}/{i}", "clean") for i in range(1500)]
+    urls += [(f"http://{pick(bad)}-{pick(bad)}-{rng.integers(100, 999)}.info/{pick(bad)}/{pick(bad)}?id={i}", "marked") for i in range(300)]
+    urls += [(f"http://{pick(bad)}{pick(bad)}.info/{pick(bad)}/{pick(bad)}?id={i}", "unmarked") for i in range(10)]
+    urls += [(f"http://{pick(good)}-{pick(good)}.org/{pick(good)}/{pick(good)}/{i}", "dashed") for i in range(10)]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    got = Counter((urls[r.page_id][1], r.verdict) for r in url_filter.filter_urls(df, {}).collect())
+    print(got)
+    assert got["clean", "allow"] >= 1490 and got["marked", "block"] >= 295
+    assert got["unmarked", "block"] >= 8 and got["dashed", "allow"] >= 8
+
+
 def test_mix_is_replayed(spark):
     """``taken`` of every row from the slots, word by word; slots are permutations pass by pass."""
     rng = np.random.default_rng(3)
