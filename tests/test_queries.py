@@ -50,3 +50,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_modules_have_names_of_their_own():
+    """Two test modules of one name, in two folders, would hide one of them."""
+    names = [f for _, _, files in os.walk(os.path.dirname(os.path.abspath(__file__))) for f in files if f.startswith("test_")]
+    assert len(names) == len(set(names))
