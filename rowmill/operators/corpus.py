@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,29 @@ def statements(docs: DataFrame, key: str, text: str, end: str = ";") -> DataFram
     """One row a statement: number, line of its last character, its text, and whether its end is missing.
 
     A statement runs up to the next ``end`` mark; blank ones at the end are dropped."""
-    # the array and its size in a select of their own: what is kept beside an exploded array is the size, not the text
-    cut_up = docs.select(key, F.split(text, f"[{end}]").alias("_parts")).select(key, F.size("_parts").alias("_n"), "_parts")
-    each = cut_up.select(key, "_n", F.posexplode("_parts").alias("_i", "_s"))
-    each = each.select(key, "_n", "_i", (F.length("_s") - F.length(F.translate("_s", "\n", ""))).alias("_l"), F.trim(F.regexp_replace("_s", r"\s+", " ")).alias("body"))
-    w = Window.partitionBy(key).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    out = each.withColumn("line_end", F.sum("_l").over(w) + 1).where((F.col("body") != "") | (F.col("_i") < F.col("_n") - 1))
-    return out.select(key, (F.col("_i") + 1).alias("statement"), F.col("line_end").cast("long").alias("line_end"), "body", (F.col("_i") == F.col("_n") - 1).alias("incomplete"))
+    lines = lambda x: (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).cast("bigint")
+    cut_up = docs.select(key, F.split(text, f"[{end}]").alias("_parts")).where(F.col("_parts").isNotNull())
+    # running counts of line breaks, array by array: the texts themselves are never shuffled
+    cut_up = cut_up.select(key, F.size("_parts").alias("_n"), "_parts", running_sums()(F.transform("_parts", lines)).alias("_ends"))
+    each = cut_up.select(key, "_n", F.posexplode(F.arrays_zip("_parts", "_ends")).alias("_i", "_p"))
+    last = F.col("_i") == F.col("_n") - 1
+    each = each.where(~last | F.col("_p._parts").rlike(r"[^\s]"))
+    body = F.trim(F.regexp_replace("_p._parts", r"\s+", " "))
+    return each.select(key, (F.col("_i") + 1).alias("statement"), (F.col("_p._ends") + 1).alias("line_end"), body.alias("body"), last.alias("incomplete"))
+
+
+def running_sums():
+    """An Arrow UDF array<bigint> -> the running sums of each array."""
+
+    @F.arrow_udf("array<bigint>")
+    def sums(col: pa.Array) -> pa.Array:
+        offsets = col.offsets.to_numpy()
+        total = np.concatenate(([0], np.cumsum(np.asarray(col.flatten(), np.int64))))
+        offsets = offsets - offsets[0]
+        within = total[1:] - np.repeat(total[offsets[:-1]], np.diff(offsets))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(within))
+
+    return sums
 
 
 def block_spans(rows: DataFrame, by: list[str], order: list, opens: Column, closes: Column, line: Column) -> DataFrame:

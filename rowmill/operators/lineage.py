@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowmill.operators.cut import cut
 from rowmill.operators.ordered import bucketed, win
 
 
@@ -80,7 +81,7 @@ def producer_edges(uses: DataFrame, key: str) -> DataFrame:
     rows = uses.select(F.col(key).alias("k"), "statement", "name", F.col("role").isin("DEFINE", "CALL").alias("macro"), made.alias("makes"))
     rows = rows.withColumn("at", F.when(F.col("makes"), F.struct("macro", "name", "k", "statement")))
     order = ["macro", "name", "k", "statement", "makes"]  # a statement reads before it writes
-    rows = bucketed(rows, order)
+    rows = bucketed(cut(rows), order)  # stored first: the bounds of the buckets are sampled by reading the rows once more
     last = F.last("at", True).over(win(["_b"], order).rowsBetween(Window.unboundedPreceding, -1))
     tails = rows.groupBy("_b").agg(F.max("at").alias("tail"))
     tails = tails.select("_b", F.last("tail", True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
