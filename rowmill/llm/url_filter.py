@@ -99,12 +99,16 @@ def windows_of():
 
 def window_scores(counted: DataFrame, order: int = ORDER, pull: float = PULL) -> DataFrame:
     """w, n and score_0, score_1 (log of accepted over rejected probability of its last byte, for URLs of that fold, from
-    the counts of the other) for the rows w, n (in all URLs), a_0, r_0, a_1, r_1 (in accepted and rejected examples of the folds)."""
+    the counts of the other) for the rows w, n (in all URLs), a_0, r_0, a_1, r_1 (in accepted and rejected examples of the folds).
+
+    Each order's counts and probabilities are stored: as one plan, the orders came to dozens of
+    exchanges planned and run at once, too much for the driver's memory.  The result is stored too."""
     short = lambda w, k: F.col(w).bitwiseAND((1 << WIDE * (k + 1)) - 1)
     of = ("a_0", "r_0", "a_1", "r_1")
-    level = {order: counted.select("w", *of)}
+    level = {order: counted.select("w", "n", *of)}
     for k in range(order - 1, -1, -1):
-        level[k] = level[k + 1].groupBy(short("w", k).alias("w")).agg(*(F.sum(c).alias(c) for c in of))
+        level[k] = stored(level[k + 1].groupBy(short("w", k).alias("w")).agg(*(F.sum(c).alias(c) for c in of)))
+    score = [(F.ln(f"pa_{1 - f}") - F.ln(f"pr_{1 - f}")).alias(f"score_{f}") for f in (0, 1)]
     prob = None
     for k in range(order + 1):
         own = level[k].withColumn("ctx", F.shiftright("w", WIDE))
@@ -116,9 +120,12 @@ def window_scores(counted: DataFrame, order: int = ORDER, pull: float = PULL) ->
             own = own.withColumns({f"p{c}": F.lit(1 / 256) for c in of})
         else:
             own = own.withColumn("s", short("w", k - 1)).join(met(prob.withColumnRenamed("w", "s")), "s")
-        prob = own.select("w", *(((F.col(c) + pull * F.col(f"p{c}")) / (F.col(f"t{c}") + pull)).alias(f"p{c}") for c in of))
-    score = [(F.ln(f"pa_{1 - f}") - F.ln(f"pr_{1 - f}")).alias(f"score_{f}") for f in (0, 1)]
-    return counted.select("w", "n").join(prob.hint("merge"), "w").select("w", "n", *score)
+        own = own.withColumns({f"p{c}": (F.col(c) + pull * F.col(f"p{c}")) / (F.col(f"t{c}") + pull) for c in of})
+        made = stored(own.select("w", "n", *score) if k == order else own.select("w", *(f"p{c}" for c in of)))
+        drop(prob)
+        drop(level.pop(k))
+        prob = made
+    return prob
 
 
 def url_scores(rows: DataFrame, scores: DataFrame, hot: int = HOT) -> DataFrame:
@@ -181,7 +188,7 @@ def filter_urls(pages: DataFrame, rules: dict[str, str], key: str = "page_id", u
     each = rows.select(F.explode(windows_of()("url")).alias("w"), "fold", "label")
     count = lambda y, f: F.count_if((F.col("label") == y) & (F.col("fold") == f)).alias(f"{'ra'[y]}_{f}")
     counted = stored(each.groupBy("w").agg(F.count(F.lit(1)).alias("n"), *(count(y, f) for f in (0, 1) for y in (1, 0))))
-    scores = stored(window_scores(counted))
+    scores = window_scores(counted)
     scored = stored(url_scores(rows, scores))
     for x in (rows, counted, scores):
         drop(x)

@@ -180,6 +180,25 @@ def test_url_likelihood_against_plain_python(spark):
     assert {r.h: r.s for r in spark.createDataFrame([(h,) for h in hosts], "h string").select("h", url_filter.spam_like(F.col("h")).alias("s")).collect()} == hosts
 
 
+def test_plans_of_the_url_models_stay_small(spark, monkeypatch):
+    """A plan of dozens of exchanges took the driver's memory; what a step stores goes when it is read."""
+    plans, stored = [], url_filter.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return stored(df)
+
+    monkeypatch.setattr(url_filter, "stored", seen)
+    folder = spark.sparkContext.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = lambda: {x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+    before = names()
+    df = spark.createDataFrame([(i, f"http://{'win-cash' if i % 3 else 'river'}{i % 7}.org/{i}") for i in range(60)], "page_id long, url string")
+    assert url_filter.filter_urls(df, URL_RULES).count() == 60
+    assert max(plans) <= 6, plans
+    assert len(names() - before) == 1  # the scored URLs
+
+
 def test_verdicts_go_beyond_the_marks_of_hosts(spark):
     """Most spam hosts without any mark are blocked (6 of 10 here, 9 of another draw), and clean hosts with dashes are allowed: each
     by what other URLs of its kind were.  Where such exceptions are many, the models learn them as they are labelled."""
