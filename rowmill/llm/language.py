@@ -91,7 +91,7 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int
     def count(batches):
         for b in batches:
             langs, code = np.unique(np.array(b.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-            for lo, view, offs in T.views(b.column("text"), 4 * T.CHUNK):
+            for lo, view, offs in T.views(b.column("text"), 16 * T.CHUNK):
                 t, row, _ = triples(view, offs)
                 key, n = np.unique(code[lo + row].astype(np.int64) * TRIPLES + t, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(langs[key // TRIPLES].astype(object), pa.string()), pa.array((key % TRIPLES).astype(np.int32)), pa.array(n)], ["lang", "t", "n"])
@@ -117,7 +117,7 @@ def identifier(langs: list[str], proto: np.ndarray):
     @F.arrow_udf("struct<lang: string, score: double>")
     def identify(col: pa.Array) -> pa.Array:
         lang, score = np.full(len(col), "und", object), np.zeros(len(col))
-        for lo, view, offs in T.views(col, T.CHUNK // 4):
+        for lo, view, offs in T.views(col, T.CHUNK):
             t, row, lettered = triples(view, offs)
             n = len(offs) - 1
             if not langs or not len(t):

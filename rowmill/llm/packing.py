@@ -52,12 +52,17 @@ def encoder(path: str):
     a million white-space characters in a row), and files of another kind, go through
     tokenizers."""
     if path not in _encoders:
-        from tokenizers import Tokenizer
+        plain = []  # read when a text needs it, so that most tasks hold one tokenizer
+
+        def slow(t: str) -> np.ndarray:
+            if not plain:
+                from tokenizers import Tokenizer
+
+                plain.append(Tokenizer.from_file(path))
+            return np.array(plain[0].encode(t, add_special_tokens=False).ids, np.uint32)
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        plain = Tokenizer.from_file(path)
-        slow = lambda t: np.array(plain.encode(t, add_special_tokens=False).ids, np.uint32)
         pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens", [])
         byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
         known = byte_level and model["type"] == "BPE" and not any((spec.get("normalizer"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("ignore_merges")))

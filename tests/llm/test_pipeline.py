@@ -1,13 +1,16 @@
 """run() of the pipeline, stage by stage, against brute force on a table with nulls and repeats."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rowmill.llm import mixing, near_dup, quality_rules, toxicity
+from rowmill.llm import mixing, near_dup, packing, quality_rules, toxicity
+from rowmill.llm import text as T
 from rowmill.llm.queries import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,3 +118,64 @@ def test_stages_take_empty_tables(spark, folder):
     for name, stage in P.STAGES:
         out = stage(spark, none, folder)
         assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
+
+
+def test_stages_send_texts_to_tasks_in_small_batches(spark, folder):
+    import corpus_pipeline as P
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [b.nbytes]})
+
+    for name, stage in P.STAGES:
+        if name == "mixing":  # no Python
+            continue
+        fresh = spark.newSession()
+        stage(fresh, fresh.read.parquet(f"{folder}/documents.parquet"), folder)
+        texts = fresh.range(0, 3000, 1, 1).select(F.repeat(F.lit("some words "), 800).alias("text"))
+        got = [r.bytes for r in texts.mapInArrow(sizes, "bytes long").collect()]
+        assert sum(got) > 24_000_000 and max(got) < 6_000_000, name
+
+
+def test_a_lower_batch_size_is_kept(spark):
+    import corpus_pipeline as P
+
+    fresh = spark.newSession()
+    for given, want in (("1m", 1 << 20), ("64m", P.BATCH)):
+        fresh.conf.set(P.BATCH_CONF, given)
+        P.small_batches(fresh)
+        texts = fresh.range(0, 3000, 1, 1).select(F.repeat(F.lit("some words "), 800).alias("text"))
+        most = texts.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in bs), "bytes long").agg(F.max("bytes")).first()[0]
+        assert want // 2 < most < want * 3 // 2, given
+
+
+def test_a_task_needs_little_beside_its_batch():
+    """Peak of numpy's memory over 4 MB of texts; the runs of bytes looked at are what counts."""
+    texts = pa.array(["River stones, winds and 12 green papers of May. " * 80] * 1000)
+    model = toxicity.Model(np.ones((2, toxicity.LAST + 1, 1 << toxicity.BITS)))
+    for work in (lambda: [quality_rules.measure(v, o) for _, v, o in T.views(texts)], lambda: [None for _ in model.scan(texts)], lambda: [None for _ in near_dup.shingle_sets(texts, 5)]):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 25_000_000, peak
+
+
+def test_the_second_tokenizer_is_read_when_needed(monkeypatch):
+    import tokenizers
+
+    read, plain = [], tokenizers.Tokenizer
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            read.append(path)
+            return plain.from_file(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    monkeypatch.setattr(packing, "_encoders", {})
+    enc = packing.encoder(tokenizer_path())
+    assert len(enc("plain words")) and not read
+    long = " " * 1_200_000 + "x"
+    assert enc(long).tolist() == plain.from_file(tokenizer_path()).encode(long, add_special_tokens=False).ids
+    assert enc(long) is not None and len(read) == 1
