@@ -95,3 +95,17 @@ def test_marked_rows_equal_the_join_of_buckets(spark):
         assert [i for _, i in sorted(got[q])] == want
     assert "Generate" not in plan_of(near).split("FlatMapCoGroupsInArrow")[0]  # rows are not joined by their buckets
     assert "FlatMapCoGroupsInArrow" in plan_of(near)
+
+
+#: Queries that search cells.
+IN_CELLS = ["knn_cosine"]
+
+
+@pytest.mark.parametrize("name", IN_CELLS)
+def test_queries_form_no_pairs(spark, name):
+    """Neither a product of the tables nor a join by group stands in the plan; results are held against SQL in test_queries."""
+    from rowmill import catalog
+
+    plan = plan_of(catalog.queries()[name](spark, SF))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "_part" in plan and "FlatMapCoGroupsInArrow" in plan
