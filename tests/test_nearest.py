@@ -98,7 +98,7 @@ def test_marked_rows_equal_the_join_of_buckets(spark):
 
 
 #: Queries that search cells.
-IN_CELLS = ["knn_cosine", "knn_cosine_all", "label_retrieval", "retrieval_compare", "adaptive_k", "knn_filtered"]
+IN_CELLS = ["knn_cosine", "knn_cosine_all", "label_retrieval", "retrieval_compare", "adaptive_k", "knn_filtered", "retrieval_eval"]
 
 
 @pytest.mark.parametrize("name", IN_CELLS)
@@ -109,3 +109,10 @@ def test_queries_form_no_pairs(spark, name):
     plan = plan_of(catalog.queries()[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "_part" in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_first_other_against_all_pairs(spark):
+    rows = [(i, g) for i, g in enumerate([0, 0, 1, None, 2, 2, 0, 2]) for _ in range(1 + i % 2)]
+    df = spark.createDataFrame(rows, "i long, g int")
+    got = {r.query_id: r.id for r in search.first_other(df, df, "g", "i").collect()}
+    assert got == {i: min(j for j, h in rows if h == g and j != i) for i, g in rows if g in (0, 2)}
