@@ -141,7 +141,7 @@ def producer_edges(spark, d):
 
 
 #: In prose, "the" marks a reference, and a sentence that begins with "in" assigns what follows its next word to that word.
-IN_PROSE = r"(?i)^in (\w+) (.*)$"
+IN_PROSE = r"(?id)^in (\w+) (.*)$"  # d: only \n ends a line, as in SQL
 
 
 @query(r"""WITH RECURSIVE s AS (SELECT doc_id, unnest(range(1, len(string_split(t, '.')) + 1)) AS statement, trim(regexp_replace(unnest(string_split(t, '.')), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS body FROM (SELECT doc_id, regexp_replace(replace(text, '&', ' '), '\bthe ', '&', 'g') AS t FROM documents)),
@@ -160,7 +160,7 @@ x AS (SELECT doc_id, statement, name, 0 AS round, coalesce(value, '&' || name) A
 SELECT v.doc_id, v.statement, v.name, d.name IS NOT NULL AS direct, md5(t.text) AS text_hash, CASE WHEN b.name IS NOT NULL THEN 'CYCLE' WHEN u.name IS NOT NULL THEN 'UNDEFINED' ELSE 'RESOLVED' END AS status
 FROM v LEFT JOIN d USING (doc_id, statement, name) LEFT JOIN bad b USING (doc_id, statement, name) LEFT JOIN u USING (doc_id, statement, name) LEFT JOIN (SELECT doc_id, statement, name, arg_max(text, round) AS text FROM x GROUP BY ALL) t USING (doc_id, statement, name)""")
 def variable_references(spark, d):
-    text = F.regexp_replace(F.replace("text", F.lit("&"), F.lit(" ")), r"\bthe ", "&")
+    text = F.regexp_replace(F.replace("text", F.lit("&"), F.lit(" ")), r"(?<![A-Za-z0-9_])the ", "&")  # Java's \b takes é for a part of a word, SQL's does not
     s = corpus.statements(read(spark, d, "documents").withColumn("text", text), "doc_id", "text", ".")
     return variables.references(s, "doc_id", IN_PROSE).select("doc_id", "statement", "name", "direct", F.md5("text").alias("text_hash"), "status")
 

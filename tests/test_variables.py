@@ -35,3 +35,20 @@ def test_depth_is_bounded_and_reported(spark):
 def test_nothing_to_resolve(spark):
     assert resolved(spark, "a; b & c") == ({}, {1: "a", 2: "b & c"})
     assert resolved(spark, "") == ({}, {})
+
+
+def test_prose_of_other_letters_and_line_marks_as_in_sql(spark, tmp_path):
+    """SQL's word edges and lines are those of ASCII: é ends no word there, and only \\n ends a line."""
+    import duckdb
+
+    from rowmill import catalog
+
+    rows = [(1, "éthe cat sat. In cat the dog ran. See the cat. ßthe dog, 9the dog, _the dog, ªthe dog"), (2, "In dog one\u0085two. the dog"), (3, "The the the cat."), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["variable_references"]).fetchall()
+    cols = [c[0] for c in con.description]
+    got = catalog.queries()["variable_references"](spark, str(tmp_path)).select(*cols).collect()
+    assert len(want) > 6
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
