@@ -79,7 +79,7 @@ def inventory(df: DataFrame, mean: str, sd: str, stock: str, lead_days: float, z
 
 def attainment(df: DataFrame, actual: str, quota: str) -> DataFrame:
     """Percent of quota and the band it falls into."""
-    df = df.withColumn("attained", 100 * F.try_divide(actual, quota))
+    df = df.withColumn("attained", F.try_divide(100 * F.col(actual), quota))
     a = F.col("attained")
     return df.withColumn("band", case_chain([(a >= 120, "STAR"), (a >= 100, "MET"), (a >= 80, "NEAR"), (a.isNotNull(), "BELOW")], "NO_QUOTA"))
 

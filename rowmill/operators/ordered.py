@@ -198,6 +198,13 @@ def gap_days(df: DataFrame, by: list[str], ts: str, order: list, expected: int,
     return df.withColumn(out, F.date_diff(ts, F.lag(ts).over(win(by, order)))).withColumn(f"{out}_flag", F.coalesce(F.col(out) > expected, F.lit(False)))
 
 
+def steady_sum(value: str) -> Column:
+    """The sum of a group's doubles in ascending order, so that groups of equal values tie whatever order their rows come
+    in (``sum`` adds as tasks finish).  A group's values are held in one task; null without any."""
+    held = F.array_sort(F.collect_list(value))
+    return F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda a, x: a + x.cast("double")))
+
+
 def proc_rank(df: DataFrame, col: str, groups: int, out: str, by: list[str] | None = None, descending: bool = False) -> DataFrame:
     """0-based rank groups floor(rank * groups / (n + 1)), ties at their mean rank; nulls stay null.
 

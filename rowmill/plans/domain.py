@@ -82,7 +82,7 @@ def inventory_status(spark, d):
 @query("""WITH a AS (SELECT o_custkey, sum(o_totalprice) AS actual FROM orders GROUP BY 1), t AS (SELECT o_custkey, 100 * actual / nullif((o_custkey % 7) * 399989, 0) AS p FROM a), r AS (SELECT o_custkey, p, CASE WHEN p IS NULL THEN NULL ELSE rank() OVER (PARTITION BY p IS NULL ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 END AS rk, count(p) OVER () AS n FROM t)
 SELECT o_custkey, round(p, 3) AS attained, CASE WHEN p >= 120 THEN 'STAR' WHEN p >= 100 THEN 'MET' WHEN p >= 80 THEN 'NEAR' WHEN p IS NOT NULL THEN 'BELOW' ELSE 'NO_QUOTA' END AS band, floor(rk * 4 / (n + 1))::BIGINT AS quartile FROM r""")
 def quota_attainment(spark, d):
-    a = read(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("actual")).withColumn("quota", (F.col("o_custkey") % 7 * 399989).cast("double"))
+    a = read(spark, d, "orders").groupBy("o_custkey").agg(ordered.steady_sum("o_totalprice").alias("actual")).withColumn("quota", (F.col("o_custkey") % 7 * 399989).cast("double"))
     out = ordered.proc_rank(domain.attainment(a, "actual", "quota"), "attained", 4, "quartile")
     return out.select("o_custkey", F.round("attained", 3).alias("attained"), "band", "quartile")
 

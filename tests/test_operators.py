@@ -109,3 +109,13 @@ def test_normal_distribution(spark):
         assert abs(r.p - NormalDist().cdf(r.x)) < 1e-12
         if abs(r.x) < 5:
             assert abs(r.z - r.x) < 1e-8
+
+
+def test_equal_amounts_tie_in_any_order(spark, tmp_path):
+    """Two customers with the same orders in another order have the same attainment, so the same quartile."""
+    from rowmill import catalog
+
+    rows = [(1, 0.1), (1, 0.2), (1, 0.3), (8, 0.3), (8, 0.2), (8, 0.1), (7, 5.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.o_custkey: (r.band, r.quartile) for r in catalog.queries()["quota_attainment"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("BELOW", 2), 8: ("BELOW", 2), 7: ("NO_QUOTA", None)}
