@@ -2,12 +2,70 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.operators.cut import cut
 from rowmill.operators.matching import overlap, weighted_score
 
+#: Rows of each side of a block that meet in one task at a time.
+ROWS = 1024
+
+
+def _codes(names: pa.ChunkedArray, blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the names, filled up with ``blank``, and lengths, -1 for null."""
+    texts = names.to_pylist()
+    size = np.array([-1 if x is None else len(x) for x in texts], np.int64)
+    out = np.full((len(texts), max(size.max(initial=0), 0)), blank, np.int32)
+    flat = np.frombuffer("".join(x or "" for x in texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out, size
+
+
+def overlaps(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs of names: the share of the longer one's positions with the same character, and whether there is none
+    (a null name, or two empty ones)."""
+    (x, n), (y, m) = _codes(a, -1), _codes(b, -2)
+    same = np.zeros((len(n), len(m)), np.int32)
+    for i in range(min(x.shape[1], y.shape[1])):
+        same += x[:, i, None] == y[None, :, i]
+    long = np.maximum(n[:, None], m[None, :])
+    void = (n[:, None] < 0) | (m[None, :] < 0) | (long == 0)
+    return same / np.maximum(long, 1), void
+
+
+def match_blocks(a: DataFrame, b: DataFrame, key_a: str, name_a: str, key_b: str, name_b: str, block: list[str], others: list[tuple[float, Column]], weight: float, hi: float, lo: float) -> DataFrame:
+    """As ``match_names``, for limits that keep most pairs of a block: (``key_a``, ``key_b``, overlap, the other columns, score, status) of
+    the pairs with equal ``block`` columns whose score reaches ``lo``.  A null or blank overlap counts as no part of the score.
+
+    All pairs of a block are looked at, ``ROWS`` of each side at a time, and names are compared there position by
+    position as arrays; work and output grow with the pairs of the blocks, a task's memory does not."""
+    total = weight + sum(w for w, _ in others)
+    filled = lambda df: df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in block))
+    a, b = filled(a), filled(b)
+    parts = lambda df, n: df.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias(n))
+    plan = parts(a, "_na").join(parts(b, "_nb"), block)
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = a.join(plan, block).withColumn("_a", part(key_a, "_na")).withColumn("_b", every("_nb")).drop("_na", "_nb")
+    right = b.join(plan, block).withColumn("_b", part(key_b, "_nb")).withColumn("_a", every("_na")).drop("_na", "_nb")
+    keep_a, keep_b = ([f for f in df.schema.fields if f.name not in (*block, name)] for df, name in ((a, name_a), (b, name_b)))
+    names_a, names_b = [f.name for f in keep_a], [f.name for f in keep_b]
+
+    def pairs(x: pa.Table, y: pa.Table) -> pa.Table:
+        share, void = overlaps(x.column(name_a), y.column(name_b))
+        i, j = np.nonzero(void | (weight * share + (total - weight) >= lo * total - 1e-9))
+        cols = [*x.select(names_a).take(i).columns, *y.select(names_b).take(j).columns, pa.array(share[i, j], mask=void[i, j])]
+        return pa.table(cols, [*names_a, *names_b, "overlap"])
+
+    cell = [*block, "_a", "_b"]
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*keep_a, *keep_b])
+    rows = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(pairs, f"{out}, overlap double")
+    rows = rows.withColumn("score", weighted_score([(weight, F.col("overlap")), *others])).where(F.col("score") >= lo)
+    return rows.withColumn("status", F.when(F.col("score") >= hi, "FUZZY").otherwise("REVIEW"))
+
 
 def _needed(least: float, n: Column) -> Column:
     """How many positions a name of length n must share with any partner."""

@@ -31,10 +31,11 @@ s AS (SELECT c_custkey, s_suppkey, (0.6*list_sum(list_transform(range(1,least(le
 SELECT c_custkey, s_suppkey, round(score,6) AS score, CASE WHEN score >= 0.6 THEN 'FUZZY' ELSE 'REVIEW' END AS status FROM s WHERE score >= 0.45""")
 def fuzzy_match(spark, d):
     last = lambda c: F.expr(f"right({c}, 1)").alias("last")
-    c = read(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", F.col("c_nationkey").alias("nation"), last("c_name"))
-    s = read(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal", F.col("s_nationkey").alias("nation"), last("s_name"))
-    score = matching.weighted_score([(0.6, matching.overlap(F.col("c_name"), F.col("s_name"))), (0.4, ((F.col("c_acctbal") > 0) == (F.col("s_acctbal") > 0)).cast("int"))])
-    return rounded(matching.fuzzy_match(c, s, ["nation", "last"], score, 0.6, 0.45).select("c_custkey", "s_suppkey", "score", "status"), 6)
+    c = read(spark, d, "customer").select("c_custkey", "c_name", (F.col("c_acctbal") > 0).alias("c_up"), F.col("c_nationkey").alias("nation"), last("c_name"))
+    s = read(spark, d, "supplier").select("s_suppkey", "s_name", (F.col("s_acctbal") > 0).alias("s_up"), F.col("s_nationkey").alias("nation"), last("s_name"))
+    same = (F.col("c_up") == F.col("s_up")).cast("int")
+    out = fuzzy.match_blocks(c, s, "c_custkey", "c_name", "s_suppkey", "s_name", ["nation", "last"], [(0.4, same)], 0.6, 0.6, 0.45)
+    return rounded(out.select("c_custkey", "s_suppkey", "score", "status"), 6)
 
 
 @query("""WITH s AS (SELECT c_custkey, s_suppkey, list_sum(list_transform(range(1,least(length(c_name),length(s_name))+1), lambda i: CASE WHEN substr(c_name,i,1)=substr(s_name,i,1) THEN 1 ELSE 0 END))/greatest(length(c_name),length(s_name)) AS overlap, (c_acctbal > 0)=(s_acctbal > 0) AS same FROM customer, supplier)

@@ -47,3 +47,29 @@ def test_scores_equal_all_pairs_in_blocks(spark):
     assert got == want
     with pytest.raises(ValueError):
         fuzzy.match_names(da, db, "i", "x", "j", "y", [(0.4, same)], 0.6, 0.9, 0.3)
+
+
+@pytest.mark.parametrize("rows", [16, 1024])
+def test_blocks_equal_all_pairs(spark, monkeypatch, rows):
+    monkeypatch.setattr(fuzzy, "ROWS", rows)  # many cells a block, then one
+    a = [(i, x, i % 3 if i % 11 else None, i % 5 > 1 if i % 4 else None) for i, x in enumerate([*names(120, 5), "né", "日本", "x😀y"])]
+    b = [(j, y, j % 3, j % 4 > 1) for j, y in enumerate([*names(90, 6), *names(120, 5)[:40], "ne", "日本", "x😀z"])]
+    da, db = spark.createDataFrame(a, "i long, x string, g int, u boolean"), spark.createDataFrame(b, "j long, y string, g int, v boolean")
+    out = fuzzy.match_blocks(da, db, "i", "x", "j", "y", ["g"], [(0.4, (F.col("u") == F.col("v")).cast("int"))], 0.6, 0.8, 0.5)
+    got = {(r.i, r.j): (round(r.score, 9), r.status) for r in out.collect()}
+    want = {}
+    for i, x, g, u in a:
+        for j, y, h, v in b:
+            parts = [(0.6, None if x is None or y is None or not x + y else share(x, y)), (0.4, None if u is None else float(u == v))]
+            parts = [(w, s) for w, s in parts if s is not None]
+            s = sum(w * s for w, s in parts) / sum(w for w, _ in parts) if parts else 0
+            if g == h and s >= 0.5:
+                want[i, j] = (round(s, 9), "FUZZY" if s >= 0.8 else "REVIEW")
+    assert got == want
+
+
+def test_fuzzy_match_compares_names_as_arrays(spark):
+    from rowmill import catalog
+
+    plan = catalog.queries()["fuzzy_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "aggregate(" not in plan
