@@ -98,7 +98,7 @@ def test_marked_rows_equal_the_join_of_buckets(spark):
 
 
 #: Queries that search cells.
-IN_CELLS = ["knn_cosine", "knn_cosine_all", "label_retrieval", "retrieval_compare", "adaptive_k", "knn_filtered", "retrieval_eval"]
+IN_CELLS = ["knn_cosine", "knn_cosine_all", "label_retrieval", "retrieval_compare", "adaptive_k", "knn_filtered", "retrieval_eval", "hybrid_search"]
 
 
 @pytest.mark.parametrize("name", IN_CELLS)
