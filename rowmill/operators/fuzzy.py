@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.operators.cut import cut
+from rowmill.operators.cut import cut, drop
 from rowmill.operators.matching import overlap, weighted_score
 
 #: Rows of each side of a block that meet in one task at a time.
 ROWS = 1024
+#: Most marks that names meet on together, rows that tell how many, and keys of one name.
+MOST, SAMPLE, MOST_KEYS = 10, 500, 10_000
 
 
 def _codes(names: pa.ChunkedArray, blank: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,23 +86,97 @@ def candidate_pairs(a: DataFrame, b: DataFrame, key_a: str, name_a: str, key_b:
     of the longer one's positions (and equal ``block`` columns, if given).
 
     A name is the set of its positions with their characters.  With all marks in one order, rarest first, two such
-    names share two marks among the first n - needed + 2 of each, so they meet on pairs of marks; marks that the
-    other side lacks come first in that order and bring nobody.  Names so short that one shared
-    position may do meet on single marks."""
+    names share t marks among the first n - needed + t of each, so they meet on sets of t marks; marks that the
+    other side lacks come first in that order and bring nobody.  ``_marks_together`` chooses t; names so short that they may
+    share fewer also meet on pairs of marks and on single ones."""
     block = block or []
     sides = [cut(_marks(df, key, name, block)) for df, key, name in ((a, key_a, name_a), (b, key_b, name_b))]
     often = [m.groupBy("mark").agg(F.count(F.lit(1)).alias(f"often_{i}")) for i, m in enumerate(sides)]
     order = often[0].join(often[1], "mark", "full").select("mark", (F.coalesce("often_0", F.lit(0)) * F.coalesce("often_1", F.lit(0))).alias("often"))
 
-    def keys(marks: DataFrame, name: str) -> DataFrame:
-        rows = marks.join(order, "mark").groupBy("k", "n", *block).agg(F.array_sort(F.collect_list(F.struct("often", "mark"))).alias("m"))
-        first = F.filter(F.slice("m", F.lit(1), F.col("n") - _needed(least, F.col("n")) + 2), lambda x: x["often"] > 0)
-        rows = rows.select("k", "n", *block, F.transform(first, lambda x: x["mark"]).alias("p"), F.transform(F.filter("m", lambda x: x["often"] > 0), lambda x: x["mark"]).alias("all"))
-        two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.concat(x, F.lit("|"), y))))
-        one = F.when(_needed(least, F.col("n")) < 2, F.transform("all", lambda x: F.concat(F.lit("1|"), x))).otherwise(F.array().cast("array<string>"))
-        return rows.select(F.col("k").alias(name), *block, F.explode(F.concat(two, one)).alias("_key"))
-
-    return keys(sides[0], key_a).join(keys(sides[1], key_b), [*block, "_key"]).select(key_a, key_b).distinct()
+    def ordered(marks: DataFrame) -> DataFrame:
+        rows = marks.join(order, "mark").groupBy("k", "n", *block).agg(F.array_sort(F.collect_list(F.struct("often", F.xxhash64("mark").alias("mark")))).alias("m"))
+        return cut(rows.withColumn("needed", _needed(least, F.col("n"))))
+
+    rows = [ordered(m) for m in sides]
+    drop(*sides)
+    t = _marks_together(*rows)
+
+    def keys(rows: DataFrame, name: str) -> DataFrame:
+        able = lambda n: F.transform(F.filter(F.slice("m", F.lit(1), n), lambda x: x["often"] > 0), lambda x: x["mark"])
+        none = F.array().cast("array<bigint>")
+        two = F.when(F.col("needed") < t, able(F.col("n") - F.col("needed") + 2)).otherwise(none) if t > 2 else none
+        one = F.when(F.col("needed") < 2, able(F.col("n"))).otherwise(none)
+        rows = rows.select(F.col("k").alias(name), *block, _subsets(t)(able(F.col("n") - F.col("needed") + t), two, one).alias("_keys"))
+        return rows.select(name, *block, F.explode("_keys").alias("_key"))
+
+    return keys(rows[0], key_a).join(keys(rows[1], key_b), [*block, "_key"]).select(key_a, key_b).distinct()
+
+
+def _marks_together(a: DataFrame, b: DataFrame) -> int:
+    """How many marks names should share to meet: the number, of 2 to ``MOST``, with the least keys and expected pairs.
+
+    Any number is right.  Keys are counted over all rows; pairs are expected from about ``SAMPLE`` rows of the first side, as
+    if marks were independent.  A number at which a name has more than ``MOST_KEYS`` keys is not taken, but for 2."""
+    free = lambda t: F.size(F.filter(F.slice("m", F.lit(1), F.col("n") - F.col("needed") + t), lambda x: x["often"] > 0)).cast("double")
+
+    def subsets(t: int) -> Column:
+        out = F.lit(1.0)
+        for i in range(t):
+            out = out * F.greatest(free(t) - i, F.lit(0.0)) / (i + 1)
+        return out
+
+    every = range(2, MOST + 1)
+    counted = [df.agg(F.count(F.lit(1)).alias("n"), *(f(subsets(t)).alias(f"{x}{t}") for t in every for x, f in (("s", F.sum), ("m", F.max)))).head() for df in (a, b)]
+    rows, others = (r.n for r in counted)
+    if not rows or not others:
+        return 2
+    some = a.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / rows)))).select("n", "needed", F.col("m.often").alias("often")).collect()
+    cost = {}
+    for t in every:
+        expected = 0.0
+        for r in some:
+            ways = [1.0] + [0.0] * t  # of choosing 0 to t marks, by how likely another row has them
+            for x in r.often[: r.n - r.needed + t]:
+                f = (x / rows / others) ** 0.5
+                for i in range(t, 0, -1):
+                    ways[i] += ways[i - 1] * f
+            expected += ways[t]
+        if t == 2 or max(r[f"m{t}"] for r in counted) <= MOST_KEYS:
+            cost[t] = sum(r[f"s{t}"] for r in counted) + expected / max(1, len(some)) * rows * others
+    return min(cost, key=cost.get)
+
+
+def _subsets(t: int):
+    """An Arrow UDF (marks, marks, marks) -> keys: a hash of each set of t marks of the first, two of the second, one of the third."""
+    from itertools import combinations
+    from math import comb
+
+    @F.arrow_udf("array<bigint>")
+    def keys(some: pa.Array, two: pa.Array, one: pa.Array) -> pa.Array:
+        owner, found = [], []
+        for level, size_of, col in ((0, t, some), (1, 2, two), (2, 1, one)):
+            flat = np.asarray(col.flatten(), np.int64).view(np.uint64)
+            flat = (flat ^ (flat >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            size = np.diff(col.offsets.to_numpy()).astype(np.int64)
+            first = np.cumsum(size) - size
+            for n in np.unique(size[size >= size_of]):
+                at = np.flatnonzero(size == n)
+                sets = np.fromiter((i for c in combinations(range(n), size_of) for i in c), np.int64, comb(int(n), size_of) * size_of).reshape(-1, size_of)
+                for lo in range(0, len(at), max(1, 1_000_000 // len(sets))):
+                    rows = at[lo : lo + max(1, 1_000_000 // len(sets))]
+                    total = np.full((len(rows), len(sets)), np.uint64(level), np.uint64)
+                    for i in range(size_of):
+                        total += flat[first[rows, None] + sets[None, :, i]]
+                    total = (total ^ (total >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                    owner.append(np.repeat(rows, len(sets)))
+                    found.append(total.ravel().view(np.int64))
+        owner, found = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, found))
+        order = np.argsort(owner, kind="stable")
+        offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(some)))))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found[order]))
+
+    return keys
 
 
 def match_names(a: DataFrame, b: DataFrame, key_a: str, name_a: str, key_b: str, name_b: str, others: list[tuple[float, Column]], weight: float, hi: float, lo: float, block: list[str] | None = None) -> DataFrame:

@@ -73,3 +73,14 @@ def test_fuzzy_match_compares_names_as_arrays(spark):
 
     plan = catalog.queries()["fuzzy_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "aggregate(" not in plan
+
+
+def test_numbered_names_meet_on_many_marks(spark):
+    """Names of one form share their constant marks: pairs of marks bring many that are not alike."""
+    a = spark.range(0, 30000, 7).select(F.col("id").alias("i"), F.format_string("Customer#%09d", "id").alias("x"))
+    b = spark.range(0, 30000, 101).select(F.col("id").alias("j"), F.format_string("Supplier#%09d", "id").alias("y"))
+    pairs = fuzzy.candidate_pairs(a, b, "i", "x", "j", "y", 0.65)
+    got = {(r.i, r.j) for r in pairs.collect()}
+    like = {(i, j) for i in range(0, 30000, 7) for j in range(0, 30000, 101) if sum(p != q for p, q in zip(f"{i:09d}", f"{j:09d}", strict=True)) <= 1}
+    assert like <= got
+    assert len(got) <= 3 * len(like)
